@@ -187,8 +187,8 @@ def shard_edges(fps: np.ndarray, first: int, bits: int, radius: int = RADIUS) ->
     for x, y in zip(a[large], b[large], strict=True):
         label = _link_large(fps, label, (start[x], size[x]), (start[y], size[y]), radius)
     a, b, work = a[~large], b[~large], work[~large]
-    cuts = np.searchsorted(np.cumsum(work), np.arange(0, work.sum(), STEP), side="left")
-    for lo, hi in zip(cuts, [*cuts[1:], len(work)], strict=True):
+    cuts = [*np.searchsorted(np.cumsum(work), np.arange(0, work.sum(), STEP), side="left"), len(work)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         n = work[lo:hi]
         if not n.sum():
             continue
