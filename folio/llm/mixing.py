@@ -51,7 +51,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: i
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = (counts * (budget / max(total, 1))).astype(np.int64)
+    taken = (counts * (max(0, budget - knapsack // 2) / max(total, 1))).astype(np.int64)  # the rest is left to the knapsack
     left = budget - int((lengths * taken).sum())
     for at in np.argsort(-lengths, kind="stable"):  # longest first, down to what the knapsack fits
         if left <= knapsack:
