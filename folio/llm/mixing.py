@@ -19,9 +19,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2
 SEED = 8
-#: Words that the knapsack fits at most, and hash buckets that a length's documents are ranked by.
+#: Words that the knapsack fits at most, and rows of one length that one task ranks.
 KNAPSACK_WORDS = 1 << 16
-BUCKETS = 1 << 12
+RANKED_ROWS = 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -87,7 +87,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: i
     return taken
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, seed: int = SEED, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """doc_id, source, size (words), source_size, target, times: how often the mix takes the row.
 
     Null text has size 0; rows of size 0 are taken as often as the whole passes over their source. Null is a source of its
@@ -96,11 +96,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     like any other. Other columns are ignored. An empty table gives an empty result.
     """
     light = store(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    hashed = light.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    by_bucket = store(hashed.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "size-counts")
-    by_size = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = store(source_targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most), "targets")
-    told = by_size.join(targets, by_size.source.eqNullSafe(targets.source)).select(by_size.source, "size", "n", "source_size", "target")
+    by_size = store(light.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    targets = source_targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
+    told = by_size.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     def fit(table: pa.Table) -> pa.Table:
         size, n = table.column("size").to_numpy(), table.column("n").to_numpy()
@@ -108,26 +106,38 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         passes = min(most, int(target // total)) if total else 0
         extra = np.zeros(len(size), np.int64)
         if total and passes < most:
-            order = np.lexsort((size,))
+            order = np.argsort(size, kind="stable")
             order = order[size[order] > 0]
             extra[order] = fit_counts(size[order], n[order], round(target) - passes * total)
-        return pa.table({"source": table.column("source"), "size": size, "source_size": table.column("source_size"), "target": table.column("target"), "passes": np.full(len(size), passes, np.int64), "extra": extra})
-
-    plan = store(told.groupBy("source").applyInArrow(fit, "source string, size long, source_size long, target double, passes long, extra long"), "mix-plan")
-    # Buckets are filled in order; only the bucket in which a length's count ends is ranked by row.
-    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket"))
-    cut = by_bucket.withColumn("upto", upto).withColumnsRenamed({"source": "_s", "size": "_z"})
-    cut = cut.join(plan, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")))
-    cut = cut.select(
-        F.col("_s"), F.col("_z"), F.col("bucket").alias("_b"), "source_size", "target", "passes",
-        F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("upto") + F.col("n"))).alias("_take"), F.col("n").alias("_n"),
-    )
-    dealt = hashed.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("bucket") == F.col("_b")))
-    whole = dealt.where("_take = 0 or _take = _n").withColumn("times", F.col("passes") + F.when(F.col("_take") > 0, 1).otherwise(0))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
-    part = dealt.where("_take > 0 and _take < _n").withColumn("times", F.col("passes") + (rank <= F.col("_take")).cast("long"))
+        return table.append_column("passes", pa.array(np.full(len(size), passes, np.int64))).append_column("extra", pa.array(extra))
+
+    plan = store(told.groupBy("source").applyInArrow(fit, "source string, size long, n long, source_size long, target double, passes long, extra long"), "mix-plan")
+    return _filled(light, plan, seed, ranked_rows)
+
+
+def _filled(light: DataFrame, plan: DataFrame, seed: int, ranked_rows: int) -> DataFrame:
+    """The first `extra` rows of each length, by hash and doc_id, are taken once more than the others. A length of more than
+    ranked_rows rows is cut into ranges of the hash; only the range in which its count ends is ranked."""
+    told = plan.withColumnsRenamed({"source": "_source", "size": "_size"})
+    dealt = light.join(told, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))))
     names = ["doc_id", "source", "size", "source_size", "target", "times"]
-    return whole.select(*names).unionByName(part.select(*names))
+    cut = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    settled = dealt.where(~cut).withColumn("times", F.col("passes") + (F.col("extra") > 0).cast("long")).select(*names)
+    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "doc_id"))
+    small = dealt.where(cut & (F.col("n") <= ranked_rows)).withColumn("times", F.col("passes") + (rank <= F.col("extra")).cast("long")).select(*names)
+    out = settled.unionByName(small)
+    if not plan.where(cut & (F.col("n") > ranked_rows)).limit(1).count():
+        return out
+    ranges = F.ceil(2 * F.col("n") / ranked_rows)
+    large = dealt.where(cut & (F.col("n") > ranked_rows)).withColumn("range", F.shiftright((F.shiftright("h", 32) + 2**31) * ranges, 32))
+    counts = large.groupBy("source", "size", "range").agg(F.count("*").alias("own"), F.first("extra").alias("most"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("left", F.greatest(F.lit(0), F.least(F.col("own"), F.col("most") - before))).withColumnsRenamed({"source": "_s", "size": "_z", "range": "_r"}).drop("most")
+    placed = large.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("range") == F.col("_r")))
+    whole = placed.where("left = 0 or left = own").withColumn("times", F.col("passes") + (F.col("left") > 0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("h", "doc_id"))
+    part = placed.where("left > 0 and left < own").withColumn("times", F.col("passes") + (rank <= F.col("left")).cast("long"))
+    return out.unionByName(whole.select(*names)).unionByName(part.select(*names))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES, seed: int = SEED) -> DataFrame:

@@ -290,6 +290,12 @@ def test_fit_counts():
     assert mixing.fit_counts(np.array([7]), np.array([3]), 13).tolist() == [1]
 
 
+def test_mixing_ranges_agree(spark):
+    docs = spark.createDataFrame([(k if k % 50 else None, "one two three " * (1 + k // 450), "s" if k % 3 else None) for k in range(900)], "doc_id long, text string, source string")
+    few, many = mixing.mix_sources(docs, ranked_rows=20).collect(), mixing.mix_sources(docs.repartition(6)).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 900
+
+
 def test_mixing(spark, rows, docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows) and all(r.times in (0, 1, 2) for r in got)
