@@ -24,9 +24,9 @@ WINDOW = 5
 #: Guards: a text with fewer words is not compared by its words or its characters.
 LEAST_WORDS = 40
 LEAST_CHAR_WORDS = 20
-#: A text is rejected beyond these distances to its nearest language.
+#: A text is rejected beyond these distances to its nearest language: above those of nearly all labelled good texts.
 MOST_CHAR_DISTANCE = 0.30
-MOST_WORD_DISTANCE = 0.62
+MOST_WORD_DISTANCE = 0.50
 #: Common words that a language's histogram holds, and buckets that words are hashed to.
 COMMON = 100
 BUCKETS = 1 << 16
