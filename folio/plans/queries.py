@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from folio import schema as S
 from folio.functions import signal, text as T
 from folio.functions.keys import stable_seed
-from folio.operators import cache, casting, estimate as est, ledger, script, segment, timeline
+from folio.operators import attribution, cache, casting, estimate as est, ledger, script, segment, timeline
 from folio.sources import books, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,6 +452,30 @@ def estimate(spark, sf_dir):
     return told.select("book_id", "paragraphs", "chars", F.round(F.col("chars") * 0.002 + F.col("cost_usd"), 6).alias("cost_usd"))
 
 
+@query("SELECT conv_id || 'q' || turn AS span_id, CASE role WHEN 'user' THEN 'Alba' WHEN 'assistant' THEN 'Bruno' ELSE 'Cora' END AS speaker FROM conversations")
+def speaker_attribution(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    name = F.when(F.col("role") == "user", "Alba").when(F.col("role") == "assistant", "Bruno").otherwise("Cora")
+    both = F.array(F.struct(F.lit(0).alias("s"), F.concat_ws("q", "conv_id", "turn").alias("span_id"), F.lit("quote").alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("s"), F.concat_ws("n", "conv_id", "turn").alias("span_id"), F.lit("narration").alias("kind"), F.concat(F.lit("said "), name, F.lit(".")).alias("text")))
+    spans = c.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(1).alias("ch"), F.col("turn").cast("int").alias("para"), F.explode(both).alias("x"), F.lit(False).alias("scene_break_before")).select("book_id", "ch", "para", "scene_break_before", "x.*")
+    return attribution.attribute(spans).select("span_id", "speaker")
+
+
+_MOODS = {"first": (" the", " and of"), "second": (" der", " ein"), "third": (" que", " las")}
+
+
+@query("WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS para, " + ", ".join("+".join(f"len(regexp_extract_all(lower(text), '{p}')) * {2 if ' ' in p else 1}" for p in ps) + f" AS {m}" for m, ps in _MOODS.items()) + " FROM conversations) SELECT book_id, para, CASE WHEN greatest(first, second, third) = 0 THEN NULL WHEN first = greatest(first, second, third) THEN 'first' WHEN second = greatest(first, second, third) THEN 'second' ELSE 'third' END AS mood FROM c")
+def mood_scores(spark, sf_dir):
+    paras = segments(spark, sf_dir).select("book_id", "ch", F.col("idx").alias("para"), "text")
+    return attribution.paragraph_moods(paras, _MOODS).select("book_id", "para", "mood")
+
+
+@query()
+def mood_changes(spark, sf_dir):
+    paras = segments(spark, sf_dir).select("book_id", "ch", F.col("idx").alias("para"), "text")
+    return attribution.mood_changes(attribution.paragraph_moods(paras, _MOODS)).select("book_id", "para", "mood")
+
+
 # --- casting --------------------------------------------------------------------------------------
 
 

@@ -167,3 +167,44 @@ def test_streams(spark, tmp_path):
     tail = stream.tail_events(spark, f"{tmp_path}/in", usage.schema)
     stream.each_batch(tail, lambda df, _: seen.append(stream.running_usage(df).collect()), f"{tmp_path}/cp").awaitTermination()
     assert [(r.units, r.hits) for r in seen[0]] == [(15.0, 3)]
+
+
+STORY = """Mara Quill climbed the stairs, her lantern in one hand.
+
+"Tobias!" she shouted. "Ring the bell!"
+
+From above came a muffled reply. "I can't reach it!" Tobias was only ten, and his voice cracked.
+
+"Stand back," said Mara.
+
+***
+
+They found the man on the beach. He was alive.
+
+"Easy," Mara said. "What's your name?"
+
+"Ansel. Ansel Vey." He coughed.
+
+"Are you a pirate?" the boy asked."""
+
+
+def story(spark):
+    paras = segment.paragraphs(frame(spark, [("b", STORY)], "book_id string, text string")).withColumn("ch", F.lit(1))
+    spans = segment.alternating_spans(paras)
+    return paras, spans.join(paras.select("book_id", "ch", "para", "scene_break_before"), ["book_id", "ch", "para"])
+
+
+def test_attribution(spark):
+    from folio.operators import attribution
+
+    paras, spans = story(spark)
+    got = {r.span_id: r.speaker for r in attribution.attribute(spans).collect()}
+    assert got == {
+        "c1p2s0": "Mara Quill", "c1p2s2": "Mara Quill", "c1p3s1": "Tobias", "c1p4s0": "Mara Quill", "c1p6s0": "Mara Quill", "c1p6s2": "Mara Quill",
+        "c1p7s0": "Ansel Vey", "c1p8s0": "Tobias",
+    }
+    people = {r.name: r for r in attribution.characters(spans).collect()}
+    assert people["Ansel Vey"].aliases == ["Ansel", "the man"] and people["Tobias"].age == "child" and people["Mara Quill"].gender == "female" and people["Mara Quill"].line_count == 5
+    tone = {r.span_id: (r.emotion, r.delivery) for r in attribution.tones(spans).collect()}
+    assert tone["c1p2s0"] == ("urgent", "shout") and tone["c1p3s1"] == ("afraid", "normal") and tone["c1p7s0"] == ("weary", "strained")
+    assert [(r.para, r.mood) for r in attribution.mood_changes(attribution.paragraph_moods(paras)).collect()] == [(2, "tense")]
