@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from folio.llm.storage import store
 from folio.llm.text import chunks, flat_bytes, hashes, words
 
 MIN_WORDS = 10
@@ -30,6 +31,8 @@ MOST_WORD_DISTANCE = 0.50
 #: Common words that a language's histogram holds, and buckets that words are hashed to.
 COMMON = 100
 BUCKETS = 1 << 16
+#: Languages that references are kept for at most: those with most text.
+MOST_LANGUAGES = 256
 
 # Character classes: fixed values.
 CLASSES = ("lower", "upper", "digit", "space", "break", "stop", "call", "quote", "symbol", "other", "beyond")
@@ -110,7 +113,7 @@ def dup_lines(text: bytes | None) -> int:
 
 def language_references(docs: DataFrame, common: int = COMMON) -> dict:
     """For each language: shares of the character classes, its `common` most frequent word buckets and
-    their shares. What comes to the driver is bounded by languages * (classes + common)."""
+    their shares. What comes to the driver is bounded by MOST_LANGUAGES * (classes + common)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES) + BUCKETS, np.int64))
@@ -128,7 +131,9 @@ def language_references(docs: DataFrame, common: int = COMMON) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bin", "n"])
 
     known = docs.where("lang is not null").select(F.col("lang").cast("string"), "text")
-    sums = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    sums = store(known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-counts")
+    largest = sums.where(F.col("bin") < len(CLASSES)).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sums = sums.where(F.col("lang").isin([r.lang for r in largest]))
     is_word = F.col("bin") >= len(CLASSES)
     total = F.sum("n").over(Window.partitionBy("lang", is_word))
     rank = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.desc("n"), "bin"))

@@ -7,7 +7,7 @@ A tree is fitted on a bounded sample; every distinct fingerprint is then routed
 home shard, and to each later shard whose distance bounds its radius-1 ball overlaps (the triangle
 inequality prunes all others). Shards are compared in their tasks, pairs are verified on all
 64 bits, and only the edges of a spanning forest of each shard leave the task. A shard that the
-sample shows to be larger than `shard_rows` (many fingerprints with equal bits in a block) is
+sample shows to be larger than `grid_rows` (many fingerprints with equal bits in a block) is
 dealt over a grid of tasks in which each two parts meet once.
 """
 
@@ -31,9 +31,11 @@ SHINGLE_WORDS = 4
 #: First bit and number of bits of each block.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 BLOCK_RADIUS = RADIUS // len(BLOCKS)
-#: Bounds: fingerprints that a tree is fitted on, and those that a shard should hold.
-SAMPLE_ROWS = 16_384
-SHARD_ROWS = 8_192
+#: Fingerprints that a tree is fitted on at most (and of an eighth of all); those that a shard should hold, and those at which it
+#: is dealt over a grid.
+SAMPLE_ROWS = 1 << 16
+SHARD_ROWS = 1 << 13
+GRID_ROWS = 1 << 17
 #: Pairs compared in one step of a task.
 STEP = 1 << 20
 
@@ -75,7 +77,7 @@ class VantageTree:
     """A vantage-point tree over some bits of a fingerprint. `nodes` holds (vantage, median
     distance, inner child, outer child) for inner nodes and (leaf number,) for leaves."""
 
-    def __init__(self, sample: np.ndarray, first: int, bits: int, leaf: int, rows: int, shard_rows: int):
+    def __init__(self, sample: np.ndarray, first: int, bits: int, leaf: int, rows: int, grid_rows: int):
         self.first, self.mask = np.uint64(first), np.uint64((1 << bits) - 1)
         self.nodes: list[tuple] = []
         self.grid: list[int] = []
@@ -88,7 +90,7 @@ class VantageTree:
             split = self._split(own, rng) if len(own) > leaf else None
             if split is None:
                 self.nodes[at] = (len(self.grid),)
-                self.grid.append(max(1, math.ceil(len(own) * per / (2 * shard_rows))))
+                self.grid.append(max(1, math.ceil(len(own) * per / grid_rows)))
                 continue
             vantage, median, near = split
             inner, outer = self._new(), self._new()
@@ -246,12 +248,12 @@ def _least(fps: np.ndarray, label: np.ndarray) -> np.ndarray:
     return least[label].view(np.uint64)
 
 
-def near_edges(distinct: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_edges(distinct: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, grid_rows: int = GRID_ROWS) -> DataFrame:
     """(a, b) edges between fingerprints of `distinct` (column fp) that give the same components
-    as all pairs within the radius. The sample is the `sample_rows` rows of least hash."""
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    as all pairs within the radius. The sample is the rows of least hash: an eighth, `sample_rows` at most."""
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(sample_rows, max(256, rows // 8))).select("fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     leaf = max(8, math.ceil(len(sample) * shard_rows / max(rows, 1) / 2))
-    trees = [VantageTree(sample, first, bits, leaf, rows, shard_rows) for first, bits in BLOCKS]
+    trees = [VantageTree(sample, first, bits, leaf, rows, grid_rows) for first, bits in BLOCKS]
     schema = "block int, leaf long, i long, j long, fp long"
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,14 +95,14 @@ def test_simhash_groups(spark, rows, docs, empty):
     assert len(ids) == len(members) and 2 not in ids and ids.count(41) <= 1
 
 
-@pytest.mark.parametrize("shard_rows", [8_192, 40])
-def test_near_edges_find_all_components(spark, shard_rows):
+@pytest.mark.parametrize("rows", [(8_192, 1 << 17), (200, 1 << 17), (200, 90)])
+def test_near_edges_find_all_components(spark, rows):
     rng = np.random.default_rng(3)
     far = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
     centre = far[0]
     near = np.array([np.uint64(int(centre) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(1, 9))))) for _ in range(700)])
     fps = np.unique(np.concatenate([far, near, far[:200] ^ np.uint64(0b1011)]))
-    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3), len(fps), 512, shard_rows)
+    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3), len(fps), 512, *rows)
     got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}
     label = np.arange(len(fps))
     links = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
