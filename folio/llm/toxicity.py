@@ -35,6 +35,8 @@ ROUNDS = 30
 LEARNING_RATE = 0.5
 L2 = 1e-4
 BLOCK = 32
+#: Tokens of the sample that one step of the fit works on.
+FIT_TOKENS = 1 << 16
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -138,19 +140,32 @@ def aggregates(p: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n_words)), -np.expm1(none), np.log1p(count)], 1)
 
 
+def _runs(n_words: np.ndarray, tokens: int = FIT_TOKENS) -> list[tuple[int, int]]:
+    """First and last token of runs of whole documents with about `tokens` tokens."""
+    ends = np.cumsum(n_words)
+    cuts = [0]
+    while len(ends) and cuts[-1] < ends[-1]:
+        k = int(np.searchsorted(ends, cuts[-1] + tokens, side="right"))
+        cuts.append(int(ends[min(max(k - 1, int(np.searchsorted(ends, cuts[-1], side="right"))), len(ends) - 1)]))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def token_labels(codes: np.ndarray, n_words: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n_vocabulary: int, toxic: np.ndarray) -> np.ndarray:
     """1 for the tokens of toxic documents that have a telling feature."""
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    pair = np.unique(doc * n_vocabulary + codes)
     order = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[order], np.arange(n_vocabulary + 1))
-    d, w = pair // n_vocabulary, pair % n_vocabulary
-    n = start[w + 1] - start[w]
-    at = np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    per_doc = np.unique(np.repeat(d, n) * BUCKETS + bucket[order][at])
-    of, which = per_doc // BUCKETS, per_doc % BUCKETS
-    t = np.bincount(which[toxic[of] == 1], minlength=BUCKETS)
-    c = np.bincount(which[toxic[of] == 0], minlength=BUCKETS)
+    found = bucket[order]
+    t, c = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for lo, hi in _runs(n_words):
+        pair = np.unique(doc[lo:hi] * n_vocabulary + codes[lo:hi])
+        d, w = pair // n_vocabulary, pair % n_vocabulary
+        n = start[w + 1] - start[w]
+        at = np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        per_doc = np.unique(np.repeat(d, n) * BUCKETS + found[at])
+        of, which = per_doc // BUCKETS, per_doc % BUCKETS
+        t += np.bincount(which[toxic[of] == 1], minlength=BUCKETS)
+        c += np.bincount(which[toxic[of] == 0], minlength=BUCKETS)
     odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((1 - toxic).sum() + 1))
     telling = (t >= LEAST_DOCS) & (odds >= LEAST_LOG_ODDS)
     word = np.zeros(n_vocabulary, bool)
@@ -172,20 +187,25 @@ def fit(texts: list[str | None], toxic: list[int], rate: float) -> Model | None:
     starts[(np.cumsum(n_words) - n_words)[n_words > 0]] = True
     before = np.where(starts, 0.0, np.concatenate([[0.0], label[:-1]]) if len(label) else label)
     seen = np.array([[((1 - before) * (1 - label)).sum(), ((1 - before) * label).sum()], [(before * (1 - label)).sum(), (before * label).sum()]])
+    del before
+    first = np.cumsum(n_words) - n_words
+    runs = [(lo, hi, n_words[(first >= lo) & (first < hi)]) for lo, hi in _runs(n_words)]
     m = [np.zeros(BUCKETS), 0.0, np.zeros((2, 2))]
     v = [np.zeros(BUCKETS), 0.0, np.zeros((2, 2))]
     scale = max(1.0, label.sum())
     for step in range(1, ROUNDS + 1):
-        e = (np.bincount(owner, weights=weight[bucket], minlength=len(vocabulary)) + bias)[codes]
+        by_word = np.bincount(owner, weights=weight[bucket], minlength=len(vocabulary)) + bias
         a = np.exp(log_a)
-        f, b = ratios(e, n_words, a)
-        p = f * b / (1 + f * b)
-        miss = np.bincount(codes, weights=label - p, minlength=len(vocabulary))
-        r = np.where(starts, 0.0, np.concatenate([[0.0], f[:-1]]) if len(f) else f)
-        x = np.exp(np.clip(e, -30, 30))
-        pairs = [np.full(len(r), a[0, 0]), a[0, 1] * x * b, r * a[1, 0], r * a[1, 1] * x * b]
-        z = sum(pairs)
-        expected = np.array([(q / z).sum() for q in pairs]).reshape(2, 2)
+        miss, expected = np.zeros(len(vocabulary)), np.zeros((2, 2))
+        for lo, hi, own in runs:
+            e = by_word[codes[lo:hi]]
+            f, b = ratios(e, own, a)
+            miss += np.bincount(codes[lo:hi], weights=label[lo:hi] - f * b / (1 + f * b), minlength=len(vocabulary))
+            r = np.where(starts[lo:hi], 0.0, np.concatenate([[0.0], f[:-1]]))
+            x = np.exp(np.clip(e, -30, 30))
+            pairs = [np.full(len(r), a[0, 0]), a[0, 1] * x * b, r * a[1, 0], r * a[1, 1] * x * b]
+            z = sum(pairs)
+            expected += np.array([(q / z).sum() for q in pairs]).reshape(2, 2)
         grads = [np.bincount(bucket, weights=miss[owner], minlength=BUCKETS) / scale - L2 * weight, miss.sum() / scale, (seen - expected) / scale]
         steps = []
         for k, g in enumerate(grads):
@@ -195,8 +215,9 @@ def fit(texts: list[str | None], toxic: list[int], rate: float) -> Model | None:
         touched = np.abs(grads[0]) > 1e-7
         weight, bias, log_a = weight + np.where(touched, steps[0], 0) * 0.5, bias + steps[1] * 0.2, log_a + steps[2] * 0.2
     a = np.exp(log_a)
-    e = (np.bincount(owner, weights=weight[bucket], minlength=len(vocabulary)) + bias)[codes]
-    z = aggregates(marginals(e, n_words, a), n_words)
+    by_word = np.bincount(owner, weights=weight[bucket], minlength=len(vocabulary)) + bias
+    p = np.concatenate([np.zeros(0), *[marginals(by_word[codes[lo:hi]], own, a) for lo, hi, own in runs]])
+    z = aggregates(p, n_words)
     share = y.mean()
     cost = np.where(y == 1, rate / share, (1 - rate) / (1 - share))
     return Model(weight, float(bias), a, _logistic(z, y, cost))
@@ -274,5 +295,3 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
-
-
