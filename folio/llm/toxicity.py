@@ -24,6 +24,7 @@ from folio.llm.text import chunks, hashes, words
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 SPAN_PROBABILITY = 0.5
+LEAST_MARGINAL = 0.2
 #: Bounds of the labelled sample that the model is fitted on: documents of each class, and their length.
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 10_000
@@ -35,6 +36,8 @@ ROUNDS = 30
 LEARNING_RATE = 0.5
 L2 = 1e-4
 BLOCK = 32
+#: Minimum hashes by which copies in the sample are told.
+COPY_HASHES = 6
 #: Tokens of the sample that one step of the fit works on.
 FIT_TOKENS = 1 << 16
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -133,11 +136,13 @@ class Model:
 
 
 def aggregates(p: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """1, the probability that any token is toxic (from the marginals), and the log of one more than the expected number."""
+    """1 and three aggregates of the marginals that reach LEAST_MARGINAL (so that long texts do not add up what is in none of their
+    tokens): the probability that any token is toxic, the log of one more than the expected number, and the same of its percentage."""
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    none = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(n_words))
-    count = np.bincount(doc, weights=p, minlength=len(n_words))
-    return np.stack([np.ones(len(n_words)), -np.expm1(none), np.log1p(count)], 1)
+    told = np.where(p >= LEAST_MARGINAL, p, 0.0)
+    none = np.bincount(doc, weights=np.log1p(-np.minimum(told, 1 - 1e-9)), minlength=len(n_words))
+    count = np.bincount(doc, weights=told, minlength=len(n_words))
+    return np.stack([np.ones(len(n_words)), -np.expm1(none), np.log1p(count), np.log1p(100 * count / np.maximum(n_words, 1))], 1)
 
 
 def _runs(n_words: np.ndarray, tokens: int = FIT_TOKENS) -> list[tuple[int, int]]:
@@ -150,6 +155,29 @@ def _runs(n_words: np.ndarray, tokens: int = FIT_TOKENS) -> list[tuple[int, int]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def first_of_copies(codes: np.ndarray, n_words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether each document shares none of its minimum hashes (over three words in order) with an earlier one of its class.
+    Copies tell no more than their first: without this, all words of a copied toxic document would look toxic."""
+    rng = np.random.default_rng(7)
+    new = np.ones(len(n_words), bool)
+    ends = np.cumsum(n_words)
+    long_ = np.flatnonzero(n_words >= 3)
+    if not len(long_):
+        return new
+    spread = rng.integers(1, 1 << 63, int(codes.max()) + 1, dtype=np.uint64)
+    x = spread[codes]
+    three = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + (x[1:-1] ^ (x[1:-1] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
+    at = np.stack([ends[long_] - n_words[long_], ends[long_] - 2], 1).ravel()
+    for _ in range(COPY_HASHES):
+        mixed = (three ^ (three >> np.uint64(31))) * rng.integers(1, 1 << 63, dtype=np.uint64)
+        mixed ^= mixed >> np.uint64(33)
+        least = np.minimum.reduceat(np.append(mixed, np.uint64((1 << 64) - 1)), at)[::2] * np.uint64(2) + toxic[long_].astype(np.uint64)
+        first = np.zeros(len(long_), bool)
+        first[np.unique(least, return_index=True)[1]] = True
+        new[long_] &= first
+    return new
+
+
 def token_labels(codes: np.ndarray, n_words: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n_vocabulary: int, toxic: np.ndarray) -> np.ndarray:
     """1 for the tokens of toxic documents that have a telling feature."""
     doc = np.repeat(np.arange(len(n_words)), n_words)
@@ -157,8 +185,10 @@ def token_labels(codes: np.ndarray, n_words: np.ndarray, bucket: np.ndarray, own
     start = np.searchsorted(owner[order], np.arange(n_vocabulary + 1))
     found = bucket[order]
     t, c = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    new = first_of_copies(codes, n_words, toxic)
     for lo, hi in _runs(n_words):
-        pair = np.unique(doc[lo:hi] * n_vocabulary + codes[lo:hi])
+        own = new[doc[lo:hi]]
+        pair = np.unique(doc[lo:hi][own] * n_vocabulary + codes[lo:hi][own])
         d, w = pair // n_vocabulary, pair % n_vocabulary
         n = start[w + 1] - start[w]
         at = np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -166,7 +196,7 @@ def token_labels(codes: np.ndarray, n_words: np.ndarray, bucket: np.ndarray, own
         of, which = per_doc // BUCKETS, per_doc % BUCKETS
         t += np.bincount(which[toxic[of] == 1], minlength=BUCKETS)
         c += np.bincount(which[toxic[of] == 0], minlength=BUCKETS)
-    odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((1 - toxic).sum() + 1))
+    odds = np.log((t + 0.5) / (toxic[new].sum() + 1)) - np.log((c + 0.5) / ((1 - toxic[new]).sum() + 1))
     telling = (t >= LEAST_DOCS) & (odds >= LEAST_LOG_ODDS)
     word = np.zeros(n_vocabulary, bool)
     word[owner[telling[bucket]]] = True
