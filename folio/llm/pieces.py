@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from folio.llm.storage import replaced
@@ -27,6 +28,8 @@ MARKER = "▁"
 UNKNOWN_COST = 10.0
 #: Words longer than this are searched one by one, not position by position with the others.
 LONG_BYTES = 96
+#: Bytes of text that are encoded, and ids that are decoded, in one step; one longer text stands alone.
+STEP_BYTES, STEP_IDS = 1 << 19, 1 << 18
 _SEGMENT = re.compile(rb" *[^ ]+| +")
 
 
@@ -249,7 +252,7 @@ def encode(docs: DataFrame, model: Pieces | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or load_pieces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=2 << 20):
+        for batch in chunks(batches, size=STEP_BYTES):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids, counts = shared.value.encode([t or b"" for t in texts])
             offsets = pa.array([None if t is None else o for t, o in zip(texts, (np.cumsum(counts) - counts).tolist(), strict=True)] + [int(counts.sum())], pa.int32())
@@ -268,12 +271,18 @@ def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                size = len(shared.value.surface)
-                lists = part.column("ids").to_pylist()
-                own = [[x for x in v or () if x is not None and 0 <= x < size] for v in lists]
-                texts = shared.value.decode(np.array([x for v in own for x in v], np.int64), np.array([len(v) for v in own], np.int64))
-                out = pa.array([None if v is None else t for v, t in zip(lists, texts, strict=True)], pa.string())
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(ends // STEP_IDS, prepend=0)).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                lists = part.column("ids")
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                ok = (ids >= 0) & (ids < len(shared.value.surface))
+                texts = shared.value.decode(ids[ok], np.bincount(owner[ok], minlength=len(lists)))
+                out = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
