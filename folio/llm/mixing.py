@@ -152,11 +152,12 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     rows = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_source": F.col("source").cast("string"), "_own_size": word_count(F.col("text"))})
     same = F.col("_own_id").eqNullSafe(F.col(key[0])) & F.col("_own_source").eqNullSafe(F.col(key[1])) & (F.col("_own_size") == F.col(key[2]))
     repeated = lambda df, n: df.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    out = repeated(rows.join(like.where("_mix_low = _mix_high"), same), F.col("_mix_low"))
+    # The documents taken grow with the input, so they are never broadcast: each text is shuffled once, at every size.
+    out = repeated(rows.join(like.where("_mix_low = _mix_high").hint("merge"), same), F.col("_mix_low"))
     if like.where("_mix_low < _mix_high").limit(1).count():
         whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("text", whole))
-        ranked = rows.join(like.where("_mix_low < _mix_high"), same).withColumn("_rank", rank)
+        ranked = rows.join(like.where("_mix_low < _mix_high").hint("merge"), same).withColumn("_rank", rank)
         above = F.col("_mix_sum") - F.col("_mix_n") * F.col("_mix_low")
         out = out.unionByName(repeated(ranked, F.col("_mix_low") + (F.col("_rank") <= above).cast("long")))
     return out

@@ -299,9 +299,10 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFram
     groups = store(simhash_groups(docs, shingle), "simhash-groups")
     ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     ids = store(ids.select(F.col("doc_id").alias("_kept"), "_n"), "simhash-kept")
-    out = docs.join(ids.where("_n = 1"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    # The ids grow with the documents, so they are never broadcast: each text is shuffled once, at every size.
+    out = docs.join(ids.where("_n = 1").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
     if ids.where("_n > 1").limit(1).count():
-        rows = docs.join(ids.where("_n > 1"), F.col("doc_id") == F.col("_kept"), "left_semi")
+        rows = docs.join(ids.where("_n > 1").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         first = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row"))
         out = out.unionByName(first.select("_row.*"))

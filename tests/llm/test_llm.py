@@ -426,6 +426,35 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_calibration_settles():
+    rng = np.random.default_rng(14)
+    for n, share, gap in ((5000, 0.1, 9.0), (5000, 0.4, 2.0), (300, 0.02, 30.0)):
+        y = (rng.random(n) < share).astype(int)
+        z = np.stack([np.ones(n), np.clip(y + 0.05 * rng.standard_normal(n), 0, 1), np.abs(gap * y + rng.standard_normal(n)), np.abs(rng.standard_normal(n))], 1)
+        w = toxicity._logistic(z, y, np.where(y == 1, 0.1 / y.mean(), 0.9 / (1 - y.mean())))
+        p = 1 / (1 + np.exp(-z @ w))
+        assert (w[1:] >= 0).all() and p[y == 1].mean() > 0.7 and p[y == 0].mean() < 0.1
+
+
+def test_copies_count_once_and_long_clean_texts_stay(spark):
+    rng = np.random.default_rng(15)
+    copied = f"{prose(rng, 60)} vile {' '.join(f'only{k}here' for k in range(30))}"
+    rows = [(k, copied + f" end{k}", 1) for k in range(80)] + [(100 + k, prose(rng, 30) + " vile", 1) for k in range(60)] + [(200 + k, prose(rng, 30), 0) for k in range(400)]
+    clean = [(900, prose(rng, 20_000), None), (901, " ".join(f"only{k}here" for k in range(30)), None), (902, prose(rng, 25) + " vile vile", None)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).collect()}
+    assert (got[900], got[901], got[902]) == (0, 0, 1)
+    assert sum(got[k] for k, _, y in rows if y == 0) == 0 and all(got[k] for k, _, y in rows if y)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert np.mean(toxic) > 0.7 and np.mean(clean) < 0.05
+
+
 def test_resample(spark, docs, labels, rows, empty):
     keys = spark.createDataFrame([(int(x),) for x in np.random.default_rng(13).integers(0, 1 << 50, 500)], "k long")
     order = sorted((r.k for r in keys.collect()), reverse=True)
