@@ -255,11 +255,11 @@ def _music(spark, sf_dir):
         F.when(F.col("event_type") == "error", "stop").when(F.col("event_type") == "view", "start").otherwise("change").alias("action"),
         F.col("event_type").alias("mood"), F.round("value", 2).alias("energy"),
     )
-    return event.where("ord % 5 = 0"), e.groupBy(F.col("user_id").cast("string").alias("book_id"), F.lit(1).alias("ch")).agg(F.lit(100).alias("n_spans"), F.when(F.min("event_id") % 2 == 0, "tense").otherwise("none").alias("prior_mood"))
+    return event, e.groupBy(F.col("user_id").cast("string").alias("book_id"), F.lit(1).alias("ch")).agg(F.lit(100).alias("n_spans"), F.when(F.min("event_id") % 2 == 0, "tense").otherwise("none").alias("prior_mood"))
 
 
 @query("""WITH ch AS (SELECT CAST(user_id AS VARCHAR) AS book_id, CASE WHEN min(event_id) % 2 = 0 THEN 'tense' ELSE 'none' END AS prior FROM events GROUP BY 1),
-ev AS (SELECT CAST(user_id AS VARCHAR) AS book_id, event_id % 97 AS idx, event_id AS ord, event_type AS mood, round(value, 2) AS energy FROM events WHERE event_id % 5 = 0
+ev AS (SELECT CAST(user_id AS VARCHAR) AS book_id, event_id % 97 AS idx, event_id AS ord, event_type AS mood, round(value, 2) AS energy FROM events
 UNION ALL SELECT book_id, 0, -1, prior, 0.2 FROM ch WHERE prior <> 'none'),
 k AS (SELECT book_id, idx, arg_max(mood, ord) AS mood, arg_max(energy, ord) AS energy FROM ev GROUP BY 1, 2),
 r AS (SELECT *, coalesce(lead(idx) OVER (PARTITION BY book_id ORDER BY idx), 100) - 1 AS fin FROM k),
@@ -311,11 +311,11 @@ def resolved_speakers(spark, sf_dir):
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("k", "text")).select("book_id", (F.col("k") + 1).alias("para"), "text")
 
 
-_LINES = r"""lines AS (SELECT book_id, CAST(generate_subscripts(x, 1) AS INT) AS para, unnest(x) AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS book_id, string_split(text, chr(10)) AS x FROM documents WHERE lang = 'en'))"""
+_LINES = r"""lines AS (SELECT book_id, CAST(generate_subscripts(x, 1) AS INT) AS para, unnest(x) AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS book_id, string_split(text, chr(10)) AS x FROM documents))"""
 _WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))"
 
 
@@ -323,13 +323,13 @@ _WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))"
 n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY line) AS para, coalesce(line - lag(line) OVER (PARTITION BY book_id ORDER BY line) > 1, line > 1) AS flag FROM k)
 SELECT book_id, CAST(para AS INT) AS para, text, flag AS scene_break_before FROM n""")
 def paragraphs(spark, sf_dir):
-    spaced = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    spaced = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book_id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return segment.paragraphs(spaced)
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS INT) AS words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS INT) AS words FROM documents")
 def word_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.word_count(F.col("text")).cast("int").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("int").alias("words"))
 
 
 @query(f"""WITH {_LINES}, w AS (SELECT book_id, para, CAST({_WORDS} AS BIGINT) AS words FROM lines),
@@ -379,7 +379,7 @@ def quote_style(spark, sf_dir):
     return segment.quote_style(doc_lines(spark, sf_dir).withColumn("text", F.concat(mark, "text")))
 
 
-_QUOTED = """q AS (SELECT book_id, para, string_split(replace(text, ' ', CASE WHEN para % 2 = 0 THEN '" ' ELSE ' ' END), '"') AS p FROM lines WHERE para <= 3),
+_QUOTED = """q AS (SELECT book_id, para, string_split(replace(text, ' ', CASE WHEN para % 2 = 0 THEN '" ' ELSE ' ' END), '"') AS p FROM lines),
 u AS (SELECT book_id, para, generate_subscripts(p, 1) AS k, unnest(p) AS piece, p FROM q),
 b AS (SELECT book_id, para, k, piece, coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x) + 1)), 0) AS pos FROM u),
 s AS (SELECT *, trim(piece) AS t, length(piece) - length(ltrim(piece)) AS lead_in FROM b WHERE trim(piece) <> '')"""
@@ -388,14 +388,14 @@ s AS (SELECT *, trim(piece) AS t, length(piece) - length(ltrim(piece)) AS lead_i
 @query(f"""WITH {_LINES}, {_QUOTED} SELECT book_id, para, CAST(row_number() OVER (PARTITION BY book_id, para ORDER BY k) - 1 AS INT) AS s, CASE WHEN k % 2 = 1 THEN 'narration' ELSE 'quote' END AS kind, t AS text,
 CAST(pos + lead_in AS INT) AS start_char, CAST(pos + lead_in + length(t) AS INT) AS end_char FROM s""")
 def double_quote_spans(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).where("para <= 3")
+    rows = doc_lines(spark, sf_dir)
     rows = rows.select("book_id", F.lit(1).alias("ch"), "para", F.when(F.col("para") % 2 == 0, F.replace("text", F.lit(" "), F.lit('" '))).otherwise(F.col("text")).alias("text"))
     return segment.alternating_spans(rows).select("book_id", "para", F.col("s").cast("int"), "kind", "text", "start_char", "end_char")
 
 
 @query(ORACLE_SQL["double_quote_spans"])
 def split_spans(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).where("para <= 3")
+    rows = doc_lines(spark, sf_dir)
     rows = rows.select("book_id", F.lit(1).alias("ch"), "para", F.when(F.col("para") % 2 == 0, F.replace("text", F.lit(" "), F.lit('" '))).otherwise(F.col("text")).alias("text"), F.lit("double").alias("style"))
     return segment.split_spans(rows).select("book_id", "para", F.col("s").cast("int"), "kind", "text", "start_char", "end_char")
 
@@ -422,9 +422,9 @@ def emotion_cascade(spark, sf_dir):
 _RULES = (("door", "the"), ("rain", "ing"), ("bell", "er"), ("wind", "st"))
 
 
-@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS rule, '{n}' AS effect, len(regexp_extract_all(text, ' {p}')) AS hits FROM documents WHERE lang = 'en'" for k, (n, p) in enumerate(_RULES)) + ") SELECT doc_id, CAST(rule AS INT) AS rule, effect, CAST(hits AS INT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule) AS rn FROM h WHERE hits > 0) WHERE rn <= 3")
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS rule, '{n}' AS effect, len(regexp_extract_all(text, ' {p}')) AS hits FROM documents" for k, (n, p) in enumerate(_RULES)) + ") SELECT doc_id, CAST(rule AS INT) AS rule, effect, CAST(hits AS INT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule) AS rn FROM h WHERE hits > 0) WHERE rn <= 3")
 def sfx_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     rules = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(n).alias("effect"), F.regexp_count("text", F.lit(f" {p}")).alias("hits")) for k, (n, p) in enumerate(_RULES)])
     top = F.slice(F.filter(rules, lambda r: r["hits"] > 0), 1, 3)
     return d.select("doc_id", F.explode(top).alias("r")).select("doc_id", "r.rule", "r.effect", "r.hits")
@@ -512,9 +512,9 @@ def voice_settings(spark, sf_dir):
     return casting.settings_for(rows).select("book_id", "idx", "stability", "style", "speed")
 
 
-@query("SELECT user_id AS job_id, count(*) AS n_chapters, sum(event_id % 1000)::BIGINT AS duration_ms FROM events WHERE event_id % 10 = 0 GROUP BY 1")
+@query("SELECT user_id AS job_id, count(*) AS n_chapters, sum(event_id % 1000)::BIGINT AS duration_ms FROM events GROUP BY 1")
 def job_manifests(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ch"), F.col("event_type").alias("title"), (F.col("event_id") % 1000).alias("duration_ms"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ch"), F.col("event_type").alias("title"), (F.col("event_id") % 1000).alias("duration_ms"))
     return sinks.job_manifests(rows).select("job_id", "n_chapters", "duration_ms")
 
 
