@@ -119,14 +119,12 @@ def quote_style(paras: DataFrame) -> DataFrame:
 
 def alternating_spans(paras: DataFrame, style: str = "double") -> DataFrame:
     """Spans of paragraphs (book_id, ch, para, text) cut at every mark of a style: even pieces are narration, odd ones quotes. All in
-    expressions: offsets are the lengths of the pieces before, each mark counting one."""
-    pieces = F.split("text", MARKS[style], -1)
-    cut = paras.select("book_id", "ch", "para", pieces.alias("p"))
-    begins = F.transform("p", lambda x, i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda a, y: a + F.length(y) + 1))
-    rows = cut.select("book_id", "ch", "para", F.posexplode(F.arrays_zip(F.col("p").alias("piece"), begins.alias("at"))).alias("k", "x"))
-    text = T.strip(F.col("x.piece"))
-    lead = F.length("x.piece") - F.length(F.regexp_replace("x.piece", r"(?U)^\s+", ""))
-    found = rows.select("book_id", "ch", "para", "k", F.when(F.col("k") % 2 == 0, "narration").otherwise("quote").alias("kind"), text.alias("text"), (F.col("x.at") + lead).alias("start_char")).where(F.col("text") != "")
+    expressions: offsets are a running sum of the lengths before, each mark counting one; spans are numbered in the same shuffle."""
+    rows = paras.select("book_id", "ch", "para", F.posexplode(F.split("text", MARKS[style], -1)).alias("k", "piece"))
+    before = Window.partitionBy("book_id", "ch", "para").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)))
+    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
+    found = placed.select("book_id", "ch", "para", "k", F.when(F.col("k") % 2 == 0, "narration").otherwise("quote").alias("kind"), T.strip(F.col("piece")).alias("text"), (F.col("at") + lead).cast("int").alias("start_char")).where(F.col("text") != "")
     return numbered(found.withColumn("end_char", F.col("start_char") + F.length("text")))
 
 
