@@ -193,6 +193,43 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("full", [vectors.FULL_ROWS, 64])
+def test_vectors_of_a_concentrated_label(spark, full):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.standard_normal(64)) * 0.8**0.5 + 0.2**0.5 * unit(rng.standard_normal((2_000, 64))))
+    across = rng.standard_normal((400, 64))
+    across = unit(across - (across * x[:400]).sum(1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.932 * x[:400] + (1 - 0.932**2) ** 0.5 * across])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)] + [(9_000, [1.0, 2.0], 1), (9_001, [2.0, 4.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(df, full_rows=full).collect()}
+    links = x @ x.T >= vectors.COSINE
+    want = links.sum(1) - 1
+    share = sum(got[k].n_links for k in range(len(x))) / want.sum()
+    assert got[9_001].component_id == 9_000 and want.sum() >= 800 and all(got[k].n_links <= want[k] for k in range(len(x)))
+    assert share == 1 if full > len(x) else share >= 0.95
+
+
+@pytest.mark.parametrize("part", [8, 1_024])
+def test_full_edges_in_parts(spark, part):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + 0.25 * rng.standard_normal((15, 8)) for c in 2 * rng.standard_normal((8, 8))])
+    rows = [(k, k % 2, 60, 1, x[k].tolist()) for k in range(120)]
+    members = spark.createDataFrame(rows, "rid long, component long, n_members long, copies long, vector array<double>")
+    edges = [(r.a, r.b) for r in vectors.full_edges(members, part_rows=part).collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & (np.arange(120)[:, None] % 2 == np.arange(120) % 2)
+
+    def groups(pairs):
+        at = list(range(120))
+        for a, b in pairs:
+            old, new = at[a], at[b]
+            at = [new if v == old else v for v in at]
+        return {frozenset(k for k in range(120) if at[k] == v) for v in at}
+
+    assert groups(edges) == groups(np.argwhere(linked)) and all(a % 2 == b % 2 for a, b in edges)
+
+
 @pytest.mark.parametrize("part", [8, 1_024])
 def test_exact_links_in_parts(spark, part):
     rng = np.random.default_rng(7)
