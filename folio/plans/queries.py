@@ -408,6 +408,14 @@ def name_candidates(spark, sf_dir):
     return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
+@query(f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '{T.NAME}', 1)) AS name FROM documents) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
+def name_candidates_all(spark, sf_dir):
+    """name_candidates over every document, whatever its lang, and with names in any script."""
+    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.names(F.col("text"))).alias("name"))
+    per_doc = names.groupBy("name", "doc_id").agg(F.count("*").alias("c"))
+    return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
+
+
 _EMOTIONS = (("angry", "an"), ("sad", "sh"), ("urgent", "!"), ("calm", "th"))
 
 

@@ -145,6 +145,15 @@ def test_signal(spark):
     assert row.i == [16384, -16384, 32767] and abs(row.d + 6.0206) < 1e-3
 
 
+def test_names_of_any_language(spark, tmp_path):
+    from folio.plans.queries import QUERIES
+
+    text = "José sah Müller, Łukasz; été Élise\nAnna Anna xBob _Cleo 7Dan e\u0301Fred NATO O'Neil A."
+    frame(spark, [(1, text, "de"), (2, "Anna", None), (3, None, "en"), (4, "Anna Zoë", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.name: (r.n, r.docs) for r in QUERIES["name_candidates_all"](spark, str(tmp_path)).collect()}
+    assert got == {"José": (1, 1), "Müller": (1, 1), "Łukasz": (1, 1), "Élise": (1, 1), "Anna": (4, 3), "Neil": (1, 1), "Zoë": (1, 1)}
+
+
 def test_books(spark, tmp_path):
     words = " ".join(["word"] * 60)
     (tmp_path / "a.txt").write_bytes(f"{words} caf\xe9 \x93q\x94".encode("latin-1"))
