@@ -7,9 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 FLOOR_DB = -120.0
+#: Length of a mix's buckets; buckets that a task holds; groups in which a bucket's partial sums are added first.
+BUCKET_MS = 10_000
+HELD = 64
+SALTS = 32
 
 
 def db_to_gain(db: Column) -> Column:
@@ -135,16 +140,56 @@ def map_samples(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], c
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, kind) if f.name == column else f for f in rows.schema.fields]))
 
 
-def mix_tracks(placed: DataFrame, rate: int) -> DataFrame:
-    """(book_id, ch, track, samples) from placements (start_ms, gain_db, samples): the sum of a track's clips. One chapter's track is one task;
-    its length is bounded by the chapter's."""
-
-    def mix(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ends = [r["start_ms"] * rate // 1000 + len(r["samples"]) for r in rows]
-        out = np.zeros(max(ends, default=0))
-        for r, end in zip(rows, ends, strict=True):
-            out[end - len(r["samples"]) : end] += np.array(r["samples"]) * 10 ** (r["gain_db"] / 20)
-        return pa.table({"book_id": [rows[0]["book_id"]], "ch": pa.array([rows[0]["ch"]], pa.int32()), "track": [rows[0]["track"]], "samples": [out.tolist()]})
-
-    return placed.groupBy("book_id", "ch", "track").applyInArrow(mix, "book_id string, ch int, track string, samples array<double>")
+def mix_tracks(placed: DataFrame, rate: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """(book_id, ch, track, bucket, start, samples) from placements (start_ms, gain_db, samples): the sum of a track's clips
+    in fixed buckets of time. `start` is the bucket's first sample; samples end with the last one placed in the bucket, and what
+    is missing is silence. Clips are cut at the buckets and summed where they are read, so that a task holds HELD buckets at
+    most; the sums of a bucket are then added in two steps, however many clips overlap there."""
+    size = max(1, bucket_ms * rate // 1000)
+    keys = ["book_id", "ch", "track", "bucket"]
+    schema = "book_id string, ch int, track string, bucket long, salt int, samples array<double>"
+    first = F.floor(F.col("start_ms").cast("long") * rate / 1000)
+    cut = placed.where(F.size("samples") > 0).withColumn("first", first).withColumn("last", F.col("first") + F.size("samples") - 1)
+    cut = cut.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
+    low, high = F.greatest("first", F.col("bucket") * size), F.least("last", F.col("bucket") * size + size - 1)
+    cut = cut.select(
+        "book_id", F.col("ch").cast("int").alias("ch"), "track", "bucket", (low - F.col("bucket") * size).cast("int").alias("offset"),
+        db_to_gain(F.col("gain_db")).alias("gain"), F.slice("samples", (low - F.col("first") + 1).cast("int"), (high - low + 1).cast("int")).cast("array<double>").alias("samples"),
+    )
+
+    def rows(held: dict[tuple, np.ndarray], salt: int) -> pa.RecordBatch:
+        at = list(held)
+        columns = [pa.array([k[i] for k in at], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([salt] * len(at), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], [*keys, "salt", "samples"])
+
+    def add(held: dict[tuple, np.ndarray], key: tuple, offset: int, clip: np.ndarray) -> None:
+        end = offset + len(clip)
+        old = held.get(key, clip[:0])
+        if len(old) < end:
+            old = np.concatenate([old, np.zeros(end - len(old))])
+        old[offset:end] += clip
+        held[key] = old
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        salt = TaskContext.get().partitionId() % SALTS
+        for batch in batches:
+            columns = [batch.column(n) for n in (*keys, "offset", "gain", "samples")]
+            for k in range(batch.num_rows):
+                *key, offset, gain = (c[k].as_py() for c in columns[:-1])
+                add(held, tuple(key), offset, columns[-1][k].values.to_numpy(zero_copy_only=False) * gain)
+                if len(held) >= HELD:
+                    yield rows(held, salt)
+                    held = {}
+        if held:
+            yield rows(held, salt)
+
+    def total(table: pa.Table) -> pa.Table:
+        held: dict[tuple, np.ndarray] = {}
+        key = tuple(table.column(n)[0].as_py() for n in keys)
+        for clip in table.column("samples"):
+            add(held, key, 0, clip.values.to_numpy(zero_copy_only=False))
+        return pa.Table.from_batches([rows(held, 0)])
+
+    summed = cut.mapInArrow(partial, schema).groupBy(*keys, "salt").applyInArrow(total, schema).groupBy(*keys).applyInArrow(total, schema)
+    return summed.select("book_id", "ch", "track", "bucket", (F.col("bucket") * size).alias("start"), "samples")

@@ -562,8 +562,26 @@ def faded_samples(spark, sf_dir):
 
 @query("SELECT CAST(label AS VARCHAR) AS book_id, count(*) AS clips, 64 * count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
 def mixed_track(spark, sf_dir):
-    order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    e = table(spark, sf_dir, "embeddings").withColumn("k", order)
-    placed = e.select(F.col("label").cast("string").alias("book_id"), F.lit(1).alias("ch"), F.lit("voice").alias("track"), (F.col("k") * 64).alias("start_ms"), F.lit(0.0).alias("gain_db"), F.col("embedding").cast("array<double>").alias("samples"))
-    mixed = signal.mix_tracks(placed, 1000)
-    return mixed.join(placed.groupBy("book_id").agg(F.count("*").alias("clips")), "book_id").select("book_id", "clips", F.size("samples").cast("long").alias("n"))
+    placed = placed_clips(spark, sf_dir, 64)
+    mixed = signal.mix_tracks(placed, 1000).groupBy("book_id").agg(F.max(F.col("start") + F.size("samples")).alias("n"))
+    return mixed.join(placed.groupBy("book_id").agg(F.count("*").alias("clips")), "book_id").select("book_id", "clips", F.col("n").cast("long"))
+
+
+def placed_clips(spark: SparkSession, sf_dir: str, step_ms: int, gain_db: float = 0.0) -> DataFrame:
+    """Each label's embeddings as clips of one track, step_ms apart in the order of vec_id; ranks are counted by ranges of vec_id first."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor(F.col("vec_id") / 4096).alias("range"))
+    sizes = e.groupBy("label", "range").agg(F.count("*").alias("c"))
+    before = sizes.select(F.col("label").alias("_label"), F.col("range").alias("_range"), (F.sum("c").over(Window.partitionBy("label").orderBy("range")) - F.col("c")).alias("before"))
+    e = e.join(before, F.col("label").eqNullSafe(F.col("_label")) & F.col("range").eqNullSafe(F.col("_range")))
+    k = F.col("before") + F.row_number().over(Window.partitionBy("label", "range").orderBy("vec_id")) - 1
+    return e.select(F.col("label").cast("string").alias("book_id"), F.lit(1).alias("ch"), F.lit("voice").alias("track"), (k * step_ms).alias("start_ms"), F.lit(gain_db).alias("gain_db"), F.col("embedding").cast("array<double>").alias("samples"))
+
+
+@query("""WITH k AS (SELECT label, 48 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS first, embedding FROM embeddings), s AS (SELECT label, first + i - 1 AS pos, embedding[i]::DOUBLE * pow(10, -6 / 20.0) AS v FROM k, range(1, 65) AS t(i)),
+m AS (SELECT label, pos, sum(v) AS v FROM s GROUP BY 1, 2) SELECT CAST(label AS VARCHAR) AS book_id, pos // 1000 AS bucket, count(*) AS n, round(sum(abs(v)), 4) AS loud, round(sum(v * (1 + pos % 97)), 4) AS digest FROM m GROUP BY 1, 2""")
+def mixed_samples(spark, sf_dir):
+    """The mixed samples themselves: clips of 64 samples, 48 apart, as a digest for each bucket."""
+    mixed = signal.mix_tracks(placed_clips(spark, sf_dir, 480, -6.0), 100)
+    index = F.transform("samples", lambda x, i: x * (1 + (F.col("start") + i) % 97))
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    return mixed.select("book_id", "bucket", F.size("samples").cast("long").alias("n"), add(F.transform("samples", lambda x: F.abs(x))).alias("loud"), add(index).alias("digest"))

@@ -145,6 +145,19 @@ def test_signal(spark):
     assert row.i == [16384, -16384, 32767] and abs(row.d + 6.0206) < 1e-3
 
 
+def test_mix_in_buckets(spark):
+    rng = np.random.default_rng(3)
+    clips = [(k % 2, int(rng.integers(0, 4_000)), float(rng.integers(-6, 3)), rng.standard_normal(int(rng.integers(0, 250))).tolist()) for k in range(200)]
+    placed = frame(spark, [("b", ch, "t", at, gain, x) for ch, at, gain, x in clips], "book_id string, ch int, track string, start_ms long, gain_db double, samples array<double>").repartition(7)
+    got = signal.mix_tracks(placed, 100, 1_000).collect()
+    want, have = np.zeros((2, 700)), np.zeros((2, 700))
+    for ch, at, gain, x in clips:
+        want[ch, at * 100 // 1000 :][: len(x)] += np.array(x) * 10 ** (gain / 20)
+    for r in got:
+        have[r.ch, r.start : r.start + len(r.samples)] += r.samples
+    assert np.allclose(have, want) and len({(r.ch, r.bucket) for r in got}) == len(got) and max(len(r.samples) for r in got) == 100
+
+
 def test_names_of_any_language(spark, tmp_path):
     from folio.plans.queries import QUERIES
 
