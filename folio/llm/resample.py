@@ -22,8 +22,8 @@ BUCKETS = 1 << 16
 ADDED = 0.05
 SHARE = 0.8
 SEED = 1
-#: Bound of the target sample (rows of least hash).
-TARGET_DOCS = 20_000
+#: Target ids that are sent to all tasks at most (8 bytes each); more are joined by a shuffle of the texts, with the same result.
+BROADCAST_IDS = 1 << 20
 #: Keys are compared in steps of this size.
 STEP = 2.0**-20
 _DIGIT_BITS, _DIGITS = 11, 5
@@ -79,18 +79,18 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     return value
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_grams, log_ratio, sample_key, kept: a row for each row of docs.
 
-    target_ids (doc_id) names the target documents; at most TARGET_DOCS of them, those of least hash,
-    shape the target distribution. round(share * rows) documents of largest key are kept; all rows at
+    target_ids (doc_id) names the target documents: all rows of docs with one of these ids shape the target
+    distribution, whatever their number. round(share * rows) documents of largest key are kept; all rows at
     the last key are, so repeated rows stay or go together. Null or empty text has no n-grams and
     log-ratio 0. Without any target text all ratios are 0 and the draw is uniform. A null doc_id gets the noise of
     its own constant. Other columns are ignored. An empty table gives an empty result.
     """
-    picked = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
+    picked = store(target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "target-ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    target = bucket_counts(rows.join(F.broadcast(picked), "doc_id", "left_semi"))
+    target = bucket_counts(rows.join(picked.hint("broadcast" if picked.count() <= broadcast_ids else "merge"), "doc_id", "left_semi"))
     raw = bucket_counts(rows)
     ratio = np.zeros(BUCKETS)
     if target.sum():
