@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.llm.storage import store
+from folio.llm.storage import free_names, store
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -145,19 +145,21 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
     Rows that repeat doc_id, source and size are exchangeable for the mix; where it takes some of
     them more often than others, they are ordered by text and then by their other columns."""
-    key = ["_mix_id", "_mix_source", "_mix_size"]
+    names = free_names(docs.columns, "_mix_id", "_mix_source", "_mix_size", "_n", "_low", "_sum", "_high", "_own_id", "_own_source", "_own_size", "_copy", "_rank")
+    key, (n, low, sum_, high), own, (copy, at) = names[:3], names[3:7], names[7:10], names[10:]
     times = mix_sources(docs, weights, share, most, seed).select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), "times")
-    like = times.groupBy(*key).agg(F.count("*").alias("_mix_n"), F.min("times").alias("_mix_low"), F.sum("times").alias("_mix_sum"), F.max("times").alias("_mix_high"))
-    like = store(like.where("_mix_sum > 0"), "mix-times")
-    rows = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_source": F.col("source").cast("string"), "_own_size": word_count(F.col("text"))})
-    same = F.col("_own_id").eqNullSafe(F.col(key[0])) & F.col("_own_source").eqNullSafe(F.col(key[1])) & (F.col("_own_size") == F.col(key[2]))
-    repeated = lambda df, n: df.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    like = times.groupBy(*key).agg(F.count("*").alias(n), F.min("times").alias(low), F.sum("times").alias(sum_), F.max("times").alias(high))
+    like = store(like.where(F.col(sum_) > 0), "mix-times")
+    rows = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text"))), strict=True)))
+    same = F.col(own[0]).eqNullSafe(F.col(key[0])) & F.col(own[1]).eqNullSafe(F.col(key[1])) & (F.col(own[2]) == F.col(key[2]))
+    repeated = lambda df, n: df.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
     # The documents taken grow with the input, so they are never broadcast: each text is shuffled once, at every size.
-    out = repeated(rows.join(like.where("_mix_low = _mix_high").hint("merge"), same), F.col("_mix_low"))
-    if like.where("_mix_low < _mix_high").limit(1).count():
+    alike = F.col(low) == F.col(high)
+    out = repeated(rows.join(like.where(alike).hint("merge"), same), F.col(low))
+    if like.where(~alike).limit(1).count():
         whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("text", whole))
-        ranked = rows.join(like.where("_mix_low < _mix_high").hint("merge"), same).withColumn("_rank", rank)
-        above = F.col("_mix_sum") - F.col("_mix_n") * F.col("_mix_low")
-        out = out.unionByName(repeated(ranked, F.col("_mix_low") + (F.col("_rank") <= above).cast("long")))
+        ranked = rows.join(like.where(~alike).hint("merge"), same).withColumn(at, rank)
+        above = F.col(sum_) - F.col(n) * F.col(low)
+        out = out.unionByName(repeated(ranked, F.col(low) + (F.col(at) <= above).cast("long")))
     return out

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.storage import store
+from folio.llm.storage import free_names, store
 from folio.llm.text import chunks
 
 RADIUS = 4
@@ -296,16 +296,18 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFram
     Of rows that repeat this doc_id, one stays: the first by text, then by its other columns. In a
     component without any id nothing tells its rows apart, so all of them stay. Links and
     components come from `simhash_groups`, which see for null, empty and long texts."""
+    kept_id, row = free_names(docs.columns, "_kept", "_row")
     groups = store(simhash_groups(docs, shingle), "simhash-groups")
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    ids = store(ids.select(F.col("doc_id").alias("_kept"), "_n"), "simhash-kept")
+    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = store(ids.select(F.col("doc_id").alias(kept_id), "n"), "simhash-kept")
+    single, several = (ids.where(c).select(kept_id).hint("merge") for c in ("n = 1", "n > 1"))
     # The ids grow with the documents, so they are never broadcast: each text is shuffled once, at every size.
-    out = docs.join(ids.where("_n = 1").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if ids.where("_n > 1").limit(1).count():
-        rows = docs.join(ids.where("_n > 1").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    out = docs.join(single, F.col("doc_id") == F.col(kept_id), "left_semi")
+    if ids.where("n > 1").limit(1).count():
+        rows = docs.join(several, F.col("doc_id") == F.col(kept_id), "left_semi")
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        first = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row"))
-        out = out.unionByName(first.select("_row.*"))
+        first = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias(row))
+        out = out.unionByName(first.select(f"{row}.*"))
     if groups.where("component_id is null").limit(1).count():
         out = out.unionByName(docs.where("doc_id is null"))
     return out
