@@ -3,7 +3,8 @@
 Every language is a model of hashed byte n-grams within words. A document's words are drawn from a
 mixture of the languages; expectation-maximisation estimates its proportions, and a penalised
 likelihood chooses how many languages it has. Counts for the models come from all labelled documents
-and meet as bounded vectors, one for each language.
+and meet as bounded vectors, one for each language. No language is left out, and no number of
+languages of a text is ruled out: what a task holds grows with the number of languages alone.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folio.llm.storage import store
-from folio.llm.text import chunks, words
+from folio.llm.text import CHUNK_BYTES, chunks, words
 
 #: Buckets that n-grams are hashed to, and the added count of each.
 BUCKETS = 1 << 16
 ADDED = 0.5
 SIZES = (1, 2, 3)
 ROUNDS = 12
-#: Most languages that one document is taken to hold, and the weight of a further one in the penalty.
-MOST_LANGUAGES = 3
+#: Weight of a further language in the penalty, and further languages without a gain after which the search ends.
 PENALTY = 1.0
-#: Languages that are modelled at most: those with most documents (the models are sent to all tasks).
-MOST_MODELS = 64
+PATIENCE = 2
+#: Languages whose counts a task holds before it sends them on; languages that the driver reads at once.
+HELD_LANGUAGES = 16
+READ_LANGUAGES = 32
+#: Likelihoods (word and language) that a task holds at once, about; one longer text stands alone.
+HELD_LIKELIHOODS = 1 << 22
 UNKNOWN = "und"
 HELD_OUT = (4, 2)
 _LETTER = regex.compile(r"\p{L}")
@@ -69,32 +73,44 @@ def grams(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def language_models(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (bucket, language) of all rows of labelled (text, lang)."""
+    """Languages and log-probabilities (bucket, language) of all rows of labelled (text, lang): 256 KB for each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 1, np.int64))
+        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, BUCKETS).astype(np.int32)), pa.array(np.append(total[at], 0))], ["lang", "bin", "n"])
+
         for batch in chunks(batches):
             codes, n_words, vocabulary = words(batch.column("text"))
             bucket, owner = grams(vocabulary)
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            doc_lang = np.repeat(langs, n_words)
-            for lang in {*langs}:
-                times = np.bincount(codes[doc_lang == lang], minlength=len(vocabulary))
-                sums[lang][:BUCKETS] += np.bincount(bucket, weights=times[owner], minlength=BUCKETS).astype(np.int64)
-                sums[lang][BUCKETS] += int((langs == lang).sum())
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bin", "n"])
+            coded = batch.column("lang").dictionary_encode()
+            doc_lang = np.repeat(coded.indices.to_numpy(zero_copy_only=False), n_words)
+            order = np.argsort(doc_lang, kind="stable")
+            ends = np.searchsorted(doc_lang[order], np.arange(len(coded.dictionary) + 1))
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                times = np.bincount(codes[order[ends[k] : ends[k + 1]]], minlength=len(vocabulary))
+                sums[lang] += np.bincount(bucket, weights=times[owner], minlength=BUCKETS).astype(np.int64)
+                if len(sums) >= HELD_LANGUAGES:
+                    yield from told()
+                    sums.clear()
+        yield from told()
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text")
     sums = store(rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-grams")
-    largest = sums.where(F.col("bin") == BUCKETS).orderBy(F.desc("n"), "lang").limit(MOST_MODELS).collect()
-    langs = sorted(r.lang for r in largest)
-    counts = np.full((BUCKETS, len(langs)), ADDED)
-    for k, lang in enumerate(langs):  # BUCKETS counts at most, one language at a time
-        own = sums.where((F.col("lang") == lang) & (F.col("bin") < BUCKETS)).select("bin", "n").toArrow()
-        counts[own.column("bin").to_numpy(), k] += own.column("n").to_numpy()
-    return langs, np.log(counts / counts.sum(0, keepdims=True))
+    langs = sorted(r.lang for r in sums.where(F.col("bin") == BUCKETS).select("lang").collect())  # a row for each language
+    log_p = np.empty((BUCKETS, len(langs)), np.float32)
+    for first in range(0, len(langs), READ_LANGUAGES):
+        some = {lang: k for k, lang in enumerate(langs[first : first + READ_LANGUAGES])}
+        own = sums.where(F.col("lang").isin(*some) & (F.col("bin") < BUCKETS)).toArrow()
+        counts = np.full((BUCKETS, len(some)), ADDED)
+        coded = own.column("lang").combine_chunks().dictionary_encode()
+        at = np.array([some[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if own.num_rows else np.zeros(0, np.int64)
+        counts[own.column("bin").to_numpy(), at] += own.column("n").to_numpy()
+        log_p[:, first : first + len(some)] = np.log(counts / counts.sum(0, keepdims=True))
+    return langs, log_p
 
 
 def _mixture(doc: np.ndarray, times: np.ndarray, like: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +126,10 @@ def _mixture(doc: np.ndarray, times: np.ndarray, like: np.ndarray, start: np.nda
 
 
 def proportions(codes: np.ndarray, n_words: np.ndarray, vocabulary: pa.Array, log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Chosen languages' proportions (0 for the others) of each text. A text without n-grams has all zero."""
+    """Chosen languages' proportions (0 for the others) of each text. A text without n-grams has all zero.
+
+    All languages are mixed first; then the m of largest share are mixed alone, for m from 1 on. The m of the best
+    penalised likelihood is chosen; the search of a text ends when PATIENCE further languages have not raised it."""
     n, k = len(n_words), log_p.shape[1]
     bucket, owner = grams(vocabulary)
     size = np.bincount(owner, minlength=len(vocabulary))
@@ -120,25 +139,38 @@ def proportions(codes: np.ndarray, n_words: np.ndarray, vocabulary: pa.Array, lo
     ok = size[codes] > 0
     pair, times = np.unique(doc[ok] * max(1, len(vocabulary)) + codes[ok], return_counts=True)
     doc, word = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
-    like = like[word]
-    share, _ = _mixture(doc, times, like, np.full((n, k), 1 / k))
-    order = np.argsort(-share, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
     cost = np.log(np.maximum(np.bincount(doc, weights=times, minlength=n), 2)) * penalty
-    best, best_value = np.zeros((n, k)), np.full(n, -np.inf)
-    for m in range(1, min(MOST_LANGUAGES, k) + 1):
-        start = np.where(rank < m, np.maximum(share, 1e-6), 0)
+    best, best_value, idle = np.zeros((n, k)), np.full(n, -np.inf), np.zeros(n, np.int64)
+    share, _ = _mixture(doc, times, like[word], np.full((n, k), 1 / k))
+    order = np.argsort(-share, axis=1, kind="stable")
+    open_, some = np.arange(n), np.bincount(doc, minlength=n) > 0
+    for m in range(1, k + 1):
+        top = order[open_, :m]
+        start = np.maximum(np.take_along_axis(share[open_], top, 1), 1e-6)
         start /= start.sum(1, keepdims=True)
-        try_, ll = _mixture(doc, times, like, start, 1 if m == 1 else ROUNDS // 2)
-        better = ll - (m - 1) * cost > best_value
-        best[better], best_value[better] = try_[better], (ll - (m - 1) * cost)[better]
+        found, ll = _mixture(doc, times, like[word[:, None], top[doc]], start, 0 if m == 1 else ROUNDS // 2)
+        value = ll - (m - 1) * cost[open_]
+        better = value > best_value[open_]
+        rows = open_[better]
+        best[rows] = 0
+        best[rows[:, None], top[better]] = found[better]
+        best_value[rows] = value[better]
+        idle[open_] = np.where(better, 0, idle[open_] + 1)
+        go_on = idle[open_] < PATIENCE
+        if not go_on.any():
+            break
+        moved = np.cumsum(go_on) - 1
+        stays = go_on[doc]
+        doc, word, times, open_ = moved[doc[stays]], word[stays], times[stays], open_[go_on]
+    best[~some] = 0
     return best
 
 
 def identify(docs: DataFrame, labelled: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred, score (proportion of that language), languages (all chosen ones with their proportions).
 
-    Models are learnt from `labelled` (text, lang); rows without text or language teach nothing. Null text,
+    Models are learnt from `labelled` (text, lang): one for every language in it, each of 256 KB in every task. `penalty`
+    weighs a further language of a text by the log of its words. Rows without text or language teach nothing. Null text,
     text without a letter, and any text if nothing was learnt give `und` with score 0. A text whose
     letters give no n-gram known to favour a language still gets the likeliest one. Equal proportions go to
     the first language in code-point order. Repeated rows get equal results, a null doc_id stays null,
@@ -148,7 +180,7 @@ def identify(docs: DataFrame, labelled: DataFrame, penalty: float = PENALTY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = models.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=min(CHUNK_BYTES, max(1 << 14, 8 * HELD_LIKELIHOODS // max(1, len(langs))))):
             texts = batch.column("text").to_pylist()
             letter = np.array([bool(t and _LETTER.search(t)) for t in texts])
             share = proportions(*words(batch.column("text")), log_p, penalty) if langs else np.zeros((batch.num_rows, 1))
