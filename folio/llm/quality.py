@@ -31,8 +31,8 @@ MOST_WORD_DISTANCE = 0.50
 #: Common words that a language's histogram holds, and buckets that words are hashed to.
 COMMON = 100
 BUCKETS = 1 << 16
-#: Languages that references are kept for at most: those with most text.
-MOST_LANGUAGES = 256
+#: Languages whose counts a task holds before it sends them on.
+HELD_LANGUAGES = 16
 
 # Character classes: fixed values.
 CLASSES = ("lower", "upper", "digit", "space", "break", "stop", "call", "quote", "symbol", "other", "beyond")
@@ -113,10 +113,16 @@ def dup_lines(text: bytes | None) -> int:
 
 def language_references(docs: DataFrame, common: int = COMMON) -> dict:
     """For each language: shares of the character classes, its `common` most frequent word buckets and
-    their shares. What comes to the driver is bounded by MOST_LANGUAGES * (classes + common)."""
+    their shares. What comes to the driver is classes + common numbers for each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES) + BUCKETS, np.int64))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bin", "n"])
+
         for batch in chunks(batches):
             found = Counts(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
@@ -126,14 +132,13 @@ def language_references(docs: DataFrame, common: int = COMMON) -> dict:
                 own = fit & (langs == lang)
                 sums[lang][: len(CLASSES)] += found.classes[own].sum(0)
                 sums[lang][len(CLASSES) :] += np.bincount(bucket[own[doc]], minlength=BUCKETS)
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bin", "n"])
+                if len(sums) >= HELD_LANGUAGES:
+                    yield from told()
+                    sums.clear()
+        yield from told()
 
     known = docs.where("lang is not null").select(F.col("lang").cast("string"), "text")
     sums = store(known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language-counts")
-    largest = sums.where(F.col("bin") < len(CLASSES)).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    sums = sums.where(F.col("lang").isin([r.lang for r in largest]))
     is_word = F.col("bin") >= len(CLASSES)
     total = F.sum("n").over(Window.partitionBy("lang", is_word))
     rank = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.desc("n"), "bin"))
@@ -162,8 +167,9 @@ def quality_rules(docs: DataFrame, char_distance: float = MOST_CHAR_DISTANCE, wo
     word_distance, kept: a row for each row of docs.
 
     Null text has no words, so the base rules fail it, as they do any text under MIN_WORDS words. Distances are null below
-    the length guards and where there is no reference at all; then they reject nothing. A null language
-    adds to no reference; a text is held against all languages, whatever its own. Repeated rows count again and
+    the length guards (LEAST_CHAR_WORDS and LEAST_WORDS words) and where there is no reference at all; then they reject
+    nothing. Every language has a reference, of its `common` most frequent words; a text farther than char_distance or word_distance
+    from all of them is not kept. A null language adds to no reference; a text is held against all languages, whatever its own. Repeated rows count again and
     get equal results. Columns beside doc_id, text and lang are ignored. An empty table gives an
     empty result.
     """
