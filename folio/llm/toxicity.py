@@ -24,10 +24,10 @@ from folio.llm.text import chunks, hashes, words
 HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 SPAN_PROBABILITY = 0.5
-LEAST_MARGINAL = 0.2
-#: Bounds of the labelled sample that the model is fitted on: documents of each class, and their length.
+LEAST_MARGINAL = 0.35
+#: Bounds of the labelled sample that the model is fitted on: documents of each class, and bytes of their texts together.
 SAMPLE_DOCS = 2_000
-SAMPLE_CHARS = 10_000
+SAMPLE_BYTES = 6 << 20
 #: Feature buckets, documents that a telling feature needs, and its least log-odds.
 BUCKETS = 1 << 18
 LEAST_DOCS = 6
@@ -284,28 +284,37 @@ def _logistic(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60,
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> tuple[list, list, float]:
-    """Texts and labels of a bounded sample (rows of least hash in each class), and the share of toxic labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, class_bytes: int = SAMPLE_BYTES) -> tuple[list, list, float]:
+    """Texts and labels of a bounded sample, and the share of toxic labels. In each class, ids are taken in the order of their
+    hash, per_class of them at most, as long as their texts together fit class_bytes; one that no longer fits is passed over, so
+    that long texts are as welcome as short ones. Sizes are gathered first, and only the texts of the sample come to the driver."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"), *HELD_OUT))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    rows = own.join(F.broadcast(picked), "doc_id").orderBy(*order, "text").limit(2 * per_class).select("text", "toxic").toArrow()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
+    sizes = own.join(F.broadcast(first), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    room, picked = {0: class_bytes, 1: class_bytes}, []
+    for r in sizes.orderBy(*order).collect():  # 2 * per_class rows at most
+        if r.bytes <= room[r.toxic]:
+            room[r.toxic] -= r.bytes
+            picked.append((r.doc_id, r.toxic))
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    rows = own.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").select("text", "toxic").toArrow()
     return rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), rate
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = SAMPLE_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = SAMPLE_DOCS, class_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start, end, probability, in code points): a row for each row of docs.
 
-    The model is fitted on at most per_class labelled documents of each class, none of them held out (doc_id's
-    crc32 by HELD_OUT); a doc_id labelled twice counts as toxic if any label says so. Null or empty
+    The model is fitted on at most per_class labelled documents of each class with at most class_bytes bytes of text together
+    (see `labelled_sample`), none of them held out (doc_id's crc32 by HELD_OUT); a doc_id labelled twice counts as toxic if any label says so. Null or empty
     text is scored like a text without words. Without labels of both classes every score is 0. Every
     token of a long text counts. Repeated rows get equal results, a null doc_id stays null and is not
     held out, other columns are ignored. An empty table gives an empty result.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, per_class)))
+    broadcast = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, per_class, class_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
@@ -330,9 +339,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns; null cases as in `toxicity`."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, per_class)))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = SAMPLE_DOCS, class_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names.
+
+    The model is that of `toxicity`. Rows with null or empty text stay unless a text without words scores the threshold; without labels
+    of both classes every row stays. Rows of a null doc_id are judged by their text, repeated rows stay or go
+    together, long texts are judged as a whole. An empty table gives an empty result."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, per_class, class_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
