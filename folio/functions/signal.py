@@ -60,11 +60,12 @@ def envelope(x: np.ndarray, frame: int) -> np.ndarray:
     return np.sqrt((np.pad(x, (0, n * frame - len(x))).reshape(n, frame) ** 2).mean(1)) if n else np.zeros(0)
 
 
-def trim_silence(x: np.ndarray, rate: int, threshold_db: float = -50.0, keep_ms: int = 40) -> np.ndarray:
+def trim_silence(x: np.ndarray, rate: int, threshold_db: float = -45.0, keep_ms: int = 40) -> np.ndarray:
+    """x without what lies before its first and after its last loud frame but for keep_ms; as it is without a loud frame."""
     frame = max(1, rate // 100)
     loud = np.flatnonzero(20 * np.log10(np.maximum(envelope(x, frame), 1e-6)) > threshold_db)
     if not len(loud):
-        return x[:0]
+        return x
     keep = rate * keep_ms // 1000
     return x[max(0, loud[0] * frame - keep) : min(len(x), (loud[-1] + 1) * frame + keep)]
 
@@ -113,18 +114,29 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
 
 
-def duck_gain(voice: np.ndarray, rate: int, depth_db: float = -10.0, threshold_db: float = -45.0, ahead_ms: int = 60, attack_ms: int = 80, release_ms: int = 400) -> np.ndarray:
-    """Gain of a bed under a voice: down while it speaks, by a one-pole glide each way."""
-    frame = max(1, rate // 100)
-    speaks = 20 * np.log10(np.maximum(envelope(voice, frame), 1e-6)) > threshold_db
-    ahead = max(1, ahead_ms // 10)
-    goal = np.array([speaks[k : k + ahead + 1].any() for k in range(len(speaks))])
-    low, gain, out = 10 ** (depth_db / 20), 1.0, np.empty(len(goal))
-    for k, down in enumerate(goal):
-        target, ms = (low, attack_ms) if down else (1.0, release_ms)
-        gain += (target - gain) * (1 - math.exp(-10 / ms))
-        out[k] = gain
-    return np.repeat(out, frame)[: len(voice)]
+def pauses(busy: np.ndarray, least: int) -> np.ndarray:
+    """Whether each frame lies in a run of at least `least` frames that are not busy."""
+    begins = np.flatnonzero(np.concatenate([[True], busy[1:] != busy[:-1]])) if len(busy) else np.zeros(0, int)
+    lengths = np.diff(np.append(begins, len(busy)))
+    return ~busy & (np.repeat(lengths, lengths) >= least)
+
+
+def duck_gain(speaks: np.ndarray, depth_db: float, boost_db: float = 0.0, least_gap_ms: int = 0, held: np.ndarray | None = None, frame_ms: int = 20, attack_ms: int = 40, release_ms: int = 600, ahead_ms: int = 60) -> np.ndarray:
+    """Gain of a bed in each frame: depth_db lower while a voice speaks (from ahead_ms before it on) or something else is held, boost_db
+    higher in pauses of least_gap_ms or more. The gain glides: fast down, slowly up."""
+    busy = speaks.copy()
+    for k in range(1, min(-(-ahead_ms // frame_ms), len(speaks) - 1) + 1):
+        busy[:-k] |= speaks[k:]
+    if held is not None:
+        busy |= held
+    low, high = 10 ** (-abs(depth_db) / 20), 10 ** (boost_db / 20)
+    goal = np.where(pauses(busy, -(-least_gap_ms // frame_ms)), high, low)
+    keep_down, keep_up = math.exp(-frame_ms / attack_ms), math.exp(-frame_ms / release_ms)
+    out, level = np.empty(len(goal)), goal[0] if len(goal) else high
+    for k, g in enumerate(goal):
+        level = g + (level - g) * (keep_down if g < level else keep_up)
+        out[k] = level
+    return out
 
 
 def map_samples(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], column: str = "samples") -> DataFrame:

@@ -76,21 +76,67 @@ def without_jobs(table: DataFrame, gone: DataFrame, key: str = "job_id") -> Data
     return table.join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def newest_job(jobs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(source_sha256, id): the newest job made from each of the files in digests (source_sha256)."""
+    own = jobs.join(digests.select("source_sha256").distinct(), "source_sha256", "left_semi")
+    return own.groupBy("source_sha256").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+
+
+def running_floor(jobs: DataFrame, own_id: str) -> DataFrame:
+    """floor: when the first of the other running jobs began, null without any."""
+    return jobs.where((F.col("id") != own_id) & (F.col("status") == "running")).agg(F.min("started_at").alias("floor"))
+
+
+def set_stages(stages: DataFrame, changes: DataFrame) -> DataFrame:
+    """stages (job_id, stage, state, attempts, started_at, finished_at) after changes (job_id, stage, state, ts): a stage that starts to run counts
+    one more attempt and forgets its end, one that is done, failed or skipped gets its end."""
+    new = changes.select("job_id", "stage", F.col("state").alias("_state"), "ts")
+    runs, ends = F.col("_state") == "running", F.col("_state").isin("done", "failed", "skipped")
+    done = stages.join(new, ["job_id", "stage"], "left").withColumns({
+        "attempts": F.col("attempts") + F.coalesce(runs.cast("int"), F.lit(0)),
+        "started_at": F.when(runs, F.col("ts")).otherwise(F.col("started_at")),
+        "finished_at": F.when(runs, None).when(ends, F.col("ts")).otherwise(F.col("finished_at")),
+        "state": F.coalesce("_state", "state"),
+    })
+    return done.select(*stages.columns)
+
+
+def numbered_events(new: DataFrame, after: int, order: list[str]) -> DataFrame:
+    """new with id: after + 1, after + 2, ... in the order of its columns, dense and the same in every run. Rows are sorted in
+    ranges, and each range is numbered behind the rows of those before it."""
+    names = ["_at", "_part"]
+    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(names[0], F.monotonically_increasing_id()).withColumn(names[1], F.shiftright(names[0], 33))
+    per = ranged.groupBy(names[1]).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = per.select(names[1], (F.sum("_n").over(Window.orderBy(names[1])) - F.col("_n")).alias("_before"))
+    own = F.col(names[0]) - F.shiftleft(F.col(names[1]), 33)
+    return ranged.join(F.broadcast(before), names[1]).withColumn("id", F.lit(after) + F.col("_before") + own + 1).select("id", *new.columns)
+
+
+#: Units of time that entries are totalled by, one after the other, before any are ordered row by row.
+PRUNE_UNITS = ("day", "hour", "minute", "second")
+
+
 def lru_prune(entries: DataFrame, cap: int, floor=None) -> DataFrame:
     """Entries to delete, oldest first, until those kept take at most cap bytes; entries used at or after `floor`
     are spared, and a cap of 0 means no limit. Columns: key, bytes, used_at.
 
-    Entries are totalled by day first. Only the day in which the total passes the cap is ordered row
-    by row; the days before and after it are kept or deleted as a whole."""
+    Entries are totalled by day first. Only the day in which the total passes the cap is looked into: it is totalled by hour, that
+    hour by minute, and that minute by second. Only the entries of one second are ordered row by row; all others are kept or deleted as a whole."""
     if cap == 0:
         return entries.limit(0)
-    day = F.date_trunc("day", F.col("used_at"))
-    per_day = entries.groupBy(day.alias("_day")).agg(F.sum("bytes").alias("_day_bytes"))
-    newer = F.coalesce(F.sum("_day_bytes").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = per_day.withColumn("_newer", newer)
-    dealt = entries.withColumn("_day", day).join(days, "_day")
-    past = dealt.where(F.col("_newer") >= cap)
-    own = F.sum("bytes").over(Window.partitionBy("_day").orderBy(F.desc("used_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
-    within = dealt.where((F.col("_newer") < cap) & (F.col("_newer") + F.col("_day_bytes") > cap)).withColumn("_own", own).where(F.col("_newer") + F.col("_own") > cap)
-    gone = past.select(*entries.columns).unionByName(within.select(*entries.columns))
-    return gone if floor is None else gone.where(F.col("used_at") < floor)
+    gone, open_, newer = [], entries, 0
+    for unit in PRUNE_UNITS:
+        span = F.date_trunc(unit, F.col("used_at"))
+        totals = open_.groupBy(span.alias("at")).agg(F.sum("bytes").alias("n"))
+        upto = F.sum("n").over(Window.orderBy(F.desc("at")))
+        cut = totals.withColumn("newer", F.lit(newer) + upto - F.col("n")).where((F.col("newer") <= cap) & (F.col("newer") + F.col("n") > cap)).orderBy("at").limit(1).collect()
+        if not cut:
+            open_ = entries.limit(0)
+            break
+        gone.append(open_.where(span < F.lit(cut[0]["at"])))
+        open_, newer = open_.where(span == F.lit(cut[0]["at"])), cut[0]["newer"]
+    order = Window.orderBy(F.desc("used_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    last = open_.withColumn("_own", F.sum("bytes").over(order)).where(F.col("_own") + newer > cap).select(*entries.columns)
+    for part in gone:
+        last = last.unionByName(part)
+    return last if floor is None else last.where(F.col("used_at") < floor)

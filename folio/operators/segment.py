@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions import text as T
+from folio.functions.arrays import running
 from folio.schema import QUOTE_STYLES
 
 MIN_CHAPTER_WORDS, PART_WORDS, CONTEXT_PARAGRAPHS, SEPARATOR_CHARS = 100, 6000, 2, 2
@@ -87,20 +87,22 @@ def synthetic_parts(paras: DataFrame, part_words: int = PART_WORDS) -> DataFrame
 
 def detect_chapters(paras: DataFrame) -> DataFrame:
     """(book_id, ch, title, para, text, scene_break_before): headings open chapters, short ones are merged, text before the first
-    heading is a Prologue if it has prose, and a book with fewer than two headings is cut into parts."""
+    heading is a Prologue if it has prose (its first short paragraph is the book's name), and a book with fewer than two headings is cut into parts."""
     headed = sections(headings(paras)).withColumn("words", T.word_count(F.col("text")))
     book = Window.partitionBy("book_id")
+    names = (F.col("section") == 0) & (F.length("text") <= T.MAX_HEADING_CHARS) & (F.col("words") <= T.MAX_TITLE_WORDS)
+    headed = headed.withColumn("_name", F.min(F.when(names, F.col("para"))).over(book))
     counted = headed.withColumn("_heads", F.sum(F.col("title").isNotNull().cast("int")).over(book))
     none = counted.where("_heads < 2")
     parts = synthetic_parts(none.select("book_id", "para", "text", "scene_break_before", "words"))
     cut = parts.select("book_id", (F.col("part") + 1).alias("ch"), F.concat(F.lit("Part "), (F.col("part") + 1).cast("string")).alias("title"), "para", "text", "scene_break_before")
-    some = counted.where("_heads >= 2")
+    some = counted.where("_heads >= 2").where(~F.col("para").eqNullSafe(F.col("_name")))
     size = some.groupBy("book_id", "section").agg(F.max("title").alias("title"), F.sum(F.when(F.col("title").isNull(), F.col("words")).otherwise(0)).alias("words"), F.max(F.when(F.col("title").isNull(), F.col("words"))).alias("longest"))
     size = size.where((F.col("section") > 0) | (F.col("longest") > T.MAX_TITLE_WORDS) | (F.col("words") > MIN_CHAPTER_WORDS)).withColumn("title", F.coalesce("title", F.lit("Prologue")))
     grouped = merge_short(size.withColumnRenamed("section", "ch"))
     name = F.coalesce(F.max_by("title", F.when(F.col("words") >= MIN_CHAPTER_WORDS, F.col("ch"))), F.min_by("title", "ch"))
     titles = grouped.groupBy("book_id", "group").agg(name.alias("chapter_title"))
-    body = some.where("title is null").drop("title").join(grouped.select("book_id", F.col("ch").alias("section"), "group"), ["book_id", "section"]).join(titles, ["book_id", "group"])
+    body = some.where("title is null").drop("title", "_name").join(grouped.select("book_id", F.col("ch").alias("section"), "group"), ["book_id", "section"]).join(titles, ["book_id", "group"])
     return cut.unionByName(body.select("book_id", (F.col("group") + 1).alias("ch"), F.col("chapter_title").alias("title"), "para", "text", "scene_break_before"))
 
 
@@ -117,100 +119,147 @@ def quote_style(paras: DataFrame) -> DataFrame:
     return counts.select("book_id", F.when(most >= 3, best).otherwise("double").alias("style"))
 
 
-def alternating_spans(paras: DataFrame, style: str = "double") -> DataFrame:
-    """Spans of paragraphs (book_id, ch, para, text) cut at every mark of a style: even pieces are narration, odd ones quotes. All in
-    expressions: offsets are a running sum of the lengths before, each mark counting one; spans are numbered in the same shuffle."""
-    rows = paras.select("book_id", "ch", "para", F.posexplode(F.split("text", MARKS[style], -1)).alias("k", "piece"))
-    before = Window.partitionBy("book_id", "ch", "para").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)))
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
-    found = placed.select("book_id", "ch", "para", "k", F.when(F.col("k") % 2 == 0, "narration").otherwise("quote").alias("kind"), T.strip(F.col("piece")).alias("text"), (F.col("at") + lead).cast("int").alias("start_char")).where(F.col("text") != "")
-    return numbered(found.withColumn("end_char", F.col("start_char") + F.length("text")))
-
-
-def numbered(found: DataFrame) -> DataFrame:
-    s = F.row_number().over(Window.partitionBy("book_id", "ch", "para").orderBy("k")) - 1
-    out = found.withColumn("s", s)
-    return out.select("book_id", "ch", "para", "s", F.format_string("c%dp%ds%d", "ch", "para", "s").alias("span_id"), "kind", "text", "start_char", "end_char")
-
-
-_OPENS_AFTER, _CLOSES_BEFORE = " \t\n([{—–-\"“", " \t\n.,;:!?)]}\"”—–-"
-
-
-def _single_marks(text: str) -> list[int]:
-    """Positions of single quotes that open or close speech; apostrophes inside words, and at word ends that
-    the sentence goes on after while a later mark closes, are none."""
-    spots = [m.start() for m in re.finditer(MARKS["single"], text)]
-    at = lambda i: text[i] if 0 <= i < len(text) else " "
-    opener, closer = (lambda i: at(i - 1) in _OPENS_AFTER), (lambda i: at(i + 1) in _CLOSES_BEFORE)
-    out: list[int] = []
-    for n, i in enumerate(spots):
-        if len(out) % 2 == 0:
-            if opener(i):
-                out.append(i)
-        elif closer(i):
-            elided = at(i - 1).isalpha() and at(i + 1) == " " and at(i + 2).islower()
-            later = next((not opener(j) for j in spots[n + 1 :] if opener(j) or closer(j)), False)
-            if not (elided and later):
-                out.append(i)
-    return out
-
-
-_DASH_BREAK = re.compile(r"(?<=\s)(?:—|–|--)(?=\s)")
-_TAG = re.compile(r",\s+(?:(?:said|asked|replied|answered|shouted|whispered|muttered|murmured|cried|called|added)\s+\w+|(?:[A-Z][\w'’-]*|he|she|they|I)\s+(?:said|asked|replied|answered|shouted|whispered|muttered|murmured|cried|called|added))\b")
-
-
-def _ranges(text: str, style: str) -> list[tuple[str, int, int]]:
-    if style == "dash":
-        opened = re.match(r"\s*(?:—|–|--)", text)
-        if not opened:
-            return [("narration", 0, len(text))]
-        out, pos, kind = [], opened.end(), "quote"
-        for m in [*_DASH_BREAK.finditer(text, pos), None]:
-            end = m.start() if m else len(text)
-            tag = _TAG.search(text, pos, end) if kind == "quote" else None
-            out += [(kind, pos, tag.start()), ("narration", tag.start(), end)] if tag else [(kind, pos, end)]
-            pos, kind = (m.end() if m else end), "narration" if out[-1][0] == "quote" else "quote"
-        return out
-    marks = _single_marks(text) if style == "single" else [m.start() for m in re.finditer(MARKS[style], text)]
-    edges = [0, *[m + 1 for m in marks]], [*marks, len(text)]
-    return [("quote" if k % 2 else "narration", a, b) for k, (a, b) in enumerate(zip(*edges, strict=True))]
+# What may stand before a single quote that opens speech and after one that closes it, and dashed speech: the dash that
+# opens it, a dash that breaks it, a tag of speech, and the end of a sentence that narration goes on after.
+OPENS_AFTER, CLOSES_BEFORE = " \\t\\n(\\[{—–\\-\"“", " \\t\\n.,;:!?)\\]}\"”—–\\-"
+DASH_OPENER = r"^\s*(?:—|–|--)"
+DASH_BREAK = r"(?<=\s)(?:—|–|--)(?=\s)"
+DASH_VERBS = (
+    r"(?:said|says|asked|asks|replied|answered|shouted|whispered|muttered|murmured|cried|called|added|sighed|laughed|"
+    r"snapped|growled|hissed|repeated|insisted|demanded|dijo|preguntó|respondió|gritó|murmuró|contestó|dit|demanda|"
+    r"répondit|murmura|cria|ajouta|sagte|fragte|antwortete|rief|flüsterte|murmelte)"
+)
+DASH_NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+DASH_TAG = rf",\s+(?:{DASH_VERBS}\s+(?:{DASH_NAME}|he|she|they|I|il|elle|er|sie|él|ella)\b|(?:{DASH_NAME}|he|she|they|I|il|elle|er|sie|él|ella)\s+{DASH_VERBS}\b)"
+DASH_SENTENCE_END = (
+    r"[.!?][\"'”’)]*\s+(?=(?:he|she|they|He|She|They)\b|"
+    rf"(?!(?:I|You|We|Yes|No|Not|Then|But|And|Or|So|If|What|Why|How|When|Where|Who|Oh|Ah)\b){DASH_NAME}\s+[a-z])"
+)
+
+
+def _marked_speech(style: str) -> str:
+    """A pattern for a whole piece of speech with its marks; group 1 is what is said. Speech that is not closed runs to the end.
+
+    A single quote opens speech where a word could begin, and closes it where one could end. One that a sentence goes on after
+    (a letter before it, a blank and a small letter after it) is an apostrophe if a later quote closes the speech before
+    another could open one; quotes within words are apostrophes anyway."""
+    mark = MARKS[style]
+    if style != "single":
+        return f"(?s){mark}([^{mark[1:]}*)(?:{mark}|\\z)"
+    opener, closer = f"(?<=^|[{OPENS_AFTER}]){mark}", f"{mark}(?=\\z|[{CLOSES_BEFORE}])"
+    within = f"(?<!^|[{OPENS_AFTER}]){mark}(?!\\z|[{CLOSES_BEFORE}])"
+    neither = f"[^{mark[1:]}*+(?:{within}[^{mark[1:]}*+)*+"
+    goes_on = f"(?<=\\p{{L}}{mark})(?= \\p{{Ll}})(?={neither}(?<!^|[{OPENS_AFTER}]){closer})"
+    return f"(?s){opener}(.*?)(?:{closer}(?!{goes_on})|\\z)"
+
+
+SPEECH = {style: _marked_speech(style) for style in ("double", "single", "guillemet")}
+_PIECE = "array<struct<kind:string,text:string,start:int>>"
+
+
+def _piece(kind: Column | str, text: Column, start: Column) -> Column:
+    """A piece without white space at its ends, and where it starts then."""
+    lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), T.strip(text).alias("text"), (start + lead).cast("int").alias("start"))
+
+
+def _marked_pieces() -> Column:
+    """Narration and speech in turn, from gaps, said, and the end of each whole speech (ends)."""
+    each = F.arrays_zip(F.col("gaps").alias("gap"), F.col("said").alias("said"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"))
+
+    def pieces(z: Column) -> Column:
+        told = _piece("narration", z["gap"], z["at"])
+        return F.when(z["said"].isNull(), F.array(told)).otherwise(F.array(told, _piece("quote", z["said"], z["at"] + F.length(z["gap"]) + 1)))
+
+    return F.flatten(F.transform(each, pieces))
+
+
+def _dashed_pieces() -> Column:
+    """Parts between breaking dashes (gaps), which start at at_0, ends...: speech and narration in turn, and speech once more after
+    speech that narration ended. `cut` tells where in a part speech would end."""
+    parts = F.arrays_zip(F.col("gaps").alias("part"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"), F.col("cut").alias("cut"))
+    start = F.struct(F.lit(True).alias("speech"), F.array().cast("array<boolean>").alias("out"))
+    turn = lambda a, cut: F.struct((~a["speech"] | cut.isNotNull()).alias("speech"), F.array_append(a["out"], a["speech"]).alias("out"))
+    turns = F.aggregate("cut", start, turn)["out"]
+
+    def pieces(z: Column, speech: Column) -> Column:
+        part, at, cut = z["part"], F.col("lead") + z["at"], z["cut"]
+        both = F.array(_piece("quote", F.left(part, cut), at), _piece("narration", F.right(part, F.length(part) - cut), at + cut))
+        return F.when(speech & cut.isNotNull(), both).otherwise(F.array(_piece(F.when(speech, "quote").otherwise("narration"), part, at)))
+
+    return F.flatten(F.zip_with(parts, turns, pieces))
 
 
 def split_spans(paras: DataFrame) -> DataFrame:
     """Spans of paragraphs (book_id, ch, para, text, style) in any quote style. Marks stay outside the spans; spans are
-    trimmed and numbered in their paragraph; speech that is not closed runs to its end."""
+    trimmed and numbered in their paragraph; speech that is not closed runs to its end.
+
+    All of it is one projection of each paragraph: nothing is shuffled, and offsets are running sums of the lengths before."""
+    key = ["book_id", "ch", "para", "style"]
+    text, style = F.coalesce("text", F.lit("")), F.col("style")
+    dashed = style == "dash"
+    paras = paras.withColumn("style", F.coalesce("style", F.lit(QUOTE_STYLES[0])))
+    rows = paras.select(*key, text.alias("text"), F.when(dashed, F.regexp_extract(text, DASH_OPENER, 0)).otherwise("").alias("opener"))
+    rows = rows.select(*key, F.length("opener").alias("lead"), F.expr("substring(text, length(opener) + 1)").alias("text"))
+    plain = dashed & (F.col("lead") == 0)
+
+    def by_style(find: Callable[[str], Column]) -> Column:
+        found = F.when(dashed, find(DASH_BREAK))
+        for name, pattern in SPEECH.items():
+            found = found.when(style == name, find(pattern))
+        return found
+
+    none = F.array().cast("array<string>")
+    whole = by_style(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    said = F.when(dashed, none).otherwise(by_style(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0 if p == DASH_BREAK else 1))))
+    gaps = by_style(lambda p: F.split("text", p, -1))
+    found = rows.select(*key, "lead", F.when(plain, F.array("text")).otherwise(gaps).alias("gaps"), F.when(plain, none).otherwise(whole).alias("whole"), said.alias("said"))
+    last = F.size("gaps") - 1
+
+    def cut(part: Column, k: Column) -> Column:
+        """Where a tag of speech begins, or a sentence ends before a further dash, whichever comes first; null where nothing is said before."""
+        before = lambda p: F.length(F.regexp_extract(part, p, 1))
+        at = F.least(F.when(part.rlike(DASH_TAG), before(f"(?s)^(.*?){DASH_TAG}")), F.when((k < last) & part.rlike(DASH_SENTENCE_END), before(f"(?s)^(.*?{DASH_SENTENCE_END})")))
+        return F.when(T.strip(F.substring(part, F.lit(1), at)) != "", at)
+
+    steps = F.zip_with(F.slice("gaps", 1, F.size("whole")), F.col("whole"), lambda g, w: F.length(g) + F.length(w))
+    cuts = F.when(dashed & ~plain, F.transform("gaps", cut)).otherwise(F.array().cast("array<int>"))
+    stepped = found.select(*key, "lead", "gaps", "said", cuts.alias("cut"), steps.alias("steps")).withColumn("ends", running(F.col("steps")))
+    pieces = F.when(dashed & ~plain, _dashed_pieces()).otherwise(_marked_pieces())
+    spans = stepped.select("book_id", "ch", "para", F.filter(pieces, lambda x: x["text"] != "").alias("spans"))
+    out = spans.select("book_id", "ch", "para", F.posexplode("spans").alias("s", "x"))
+    return out.select("book_id", "ch", "para", "s", F.format_string("c%dp%ds%d", "ch", "para", "s").alias("span_id"), "x.kind", "x.text", F.col("x.start").alias("start_char"), (F.col("x.start") + F.length("x.text")).alias("end_char"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("book_id", "ch", "para", "k", "kind", "text", "start_char", "end_char")}
-            for row in batch.to_pylist():
-                for k, (kind, a, b) in enumerate(_ranges(row["text"] or "", row["style"])):
-                    piece = (row["text"] or "")[a:b]
-                    if piece.strip():
-                        a += len(piece) - len(piece.lstrip())
-                        for n, v in zip(out, (row["book_id"], row["ch"], row["para"], k, kind, piece.strip(), a, a + len(piece.strip())), strict=True):
-                            out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("book_id", pa.string()), *[(n, pa.int32()) for n in ("ch", "para", "k")], ("kind", pa.string()), ("text", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32())]))
 
-    schema = "book_id string, ch int, para int, k int, kind string, text string, start_char int, end_char int"
-    return numbered(paras.select("book_id", "ch", "para", "text", "style").mapInArrow(run, schema))
+def alternating_spans(paras: DataFrame, style: str = "double") -> DataFrame:
+    """Spans of paragraphs (book_id, ch, para, text) that are all in one style."""
+    return split_spans(paras.withColumn("style", F.lit(style)))
 
 
 def chunk_numbers(paras: DataFrame, max_chars: int) -> DataFrame:
     """(book_id, ch, para, length) with chunk: paragraphs packed in order, a chunk closed when the next would
-    pass max_chars (paragraphs are joined by a blank line). A fold over the lengths of one chapter."""
-    chapter = paras.groupBy("book_id", "ch").agg(F.array_sort(F.collect_list(F.struct("para", "length"))).alias("own"))
-    none = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["chunk"] < 0) | (a["size"] + SEPARATOR_CHARS + x["length"] > max_chars)
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        size = F.when(fresh, x["length"]).otherwise(a["size"] + SEPARATOR_CHARS + x["length"])
-        return F.struct(chunk.cast("int").alias("chunk"), size.cast("long").alias("size"), F.array_append(a["out"], chunk.cast("int")).alias("out"))
-
-    packed = chapter.withColumn("chunk", F.aggregate("own", none, step)["out"])
-    return packed.select("book_id", "ch", F.explode(F.arrays_zip("own", "chunk")).alias("x")).select("book_id", "ch", "x.own.para", "x.own.length", "x.chunk")
+    pass max_chars (paragraphs are joined by a blank line).
+
+    Each paragraph's number depends on all before it in the chapter, so a chapter is read in order, once: sorted within its partition,
+    in batches, with the open chunk's number and size carried along. Nothing of a chapter is gathered."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chapter, chunk, size = None, -1, 0
+        for batch in batches:
+            out = []
+            for *own, length in zip(*(batch.column(n).to_pylist() for n in ("book_id", "ch", "length")), strict=True):
+                if own != chapter:
+                    chapter, chunk, size = own, 0, length
+                elif size + SEPARATOR_CHARS + length > max_chars:
+                    chunk, size = chunk + 1, length
+                else:
+                    size += SEPARATOR_CHARS + length
+                out.append(chunk)
+            yield batch.append_column("chunk", pa.array(out, pa.int32()))
+
+    own = paras.select(F.col("book_id").cast("string"), F.col("ch").cast("int"), F.col("para").cast("int"), F.col("length").cast("long"))
+    ordered = own.repartition("book_id", "ch").sortWithinPartitions("book_id", "ch", "para")
+    return ordered.mapInArrow(pack, "book_id string, ch int, para int, length long, chunk int")
 
 
 def context_before(paras: DataFrame) -> DataFrame:

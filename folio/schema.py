@@ -25,6 +25,28 @@ BLOCKING_INTENSITY, BLOCKING_FRACTION, BLOCKING_GAP, BLOCKING_GAP_MAX_MS = 0.7,
 SFX_LEAD_MS, AMBIENT_LEAD_MS, AMBIENT_OFFSET_DB = 120, 300, -10.0
 MUSIC_LEAD_MS, MUSIC_TAIL_MS, MUSIC_OVERLAP_MS, MUSIC_FADE_MS, MUSIC_FIRST_FADE_MS = 800, 1500, 3000, 2500, 1500
 
+# Requests for clips, their limits, and what music is asked for in each mood.
+SCHEMA_VERSION = 1
+NEIGHBOUR_CHARS = 200
+SFX_MIN_REQUEST_MS, AMBIENT_REQUEST_MS, MUSIC_REQUEST_PAD_MS, MUSIC_REQUEST_CAP_MS = 500, 15000, 4000, 120000
+MUSIC_PROMPTS = {
+    "calm": "soft ambient pad, slow and gentle, warm piano touches, unobtrusive underscore",
+    "warm": "warm acoustic guitar and strings, gentle and homely, light and comforting underscore",
+    "tense": "low pulsing drone with tremolo strings, tension building, dark suspense underscore",
+    "ominous": "dark low cluster drone, distant rumble, slow ominous swell, unsettling underscore",
+    "melancholy": "slow minor piano arpeggio with soft strings, wistful and reflective underscore",
+    "sad": "sparse minor pad and lonely cello, slow and mournful, sorrowful underscore",
+    "hopeful": "rising major arpeggio with light strings, gentle optimism, uplifting underscore",
+    "adventurous": "driving rhythmic strings and percussion, bold and energetic, adventurous underscore",
+    "joyful": "bright staccato strings and playful woodwinds, cheerful and lively underscore",
+    "mysterious": "detuned fifths and shimmering bells, curious and mysterious, subtle underscore",
+    "romantic": "lush major ninth pad with soft harp, tender and intimate, romantic underscore",
+    "none": "silence",
+}
+
+# Limits that a chunk's labels and cues are held to.
+MAX_UNLABELLED_SHARE, MIN_SFX_SECONDS, MAX_SFX_SECONDS = 0.2, 0.5, 30.0
+
 # Assumptions of the cost estimate.
 CHARS_PER_TOKEN, TOKENS_PER_CHUNK, TOKENS_PER_QUOTE = 4, 900, 25
 OUTPUT_TOKENS_PER_CHUNK, MUSIC_SECONDS_PER_CHAPTER, SFX_SECONDS_PER_PARAGRAPH = 1500, 120, 1
@@ -42,6 +64,6 @@ BOOK_TABLES = {
 }
 
 
-def lookup(table: dict[str, float], key: Column, default: float) -> Column:
+def lookup(table: dict, key: Column, default) -> Column:
     """The value of a small fixed table, as an expression."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key], F.lit(default))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import keys, signal, text as T
-from folio.operators import casting, ledger, script, segment, timeline
-from folio.sources import books
+from folio.operators import cache, casting, characters, effects, ledger, mix, script, segment, selection, speech, timeline, validate
+from folio.sources import books, sinks
 from folio.streaming import ledger as stream
 
 
@@ -23,12 +23,44 @@ def spans_of(spark, text, style):
     return [(r.span_id, r.kind, r.text) for r in out]
 
 
-def test_spans(spark):
-    assert spans_of(spark, '"Stop," he said. "Now', "double") == [("c1p2s0", "quote", "Stop,"), ("c1p2s1", "narration", "he said."), ("c1p2s2", "quote", "Now")]
-    assert spans_of(spark, "'I'm the boys' friend,' said Tom.", "single") == [("c1p2s0", "quote", "I'm the boys' friend,"), ("c1p2s1", "narration", "said Tom.")]
-    assert spans_of(spark, "« Oui » dit-il", "guillemet") == [("c1p2s0", "quote", "Oui"), ("c1p2s1", "narration", "dit-il")]
-    assert spans_of(spark, "— You are late, said Marie.", "dash") == [("c1p2s0", "quote", "You are late"), ("c1p2s1", "narration", ", said Marie.")]
-    assert spans_of(spark, "Plain text", "dash") == [("c1p2s0", "narration", "Plain text")]
+Q, N = "quote", "narration"
+
+
+@pytest.mark.parametrize(
+    ("style", "text", "want"),
+    [
+        ("double", '"Stop," he said. "Now', [(Q, "Stop,"), (N, "he said."), (Q, "Now")]),
+        ("double", '"" "Hello."   "" ', [(Q, "Hello.")]), ("double", "   ", []), ("double", "", []),
+        ("double", '  Leading space.  "Quote."  trailing  ', [(N, "Leading space."), (Q, "Quote."), (N, "trailing")]),
+        ("double", "“I can’t reach it!” he cried. “Help!”", [(Q, "I can’t reach it!"), (N, "he cried."), (Q, "Help!")]),
+        ("double", "«Not a quote here», he said. 'Nor this.'", [(N, "«Not a quote here», he said. 'Nor this.'")]),
+        ("single", "'I'm the boys' friend,' said Tom.", [(Q, "I'm the boys' friend,"), (N, "said Tom.")]),
+        ("single", "'Tobias's lantern is out,' Mara said, 'and the boy's boots are wet.'", [(Q, "Tobias's lantern is out,"), (N, "Mara said,"), (Q, "and the boy's boots are wet.")]),
+        ("single", "Mara didn't answer; the sea's roar was loud. 'They heard,' she said.", [(N, "Mara didn't answer; the sea's roar was loud."), (Q, "They heard,"), (N, "she said.")]),
+        ("single", "'Rock 'n' roll,' he said.", [(Q, "Rock 'n' roll,"), (N, "he said.")]),
+        ("single", "'I'm goin' home,' she said.", [(Q, "I'm goin' home,"), (N, "she said.")]),
+        ("single", "'It's the Hardcastles' pride and joy, or it was.'", [(Q, "It's the Hardcastles' pride and joy, or it was.")]),
+        ("single", "'The boys' room is a mess", [(Q, "The boys"), (N, "room is a mess")]),
+        ("single", "‘Where’s the boy?’ she asked. ‘I don’t know", [(Q, "Where’s the boy?"), (N, "she asked."), (Q, "I don’t know")]),
+        ("guillemet", "« Oui » dit-il", [(Q, "Oui"), (N, "dit-il")]), ("guillemet", "»Komm her«, sagte sie.", [(Q, "Komm her"), (N, ", sagte sie.")]),
+        ("dash", "— You are late, said Marie.", [(Q, "You are late"), (N, ", said Marie.")]), ("dash", "Plain text", [(N, "Plain text")]),
+        ("dash", "— Ven aquí — dijo ella — ahora mismo.", [(Q, "Ven aquí"), (N, "dijo ella"), (Q, "ahora mismo.")]),
+        ("dash", "The sea — grey and flat — lay silent.", [(N, "The sea — grey and flat — lay silent.")]), ("dash", "-- Nobody is coming.", [(Q, "Nobody is coming.")]),
+        ("dash", "— The bells were early, said Tomas. — I set my watch by them.", [(Q, "The bells were early"), (N, ", said Tomas."), (Q, "I set my watch by them.")]),
+        ("dash", "— Perhaps. He leaned on the wall. — Are you angry?", [(Q, "Perhaps."), (N, "He leaned on the wall."), (Q, "Are you angry?")]),
+        ("dash", "— Fine. But you are paying.", [(Q, "Fine. But you are paying.")]), ("dash", "— Decide. The café closes at nine.", [(Q, "Decide. The café closes at nine.")]),
+    ],
+)
+def test_spans(spark, style, text, want):
+    assert spans_of(spark, text, style) == [(f"c1p2s{k}", kind, piece) for k, (kind, piece) in enumerate(want)]
+
+
+def test_spans_of_a_long_paragraph(spark):
+    text = "'I'm here,' he said. " * 20_000
+    for style, n in (("single", 40_000), ("double", 1)):
+        paras = frame(spark, [("b", 1, 2, text, style)], "book_id string, ch int, para int, text string, style string")
+        got = segment.split_spans(paras).agg(F.count("*"), F.max("end_char")).first()
+        assert tuple(got) == (n, len(text) - 1)
 
 
 def test_paragraphs_and_scene_breaks(spark):
@@ -139,8 +171,9 @@ def test_signal(spark):
     assert 1000 <= len(signal.trim_silence(x, 1000, keep_ms=40)) <= 1100
     assert abs(20 * np.log10(np.sqrt((signal.normalize_rms(x, 1000)[510:1490] ** 2).mean())) + 20) < 0.3
     assert len(signal.loop_to_length(np.ones(100), 1000, 20)) == 1000 and len(signal.resample(x, 1000, 500)) == 1000
-    gain = signal.duck_gain(x, 1000)
-    assert gain[:300].min() > 0.99 and gain[1200] < 0.4
+    gain = signal.duck_gain(np.repeat([False, True, False], [25, 50, 25]), 10.0)
+    assert gain[:20].min() > 0.99 and gain[60] < 0.4 and 0.4 < gain[-1] < 0.9
+    assert signal.pauses(np.array([True, False, False, True, False]), 2).tolist() == [False, True, True, False, False] and not len(signal.pauses(np.zeros(0, bool), 2))
     row = frame(spark, [([0.5, -0.5, 2.0],)], "s array<double>").select(signal.to_int16(F.col("s")).alias("i"), signal.rms_dbfs(F.slice("s", 1, 2)).alias("d")).first()
     assert row.i == [16384, -16384, 32767] and abs(row.d + 6.0206) < 1e-3
 
@@ -168,18 +201,20 @@ def test_names_of_any_language(spark, tmp_path):
 
 
 def test_books(spark, tmp_path):
-    words = " ".join(["word"] * 60)
+    words = " ".join(["word"] * 120)
     (tmp_path / "a.txt").write_bytes(f"{words} caf\xe9 \x93q\x94".encode("latin-1"))
     (tmp_path / "b.md").write_text("too short")
     with zipfile.ZipFile(tmp_path / "c.epub", "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
-        z.writestr("o/p.opf", '<package><manifest><item id="x" href="x.html"/></manifest><spine><itemref idref="x"/></spine></package>')
-        z.writestr("o/x.html", f"<html><head><title>t</title></head><body><h1>One</h1><p>{words}<br>end</p><hr></body></html>")
+        z.writestr("o/p.opf", '<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> Doc </dc:title></metadata><manifest><item id="n" href="nav.html" properties="nav"/><item id="c" href="cover.html"/><item id="x" href="a%20b.html"/></manifest><spine><itemref idref="n"/><itemref idref="c"/><itemref idref="x"/></spine></package>')
+        z.writestr("o/nav.html", "<h1>Contents</h1>")
+        z.writestr("o/cover.html", "<p>Cover</p>")
+        z.writestr("o/a b.html", f"<html><head><title>t</title></head><body><h1>One</h1><p>{words}<br>end</p><hr></body></html>")
     (tmp_path / "d.epub").write_bytes(b"no zip")
     got = {r.filename: r for r in books.read_books(spark, str(tmp_path)).collect()}
     assert got["a.txt"].text.endswith("café “q”") and got["b.md"].error and got["d.epub"].error
     assert got["c.epub"].text == f"# One\n\n{words} end\n\n***"
-    assert books.unwrap_lines("A long line of text that is hyphen-\nated and goes on here\nand ends.\nNext one") .startswith("A long line of text that is hyphenated")
+    assert got["c.epub"].title == "Doc"
 
 
 def test_streams(spark, tmp_path):
@@ -228,5 +263,201 @@ def test_attribution(spark):
     people = {r.name: r for r in attribution.characters(spans).collect()}
     assert people["Ansel Vey"].aliases == ["Ansel", "the man"] and people["Tobias"].age == "child" and people["Mara Quill"].gender == "female" and people["Mara Quill"].line_count == 5
     tone = {r.span_id: (r.emotion, r.delivery) for r in attribution.tones(spans).collect()}
-    assert tone["c1p2s0"] == ("urgent", "shout") and tone["c1p3s1"] == ("afraid", "normal") and tone["c1p7s0"] == ("weary", "strained")
-    assert [(r.para, r.mood) for r in attribution.mood_changes(attribution.paragraph_moods(paras)).collect()] == [(2, "tense")]
+    assert tone["c1p2s0"] == ("urgent", "shout") and tone["c1p3s1"] == ("afraid", "shout") and tone["c1p7s0"] == ("weary", "strained")
+    moods = effects.paragraph_moods(paras.withColumn("prior_mood", F.lit("none"))).withColumn("reset", F.col("scene_break_before"))
+    assert [(r.para, r.action, r.mood, r.energy) for r in effects.music_cues(moods).collect()] == [(1, "start", "tense", 0.7)]
+
+
+def test_line_sources(spark):
+    one = lambda c: frame(spark, [(1,)], "x int").select(c.alias("c")).first().c
+    page = "\n 12 \nText here\n\n3 of them\nPage 7\n\n"
+    assert one(books.without_page_numbers(F.lit(page))) == "Text here\n\n3 of them" and one(books.without_page_numbers(F.lit(" 4 "))) == ""
+    wrapped = "A long line of text that is hyphen-\nated and goes on here\nand ends.\nNext line of text that is as long\nChapter 2\nmore text of the next chapter\n\nlast"
+    assert one(books.unwrap_lines(F.lit(wrapped))).split("\n\n") == ["A long line of text that is hyphenated and goes on here and ends.", "Next line of text that is as long", "Chapter 2", "more text of the next chapter", "last"]
+
+
+def test_split_text(spark):
+    def split(text, n):
+        return frame(spark, [(text,)], "t string").select(speech.split_text(F.col("t"), n)).first()[0]
+
+    assert split(" One. Two!  Three? ", 100) == ["One. Two!  Three?"] and split("  ", 5) == [] and split(None, 5) == []
+    assert split("One. Two! Three? Four.", 10) == ["One. Two!", "Three?", "Four."]
+    assert split("aaaa bbbb cccc dddd. Ee. Ff.", 10) == ["aaaa bbbb", "cccc dddd.", "Ee. Ff."]
+    assert split("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5] and split("Hi. " + "y" * 12 + " z. Go.", 10) == ["Hi.", "y" * 10, "yy z. Go."]
+
+
+def test_tts_plan(spark):
+    import hashlib
+    import json
+
+    seg = segments(spark, [(1, "NARRATOR", "One two. Three four.", "calm", False, 0), (1, "A", "Hello", "urgent", False, 0), (2, "B", "Hm", "calm", False, 0), (2, "NARRATOR", "End.", "calm", False, 0)])
+    cast = frame(spark, [("b", "NARRATOR", "n", 1, 0.5, 0.75, 0.0, 1.0, 0.0), ("b", "A", "a", 2, 0.5, 0.75, 0.0, 1.0, 0.0)], "book_id string, character string, voice_id string, seed long, stability double, similarity_boost double, style double, speed double, pitch_shift double")
+    got = {(r.idx, r.piece): r for r in speech.plan_tts(seg, cast, 12, "fam", "v1").collect()}
+    assert {k: (r.text, r.voice_id, r.previous_text, r.next_text) for k, r in got.items()} == {
+        (0, 0): ("One two.", "n", None, "Three four."), (0, 1): ("Three four.", "n", "One two.", "End."), (1, 0): ("Hello", "a", None, None),
+        (2, 0): ("Hm", "n", None, None), (3, 0): ("End.", "n", "One two. Three four.", None),
+    }
+    fields = {"text": "Hello", "voice_id": "a", "settings": {"stability": 0.35, "similarity_boost": 0.75, "style": 0.2, "speed": 1.05, "pitch_shift": 0.0}, "emotion": "urgent", "delivery": "normal", "previous_text": None, "next_text": None, "seed": 2}
+    assert got[1, 0].clip_key == hashlib.sha256(json.dumps(["tts", "fam", "v1", 1, fields], sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def fold(spark, steps):
+    """Cast after (name, changes) updates and spoken lines (a plain name), all in chapter 2."""
+    ups = [("b", k, 2, s[0], s[1].get("aliases", []), s[1].get("gender", "unknown"), s[1].get("age", "unknown"), s[1].get("description", ""), s[1].get("notes", ""), s[1].get("into")) for k, s in enumerate(steps) if isinstance(s, tuple)]
+    said = [("b", k, 2, s) for k, s in enumerate(steps) if isinstance(s, str)]
+    updates = frame(spark, ups, "book_id string, ord int, ch int, name string, aliases array<string>, gender string, age string, description string, voice_notes string, merge_into string")
+    return characters.fold_updates(updates, frame(spark, said, "book_id string, ord int, ch int, name string"))
+
+
+@pytest.mark.parametrize(
+    ("steps", "want"),
+    [
+        ([("Ansel", {"gender": "male"}), ("Ansel Vey", {"age": "adult"})], [("Ansel Vey", ["Ansel"], "male", "adult")]),
+        ([("Ansel Vey", {}), ("Ansel", {"notes": "dry"})], [("Ansel Vey", ["Ansel"], "unknown", "unknown")]),
+        ([("John Smith", {}), ("John Brown", {}), ("John", {})], [("John Smith", [], "unknown", "unknown"), ("John Brown", [], "unknown", "unknown"), ("John", [], "unknown", "unknown")]),
+        ([("Mara Quill", {}), ("Quill Mara Vey", {"aliases": ["Mara Quill"]})], [("Mara Quill", ["Quill Mara Vey"], "unknown", "unknown")]),
+        ([("Wren", {"gender": "female"}), ("Corwin Tallow", {"aliases": ["Corwin", "Wren"], "gender": "male"})], [("Wren", [], "female", "unknown"), ("Corwin Tallow", ["Corwin", "Wren"], "male", "unknown")]),
+        ([("Ash Carver", {"gender": "male"}), ("Ash", {"gender": "female"})], [("Ash Carver", [], "male", "unknown"), ("Ash", [], "female", "unknown")]),
+        ([("Old Hetta", {"age": "elderly"}), ("Hetta", {"gender": "female"})], [("Hetta", ["Old Hetta"], "female", "elderly")]),
+        ([("the stranger", {"gender": "male"}), ("Ansel Vey", {"aliases": ["Ansel"], "into": "the stranger"})], [("Ansel Vey", ["Ansel", "the stranger"], "male", "unknown")]),
+        ([("the stranger", {"gender": "male"}), ("Ansel Vey", {"description": "the stranger from the sea"})], [("Ansel Vey", ["the stranger"], "male", "unknown")]),
+        ([("the stranger", {"gender": "male"}), ("Anna", {"aliases": ["the stranger"], "gender": "female"})], [("the stranger", [], "male", "unknown"), ("Anna", ["the stranger"], "female", "unknown")]),
+        ([("Hetta", {"into": "nobody at all"}), (" ", {})], [("Hetta", [], "unknown", "unknown")]),
+        ([("Mara", {"gender": "female", "age": "adult"}), ("Mara", {"gender": "male", "age": "child"})], [("Mara", [], "female", "adult")]),
+    ],
+)
+def test_character_updates(spark, steps, want):
+    assert [(r.name, r.aliases, r.gender, r.age) for r in fold(spark, steps).orderBy("ord").collect()] == want
+
+
+def test_character_lines_and_end(spark):
+    steps = [("Mara Quill", {"gender": "female", "notes": "warm, dry", "description": "keeper"}), ("Tobias", {"gender": "male", "age": "child"}), "the boy", "the girl", "NARRATOR", "mara quill", "the man", ("Kit", {"notes": "thin"}), ("Old Kit Vane", {"notes": "Thin, hoarse"}), "Kit", "Nobody Known"]
+    got = {r.name: r for r in fold(spark, steps).collect()}
+    assert {n: (r.line_count, r.provisional) for n, r in got.items()} == {"Mara Quill": (1, False), "Tobias": (1, False), "the girl": (1, True), "the man": (1, True), "Kit Vane": (1, False), "Nobody Known": (1, False)}
+    assert got["Kit Vane"].voice_notes == "thin, hoarse" and got["Kit Vane"].aliases == ["Old Kit Vane", "Kit"]
+    rows = [
+        ("b", 0, "Mara Quill", ["M"], "female", "unknown", "x", "dry", 2, 3, False), ("b", 1, "Mara", ["m", "May"], "unknown", "adult", "longer", "warm, Dry", 1, 2, False), ("b", 2, "the rider", [], "unknown", "unknown", "", "", 1, 0, True),
+        ("b", 3, "the stranger's dog", [], "unknown", "unknown", "", "", 1, 2, True), ("b", 4, "Ann", [], "female", "adult", "", "", 1, 0, False), ("b", 5, "Ann One", [], "female", "adult", "", "", 1, 1, False), ("b", 6, "Ann Two", [], "female", "adult", "", "", 1, 1, False),
+    ]
+    done = {r.ord: r for r in characters.finalize(frame(spark, rows, characters.SCHEMA)).collect()}
+    m = done[0]
+    assert (m.name, m.aliases, m.gender, m.age, m.description, m.voice_notes, m.first_chapter, m.line_count) == ("Mara Quill", ["M", "Mara", "May"], "female", "adult", "longer", "dry, warm", 1, 5)
+    assert sorted(done) == [0, 3, 4, 5, 6] and done[3].name == "The Stranger's Dog"
+
+
+def test_checked_analysis(spark):
+    spans = frame(spark, [("b", 1, c, 1, k, f"c{c}s{k}", "quote" if k % 2 == 0 else "narration") for c in (1, 2, 3) for k in range(12)], "book_id string, ch int, chunk int, para int, s int, span_id string, kind string")
+    said = [(1, 0, "tom"), (1, 0, "Ann"), (1, 1, "Ann"), (1, 2, "the boy"), (1, 4, "New"), (1, 6, " Who "), (1, 8, "narrator"), (3, 0, "Ann")] + [(2, k, "Ann") for k in range(0, 12, 2)]
+    labels = frame(spark, [("b", 1, c, n, f"c{c}s{k}", who, "sad", "quiet") for n, (c, k, who) in enumerate(said)] + [("b", 1, 1, 99, "zz", "Ann", "sad", "quiet")], "book_id string, ch int, chunk int, ord int, span_id string, speaker string, emotion string, delivery string")
+    sfx = frame(spark, [("b", 1, 1, 0, "c1s1", 99.0, 1.5), ("b", 1, 2, 1, "c1s1", 1.0, 0.5)], "book_id string, ch int, chunk int, ord int, span_id string, duration_s double, intensity double")
+    music = frame(spark, [("b", 1, 1, 0, "c1s1", -1.0)], "book_id string, ch int, chunk int, ord int, span_id string, energy double")
+    people = frame(spark, [("b", 0, "Thomas", ["Tom"], "male", "child", "", "", 1, 1, False), ("b", 1, "Ann", [], "female", "adult", "", "", 1, 1, False)], characters.SCHEMA)
+    news = frame(spark, [("b", 1, 1, 0, "Newton", ["new"])], "book_id string, ch int, chunk int, ord int, name string, aliases array<string>")
+    got = validate.checked_analysis(spans, labels, sfx, music, people, news)
+    assert {r.span_id: r.speaker for r in got.labels.collect()} == {"c1s0": "Thomas", "c1s2": "Thomas", "c1s4": "Newton", "c1s6": "Who", "c1s8": "NARRATOR", "c1s10": "NARRATOR"}
+    assert {(r.chunk, r.problem, r.n) for r in got.invalid.collect()} == {(2, "outside", 1), (3, "unlabelled", 5)}
+    assert [(r.duration_s, r.intensity) for r in got.sfx.collect()] == [(30.0, 1.0)] and [r.energy for r in got.music.collect()] == [0.0]
+    assert sorted((r.span_id, r.problem) for r in got.problems.collect()) == [("c1s0", "further label"), ("c1s1", "clamped"), ("c1s1", "clamped"), ("c1s1", "narration"), ("c1s10", "no label"), ("zz", "unknown span")]
+
+
+def test_effects(spark):
+    text = ["Thunder rolled. The bell in the tower rang twice.", "The wind slammed it again and again over the sea.", "The kettle was whistling on the fire that crackled."]
+    spans = frame(spark, [("b", 1, p, s, f"p{p}s{s}", "narration", t) for p, own in enumerate([text[:2], text[2:]]) for s, t in enumerate(own)], "book_id string, ch int, para int, s int, span_id string, kind string, text string")
+    spans = spans.join(spans.groupBy("book_id", "ch", "para").agg(F.concat_ws(" ", F.collect_list("text")).alias("paragraph")), ["book_id", "ch", "para"])
+    got = [(r.span_id, r.anchor_text, r.anchor_offset, r.duration_ms) for r in effects.effect_cues(spans).orderBy("ord").collect()]
+    assert got == [("p0s0", "Thunder", 0, 3000), ("p0s0", "bell", 20, 6000), ("p0s1", "slammed", 9, 4000), ("p1s0", "whistling", 15, 3000), ("p1s0", "crackled", 42, 15000)]
+
+
+def test_music_cues_confirm(spark):
+    moods = ["tense", None, "calm", "warm", "warm", None, None, None, "calm", "tense", "calm"]
+    rows = [("b", 1, k, m, "none", k == 8) for k, m in enumerate(moods)] + [("b", 2, k, m, "warm", False) for k, m in enumerate([None, "calm", "calm"])]
+    got = effects.music_cues(frame(spark, rows, "book_id string, ch int, para int, mood string, prior_mood string, reset boolean")).orderBy("ch", "para").collect()
+    assert [(r.ch, r.para, r.action, r.mood) for r in got] == [(1, 0, "start", "tense"), (1, 3, "change", "warm"), (1, 8, "change", "calm"), (2, 1, "change", "calm")]
+    events = frame(spark, [("b", 1, 3, 0, "start", "tense"), ("b", 1, 5, 1, "change", "warm"), ("b", 3, 1, 2, "stop", "x")], "book_id string, ch int, idx int, ord int, action string, mood string")
+    chapters = frame(spark, [("b", k) for k in range(1, 6)], "book_id string, ch int")
+    assert [r.prior_mood for r in effects.moods_in_force(events, chapters).orderBy("ch").collect()] == ["none", "warm", "warm", "none", "none"]
+
+
+def test_selection(spark):
+    assert selection.chapter_ranges("1-3, 5,") == [(1, 3), (5, 5)] and selection.chapter_ranges(None) == []
+    for bad in ("2-", "0", "3-1", "x", "1-99999"):
+        with pytest.raises(ValueError):
+            selection.chapter_ranges(bad)
+    rows = frame(spark, [("b", k) for k in range(1, 8)], "book_id string, ch int")
+    assert [r.ch for r in selection.only_chapters(rows, [(1, 3), (5, 5)]).orderBy("ch").collect()] == [1, 2, 3, 5]
+    long_ = frame(spark, [("b", 1, 61_000)], "book_id string, ch int, end_ms long")
+    assert [(r.ch, r.problem, r.n) for r in selection.rejected_books(rows, long_, 6, 1).orderBy("ch").collect()] == [(None, "spans", 7), (1, "minutes", 61_000)]
+
+
+def test_sinks(spark, tmp_path):
+    clips = frame(spark, [("tts", "a", 1), ("tts", "a", 1), ("sfx", "b", 2)], "kind string, clip_key string, v int")
+    sinks.append_cache(clips, f"{tmp_path}/cache")
+    sinks.append_cache(clips.unionByName(frame(spark, [("tts", "c", 3)], clips.schema)), f"{tmp_path}/cache")
+    assert sorted(r.clip_key for r in spark.read.parquet(f"{tmp_path}/cache").collect()) == ["a", "b", "c"]
+    tracks = frame(spark, [("x", 8000, [0, 1, -1, 32767, -32768, 258])], "name string, rate int, samples array<smallint>")
+    sinks.write_wavs(tracks, f"{tmp_path}/wav")
+    got = books.read_wavs(spark, f"{tmp_path}/wav").first()
+    assert got.rate == 8000 and [round(v * 32768) for v in got.samples] == [0, 1, -1, 32767, -32768, 258]
+
+
+def test_ledger_changes(spark):
+    new = frame(spark, [(k % 7, k) for k in range(300)], "t int, v int").repartition(5)
+    got = sorted((r.id, r.t, r.v) for r in ledger.numbered_events(new, 10, ["t", "v"]).collect())
+    assert [g[0] for g in got] == list(range(11, 311)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    stages = frame(spark, [("j", "cast", "pending", 1, None, None), ("j", "render", "running", 1, 5, 6)], "job_id string, stage string, state string, attempts int, started_at int, finished_at int")
+    changes = frame(spark, [("j", "cast", "running", 9), ("j", "render", "done", 8)], "job_id string, stage string, state string, ts int")
+    assert {r.stage: (r.state, r.attempts, r.started_at, r.finished_at) for r in ledger.set_stages(stages, changes).collect()} == {"cast": ("running", 2, 9, None), "render": ("done", 1, 5, 8)}
+    rng = np.random.default_rng(1)
+    rows = [(k, int(rng.integers(0, 50)), int(rng.integers(0, 200_000) if k % 3 else 70_000)) for k in range(400)]
+    entries = frame(spark, rows, "key int, bytes int, s int").withColumn("used_at", F.timestamp_seconds("s"))
+    for cap in (1, 500, 5_000, 10**9):
+        total, want = 0, set()
+        for key, n, _ in sorted(rows, key=lambda r: (-r[2], -r[0])):
+            total += n
+            want |= {key} if total > cap else set()
+        assert {r.key for r in ledger.lru_prune(entries, cap).collect()} == want
+
+
+def test_cache_keys(spark):
+    plan, cached, made = (frame(spark, [(k,) for k in ks], "clip_key string") for ks in ("aabc", "ab", "b"))
+    assert [r.clip_key for r in cache.hit_rows(plan, cached, made).collect()] == ["a", "a"]
+    rows = frame(spark, [("x", "2024-01-01 00:00:00"), ("y", "2024-01-01 00:09:00")], "k string, w string").select("k", F.to_timestamp("w").alias("written_at"))
+    assert [r.k for r in cache.fresh(rows, F.to_timestamp(F.lit("2024-01-01 00:10:00")), 100).collect()] == ["y"]
+    chunks = frame(spark, [("{}", "f"), ("{}", "g")], "chunk_json string, cast_fingerprint string")
+    assert len({r.analysis_key for r in cache.analysis_keys(chunks, {"family": "a", "version": "1", "model": "m"}).collect()}) == 2
+
+
+def test_mix_chapters(spark):
+    rate, rng = 1_000, np.random.default_rng(2)
+    tone = lambda n, a: (a * np.sin(np.arange(n))).tolist()
+    schema = "book_id string, ch int, track string, start_ms long, gain_db double, samples array<double>"
+    rows = []
+    for ch, loud in ((1, 0.2), (2, 1.2)):
+        rows += [("b", ch, "voice", 500, 0.0, tone(2_000, 0.3)), ("b", ch, "voice", 9_000, 0.0, tone(3_000, 0.3)), ("b", ch, "music", 0, -6.0, tone(14_000, 0.2)), ("b", ch, "sfx", 4_000, 0.0, tone(500, loud)), ("b", ch, "ambient", 0, 0.0, tone(6_000, 0.05))]
+    got = mix.mix_chapters(frame(spark, rows, schema), rate, 5_000).orderBy("ch", "bucket").collect()
+    assert [r.start for r in got if r.ch == 1] == [0, 5_000, 10_000] and all(len(r.voice) == len(r.music) == len(r.sfx) == len(r.mix) for r in got)
+    assert not any(r.limited for r in got if r.ch == 1) and all(r.limited for r in got if r.ch == 2)
+    one = {k: np.concatenate([np.array(r[k], int) for r in got if r.ch == 1]) for k in ("voice", "music", "sfx", "mix")}
+    assert (one["voice"] + one["music"] + one["sfx"] == one["mix"]).all() and len(one["mix"]) == 14_000
+    speaks = np.zeros(700, bool)
+    for a, b in ((500, 2_500), (9_000, 12_000)):
+        speaks[a // 20 : b // 20] = True
+    held = np.zeros(700, bool)
+    held[200:225] = True
+    gain = np.interp(np.arange(14_000), np.arange(700) * 20 + 10, signal.duck_gain(speaks, 0.0, 5.0, 1200, held))
+    want = np.round(np.clip(np.array(tone(14_000, 0.2)) * 10 ** (-6 / 20) * gain, -1, 1) * 32767)
+    assert np.abs(one["music"] - want).max() <= 1 and gain[7_500] > 1.6 and gain[1_500] < 1.1
+    placements = frame(spark, [("b", 1, "k", 0, 250, 10, 10, True), ("b", 1, "k", 0, 50, 0, 0, False), ("b", 1, "z", 0, 50, 0, 0, False)], "book_id string, ch int, clip_key string, start_ms long, end_ms long, fade_in_ms int, fade_out_ms int, loop boolean")
+    fitted = mix.fitted_clips(placements, frame(spark, [("k", [0.5] * 100)], "clip_key string, samples array<double>"), rate).collect()
+    assert sorted(len(r.samples) for r in fitted) == [50, 250]
+    done = mix.finished_clips(frame(spark, [(2_000, tone(4_000, 0.01) + [0.0] * 4_000)], "rate int, samples array<double>"), rate, True).first()
+    assert done.rate == rate and 1_900 < len(done.samples) < 2_200
+
+
+def test_overrides(spark):
+    people = frame(spark, [("b", 0, "Thomas", ["Tom"]), ("b", 1, "Ann", None)], "book_id string, ord int, name string, aliases array<string>")
+    assigned = frame(spark, [("b", "NARRATOR", "n"), ("b", "Thomas", "v1"), ("b", "Ann", "v2")], "book_id string, character string, voice_id string")
+    asked = frame(spark, [("b", 0, "mr. tom", "v8"), ("b", 1, "Tom", "v9"), ("b", 2, "narrator", "v7"), ("b", 3, "Who", "v9"), ("b", 4, "Ann", "none")], "book_id string, ord int, name string, voice_id string")
+    known, unknown = casting.checked_overrides(asked, frame(spark, [("v7",), ("v8",), ("v9",)], "id string"))
+    assert [r.name for r in unknown.collect()] == ["Ann"]
+    assert {r.character: (r.voice_id, r.source) for r in casting.overridden(assigned, known, people).collect()} == {"NARRATOR": ("v7", "override"), "Thomas": ("v9", "override"), "Ann": ("v2", "auto")}
