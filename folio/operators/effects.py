@@ -81,7 +81,8 @@ def effect_cues(spans: DataFrame, rules: tuple[Rule, ...] = RULES, most: int = M
     in the order of the text. Rules are expressions: spans are read once, and only cues are shuffled."""
     told = spans.where("kind = 'narration'")
     made = F.filter(F.array(*[_cue(r, k, F.col("text"), F.col("paragraph")) for k, r in enumerate(rules)]), lambda c: c.isNotNull())
-    cues = told.select("book_id", "ch", "para", "s", "span_id", F.explode(made).alias("c")).select("book_id", "ch", "para", "s", "span_id", "c.*")
+    # The outer form, as for the inner one Spark would work out all rules once more to drop spans without cues before.
+    cues = told.select("book_id", "ch", "para", "s", "span_id", F.explode_outer(made).alias("c")).where(F.col("c").isNotNull()).select("book_id", "ch", "para", "s", "span_id", "c.*")
     rank = F.row_number().over(Window.partitionBy("book_id", "ch", "para").orderBy("rule", "s"))
     kept = cues.withColumn("_rank", rank).where(F.col("_rank") <= most)
     order = F.row_number().over(Window.partitionBy("book_id", "ch").orderBy("para", "s", "anchor_offset", "rule")) - 1

@@ -227,7 +227,8 @@ def split_spans(paras: DataFrame) -> DataFrame:
     stepped = found.select(*key, "lead", "gaps", "said", cuts.alias("cut"), steps.alias("steps")).withColumn("ends", running(F.col("steps")))
     pieces = F.when(dashed & ~plain, _dashed_pieces()).otherwise(_marked_pieces())
     spans = stepped.select("book_id", "ch", "para", F.filter(pieces, lambda x: x["text"] != "").alias("spans"))
-    out = spans.select("book_id", "ch", "para", F.posexplode("spans").alias("s", "x"))
+    # The outer form, as for the inner one Spark would work out all of this once more to drop paragraphs without spans before.
+    out = spans.select("book_id", "ch", "para", F.posexplode_outer("spans").alias("s", "x")).where(F.col("x").isNotNull())
     return out.select("book_id", "ch", "para", "s", F.format_string("c%dp%ds%d", "ch", "para", "s").alias("span_id"), "x.kind", "x.text", F.col("x.start").alias("start_char"), (F.col("x.start") + F.length("x.text")).alias("end_char"))
 
 

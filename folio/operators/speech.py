@@ -54,7 +54,7 @@ def plan_tts(segments: DataFrame, cast: DataFrame, max_chars: int, family: str =
     from folio.operators.casting import settings_for
 
     spoken = settings_for(with_voices(neighbour_text(segments, S.NEIGHBOUR_CHARS), cast))
-    cut = spoken.withColumn("pieces", split_text(F.col("text"), max_chars)).select("*", F.posexplode("pieces").alias("piece", "said"))
+    cut = spoken.withColumn("pieces", split_text(F.col("text"), max_chars)).select("*", F.posexplode_outer("pieces").alias("piece", "said")).where(F.col("said").isNotNull())
     before = F.when(F.col("piece") > 0, F.right(F.element_at("pieces", F.col("piece")), F.lit(S.NEIGHBOUR_CHARS))).otherwise(F.col("previous_text"))
     after = F.when(F.col("piece") + 1 < F.size("pieces"), F.left(F.try_element_at("pieces", F.col("piece") + 2), F.lit(S.NEIGHBOUR_CHARS))).otherwise(F.col("next_text"))
     asked = request(

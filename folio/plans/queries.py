@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folio import schema as S
 from folio.functions import signal, text as T
-from folio.functions.keys import stable_seed
-from folio.operators import attribution, cache, casting, estimate as est, ledger, script, segment, timeline
+from folio.functions.keys import content_key, stable_seed
+from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline, validate
 from folio.sources import books, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,11 +56,13 @@ def usage_by_capability(spark, sf_dir):
     return ledger.usage_by_capability(usage_rows(spark, sf_dir)).withColumn("units", F.round("units", 4))
 
 
-@query("SELECT user_id AS job_id, count(DISTINCT event_type) AS n_capabilities, round(sum(value), 4) AS units FROM events GROUP BY 1")
+@query("""WITH u AS (SELECT user_id, event_type AS c, CASE WHEN event_id % 2 = 0 THEN 'chars' ELSE 'tokens' END AS t, CAST(round(sum(value)) AS BIGINT) AS n FROM events GROUP BY 1, 2, 3),
+i AS (SELECT user_id, c, string_agg(t || '=' || n, ',' ORDER BY t) AS x FROM u GROUP BY 1, 2) SELECT user_id AS job_id, string_agg(c || ':' || x, ';' ORDER BY c) AS nested FROM i GROUP BY 1""")
 def usage_nested(spark, sf_dir):
     nested = ledger.usage_nested(usage_rows(spark, sf_dir))
-    inner = F.aggregate(F.map_values("by_capability"), F.lit(0.0), lambda a, m: a + F.aggregate(F.map_values(m), F.lit(0.0), lambda b, x: b + x))
-    return nested.select("job_id", F.size("by_capability").cast("long").alias("n_capabilities"), F.round(inner, 4).alias("units"))
+    entry = lambda e: F.concat_ws("=", e["key"], F.round(e["value"]).cast("long").cast("string"))
+    told = F.transform(F.map_entries("by_capability"), lambda e: F.concat_ws(":", e["key"], F.array_join(F.transform(F.map_entries(e["value"]), entry), ",")))
+    return nested.select("job_id", F.array_join(told, ";").alias("nested"))
 
 
 @query("SELECT user_id AS job_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
@@ -137,6 +139,38 @@ def lru_prune(spark, sf_dir):
     return ledger.lru_prune(entries, 1_000_000).select("key", "bytes")
 
 
+@query("""SELECT CAST(100 + row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id, event_id FROM events""")
+def appended_events(spark, sf_dir):
+    new = table(spark, sf_dir, "events").select("ts", "event_id")
+    return ledger.numbered_events(new, 100, ["ts", "event_id"]).select("id", "event_id")
+
+
+@query("""SELECT o_custkey AS source_sha256, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1""")
+def newest_jobs(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_sha256"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    files = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("source_sha256"))
+    return ledger.newest_job(jobs, files)
+
+
+@query("SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS floor FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <> 7")
+def running_floor(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "running").alias("status"), F.col("o_orderdate").alias("started_at"))
+    return ledger.running_floor(jobs, 7).select(F.date_format("floor", "yyyy-MM-dd").alias("floor"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS job_id, ['ingest', 'analyze', 'cast', 'render', 'finalize'][k + 1] AS stage, k FROM orders, range(5) t(k)),
+c AS (SELECT o_orderkey AS job_id, o_orderkey % 5 AS k, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'failed' END AS state, o_custkey AS ts FROM orders)
+SELECT s.job_id, s.stage, coalesce(c.state, 'pending') AS state, CASE WHEN c.state = 'running' THEN 2 ELSE 1 END AS attempts, CASE WHEN c.state = 'running' THEN c.ts ELSE 5 END AS started_at, CASE WHEN c.state = 'running' THEN NULL WHEN c.state IS NOT NULL THEN c.ts ELSE 6 END AS finished_at
+FROM s LEFT JOIN c ON c.job_id = s.job_id AND c.k = s.k""")
+def changed_stages(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = ledger.new_job_stages(orders.select(F.col("o_orderkey").alias("id"))).withColumns({"attempts": F.lit(1), "started_at": F.lit(5).cast("long"), "finished_at": F.lit(6).cast("long")})
+    stage = F.element_at(F.array(*[F.lit(x) for x in S.STAGES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    state = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("failed")
+    changes = orders.select(F.col("o_orderkey").alias("job_id"), stage.alias("stage"), state.alias("state"), F.col("o_custkey").alias("ts"))
+    return ledger.set_stages(rows.select("job_id", "stage", "state", "attempts", "started_at", "finished_at"), changes)
+
+
 # --- cache ----------------------------------------------------------------------------------------
 
 
@@ -152,6 +186,26 @@ def cache_hits(spark, sf_dir):
     return cache.hits(plan, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("clip_key"))).select(F.col("clip_key").alias("doc_id"))
 
 
+@query("SELECT d.doc_id AS clip_key, count(*) AS n FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels) AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY 1")
+def counted_hits(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    key = lambda df: df.select(F.col("doc_id").alias("clip_key"))
+    return cache.hit_rows(key(table(spark, sf_dir, "documents")), key(labels), key(labels.where("toxic = 1"))).groupBy("clip_key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(ts)) <= 864000")
+def fresh_entries(spark, sf_dir):
+    entries = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("written_at"))
+    return cache.fresh(entries, F.lit("2024-02-01 00:00:00").cast("timestamp"), 864_000).select("event_id")
+
+
+@query("SELECT o_custkey AS book_id, o_orderkey AS ch FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = o.o_orderstatus)")
+def chapters_to_render(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("ch"), F.col("o_orderstatus").alias("render_key"))
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ch"), F.col("l_returnflag").alias("render_key")).join(orders.select("book_id", "ch"), "ch")
+    return cache.to_render(orders, done).select("book_id", "ch")
+
+
 @query("SELECT sha256(text) AS clip_key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
 def first_wins_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("clip_key"), "doc_id", "source")
@@ -163,6 +217,12 @@ def content_seed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key")).withColumn("seed", stable_seed(F.col("key")))
 
 
+@query("SELECT doc_id, sha256('[\"analysis\",' || doc_id || ',' || to_json(source) || ',null,' || to_json(text) || ']') AS key FROM documents")
+def content_keys(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", content_key(F.lit("analysis"), F.col("doc_id"), F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("key"))
+
+
 @query("SELECT d.source, count(*) AS n, count(l.doc_id) AS labelled, round(count(l.doc_id)::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
 def label_coverage(spark, sf_dir):
     d, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("has"))
@@ -356,19 +416,29 @@ def scene_flags(spark, sf_dir):
     return segment.scene_flags(rows)
 
 
-@query(f"""WITH {_LINES} SELECT book_id, para, trim(text) AS title FROM lines WHERE length(trim(text)) BETWEEN 1 AND 80 AND NOT regexp_matches(text, '["“”]') AND {_WORDS} BETWEEN 2 AND 8
-AND upper(trim(text)) = trim(text) AND regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(trim(text), '[.!?,;:]$') AND NOT regexp_matches(text, '[''‘’]')""")
+@query(f"""WITH {_LINES}, u AS (SELECT book_id, para, trim(CASE WHEN para % 2 = 0 THEN upper(regexp_extract(text, '^(?:[A-Za-z]+ ?){{0,6}}')) ELSE text END) AS text FROM lines)
+SELECT book_id, para, text AS title FROM u WHERE length(text) BETWEEN 1 AND 80 AND {_WORDS} BETWEEN 2 AND 8 AND NOT regexp_matches(text, '["“”]') AND upper(text) = text AND regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[.!?,;:]$') AND NOT regexp_matches(text, '[''‘’]')""")
 def caps_headings(spark, sf_dir):
-    t = T.strip(F.col("text"))
-    ok = F.length(t).between(1, 80) & ~t.rlike('["“”]') & T.caps_heading(t)
-    return doc_lines(spark, sf_dir).where(ok).select("book_id", "para", t.alias("title"))
-
-
-@query()
+    """Lines in capitals: those that are so, and the first words of every second line made so."""
+    t = T.strip(F.when(F.col("para") % 2 == 0, F.upper(F.regexp_extract("text", "^(?:[A-Za-z]+ ?){0,6}", 0))).otherwise(F.col("text")))
+    return doc_lines(spark, sf_dir).select("book_id", "para", t.alias("title")).where(T.caps_heading(F.col("title")) & T.heading_title(F.col("title")).isNotNull())
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT book_id, para, para % 5 = 1 AS head, CASE WHEN para % 5 = 1 THEN 'Chapter ' || (para // 5 + 1) || ': A Name' ELSE 'so ' || text END AS text FROM lines WHERE trim(text) <> ''),
+w AS (SELECT *, CAST({_WORDS} AS BIGINT) AS words, sum(head::INT) OVER (PARTITION BY book_id) AS heads, sum(head::INT) OVER (PARTITION BY book_id ORDER BY para) AS section FROM p),
+t AS (SELECT *, sum(words) OVER (PARTITION BY book_id) AS total, coalesce(sum(words) OVER (PARTITION BY book_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM w WHERE heads < 2),
+n AS (SELECT *, greatest(1, CAST(ceil(total / 6000.0) AS BIGINT)) AS parts FROM t), c AS (SELECT *, CAST(least(floor(seen * parts / greatest(total, 1)), parts - 1) AS INT) + 1 AS ch FROM n),
+s AS (SELECT *, para = min(CASE WHEN section = 0 AND length(text) <= 80 AND words <= 12 THEN para END) OVER (PARTITION BY book_id) AS name FROM w WHERE heads >= 2),
+k AS (SELECT * FROM s WHERE NOT coalesce(name, false)), z AS (SELECT book_id, section, max(CASE WHEN head THEN text END) AS title, sum(CASE WHEN head THEN 0 ELSE words END) AS words, max(CASE WHEN head THEN NULL ELSE words END) AS longest FROM k GROUP BY 1, 2),
+y AS (SELECT book_id, section, coalesce(title, 'Prologue') AS title, words FROM z WHERE section > 0 OR longest > 12 OR words > 100),
+g AS (SELECT *, greatest(0, least(coalesce(sum((words >= 100)::INT) OVER (PARTITION BY book_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), sum((words >= 100)::INT) OVER (PARTITION BY book_id) - 1)) AS grp FROM y),
+x AS (SELECT book_id, grp, coalesce(arg_max(title, section) FILTER (WHERE words >= 100), arg_min(title, section)) AS title FROM g GROUP BY 1, 2)
+SELECT book_id, ch, 'Part ' || ch AS title, para, text FROM c UNION ALL
+SELECT k.book_id, CAST(g.grp + 1 AS INT), x.title, k.para, k.text FROM k JOIN g ON g.book_id = k.book_id AND g.section = k.section JOIN x ON x.book_id = g.book_id AND x.grp = g.grp WHERE NOT k.head""")
 def detected_chapters(spark, sf_dir):
     rows = doc_lines(spark, sf_dir).where(T.strip(F.col("text")) != "").withColumn("scene_break_before", F.lit(False))
-    made = rows.withColumn("text", F.when(F.col("para") % 5 == 1, F.format_string("Chapter %d: A Name", (F.col("para") / 5).cast("int") + 1)).otherwise(F.col("text")))
-    return segment.detect_chapters(made)
+    made = rows.withColumn("text", F.when(F.col("para") % 5 == 1, F.format_string("Chapter %d: A Name", (F.col("para") / 5).cast("int") + 1)).otherwise(F.concat(F.lit("so "), F.col("text"))))
+    return segment.detect_chapters(made).select("book_id", F.col("ch").cast("int"), "title", "para", "text")
 
 
 @query(f"""WITH {_LINES}, q AS (SELECT book_id, count(*) FILTER (WHERE regexp_matches(text, '^\\s*["“”„‟]')) AS d, count(*) FILTER (WHERE regexp_matches(text, '^\\s*(—|–|--)')) AS h FROM
@@ -400,12 +470,31 @@ def split_spans(spark, sf_dir):
     return segment.split_spans(rows).select("book_id", "para", F.col("s").cast("int"), "kind", "text", "start_char", "end_char")
 
 
-@query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+')) AS name FROM documents WHERE lang = 'en') SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
+_STYLED = ("", "'{t},' she said. '{t}", "«{t}» he said. «{t}»", "— {t} — he said — {t}")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT book_id, para, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS t FROM lines), k AS (SELECT *, length(t) AS n FROM c WHERE t <> '' AND para % 4 > 0)
+SELECT book_id, para, 0 AS s, 'quote' AS kind, t || CASE para % 4 WHEN 1 THEN ',' ELSE '' END AS text, CASE para % 4 WHEN 3 THEN 2 ELSE 1 END AS start_char, n + CASE para % 4 WHEN 2 THEN 1 ELSE 2 END AS end_char FROM k UNION ALL
+SELECT book_id, para, 1, 'narration', CASE para % 4 WHEN 1 THEN 'she said.' WHEN 2 THEN 'he said.' ELSE 'he said' END, n + CASE para % 4 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 5 END, n + CASE para % 4 WHEN 1 THEN 13 WHEN 2 THEN 11 ELSE 12 END FROM k UNION ALL
+SELECT book_id, para, 2, 'quote', t, n + CASE para % 4 WHEN 1 THEN 15 WHEN 2 THEN 13 ELSE 15 END, 2 * n + CASE para % 4 WHEN 1 THEN 15 WHEN 2 THEN 13 ELSE 15 END FROM k""")
+def styled_spans(spark, sf_dir):
+    """Lines as speech in single quotes (left open at the end), guillemets and dashes."""
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " "))
+    rows = doc_lines(spark, sf_dir).select("book_id", F.lit(1).alias("ch"), "para", t.alias("t")).where("t <> '' and para % 4 > 0")
+    text, style = F.lit(None), F.lit(None)
+    for k, (name, form) in enumerate(zip(S.QUOTE_STYLES, _STYLED, strict=True)):
+        parts = form.split("{t}")
+        text = F.when(F.col("para") % 4 == k, F.concat(*[x for part in parts[:-1] for x in (F.lit(part), F.col("t"))], F.lit(parts[-1]))).otherwise(text)
+        style = F.when(F.col("para") % 4 == k, name).otherwise(style)
+    return segment.split_spans(rows.select("book_id", "ch", "para", text.alias("text"), style.alias("style"))).select("book_id", "para", "s", "kind", "text", "start_char", "end_char")
+
+
+@query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)', 1)) AS name FROM documents) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
 def name_candidates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    names = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+"), F.lit(0))).alias("name"))
+    """Capitalised words of ASCII letters in every document."""
+    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)"), F.lit(1))).alias("name"))
     per_doc = names.groupBy("name", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
 
 
 @query(f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '{T.NAME}', 1)) AS name FROM documents) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
@@ -416,26 +505,59 @@ def name_candidates_all(spark, sf_dir):
     return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
 
 
-_EMOTIONS = (("angry", "an"), ("sad", "sh"), ("urgent", "!"), ("calm", "th"))
+#: What narration says around a quote, one after the other by turn.
+_AROUND = (
+    "he shouted over the wind", "she whispered", "he said quietly", "she warned him", "he laughed", "she sniffed", "he coughed", "her voice cracked with fear", "he said", "a storm and thunder rolled",
+    "the bell in the tower rang twice", "the kettle was whistling by the fire that crackled", "they heard footsteps and a knock", "the shutter slammed again and again", "whistling, he mended it", "the letter lay crumpled",
+)
+_SAID = ("", " I'll not forget it", " no...", " really?", " stop!")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS idx, CASE " + " ".join(f"WHEN contains(lower(text), ' {w}') THEN '{e}'" for e, w in _EMOTIONS) + " ELSE 'neutral' END AS emotion FROM conversations")
-def emotion_cascade(spark, sf_dir):
-    found: Column = F.lit("neutral")
-    for emotion, word in reversed(_EMOTIONS):
-        found = F.when(F.contains(F.lower("text"), F.lit(f" {word}")), emotion).otherwise(found)
-    return segments(spark, sf_dir).select("book_id", "idx", found.alias("emotion"))
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with what narration says around them (around) and with some words more (text)."""
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    s = segments(spark, sf_dir)
+    return s.withColumns({"around": pick(_AROUND, F.col("idx") + F.length("text")), "text": F.concat("text", pick(_SAID, F.col("idx")))})
 
 
-_RULES = (("door", "the"), ("rain", "ing"), ("bell", "er"), ("wind", "st"))
+_TOLD = "told AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS idx, CAST(turn // 2 AS INT) AS para, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _AROUND) + f"][(turn + length(text)) % {len(_AROUND)} + 1] AS around, text || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID) + f"][turn % {len(_SAID)} + 1] AS text FROM conversations)"
+_CUES = " ".join(f"WHEN regexp_matches(around, '{p}') THEN '{e}/{d}'" for p, e, d in attribution.VERB_CUES)
 
 
-@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS rule, '{n}' AS effect, len(regexp_extract_all(text, ' {p}')) AS hits FROM documents" for k, (n, p) in enumerate(_RULES)) + ") SELECT doc_id, CAST(rule AS INT) AS rule, effect, CAST(hits AS INT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule) AS rn FROM h WHERE hits > 0) WHERE rn <= 3")
+@query(f"""WITH {_TOLD} SELECT book_id, idx, CASE {_CUES} WHEN regexp_matches(around, '{attribution.FEAR}') THEN CASE WHEN contains(text, '!') THEN 'afraid/shout' ELSE 'afraid/normal' END
+WHEN regexp_matches(text, '{attribution.TENDER.replace("'", "''")}') THEN 'tender/normal' WHEN contains(text, '!') THEN 'urgent/shout' WHEN regexp_matches(text, '\\.\\.\\.|…') THEN 'hesitant/normal' WHEN contains(text, '?') AND idx % 3 = 0 THEN 'hesitant/normal' ELSE 'neutral/normal' END AS tone FROM told""")
+def emotion_cascade(spark, sf_dir):
+    rows = told(spark, sf_dir)
+    both = F.array(F.struct(F.lit(0).alias("s"), F.lit("quote").alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("s"), F.lit("narration").alias("kind"), F.col("around").alias("text")))
+    spans = rows.select("book_id", "ch", F.col("idx").alias("para"), F.col("idx").cast("string").alias("span_id"), F.explode(both).alias("x")).select("book_id", "ch", "para", "span_id", "x.*")
+    ages = rows.select("book_id", F.col("idx").cast("string").alias("span_id"), F.when(F.col("idx") % 3 == 0, "child").otherwise("adult").alias("age"))
+    return attribution.tones(spans, ages).select("book_id", F.col("span_id").cast("int").alias("idx"), F.concat_ws("/", "emotion", "delivery").alias("tone"))
+
+
+def _rule_sql(k: int, r: effects.Rule) -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    match = f"regexp_extract(text, {q('(?i)' + r.pattern)})"
+    before = f"length(regexp_extract(text, {q(f'(?is)^(.*?)(?:{r.pattern})')}, 1))"
+    anchor, at = match, before
+    if r.anchor:
+        anchor, at = f"regexp_extract({match}, {q('(?i)' + r.anchor)})", f"{before} + length(regexp_extract({match}, {q(f'(?is)^(.*?)(?:{r.anchor})')}, 1))"
+    said, ms = q(r.description), str(int(r.seconds * 1000))
+    for condition, description, seconds in r.variants:
+        said, ms = (f"CASE WHEN regexp_matches(text, {q('(?i)' + condition)}) THEN {x} ELSE {y} END" for x, y in ((q(description), said), (str(int(seconds * 1000)), ms)))
+    unless = f" AND NOT regexp_matches(paragraph, {q('(?i)' + r.unless)})" if r.unless else ""
+    return f"SELECT book_id, para, idx, {k} AS rule, {anchor} AS anchor_text, CAST({at} AS INT) AS anchor_offset, {said} AS description, CAST({ms} AS INT) AS duration_ms FROM n WHERE regexp_matches(text, {q('(?i)' + r.pattern)}){unless}"
+
+
+@query(f"""WITH {_TOLD}, n AS (SELECT book_id, para, idx, text || ' ' || around AS text, string_agg(text || ' ' || around, ' ' ORDER BY idx) OVER (PARTITION BY book_id, para ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS paragraph FROM told),
+h AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(effects.RULES))}),
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY book_id, para ORDER BY rule, idx) <= 3)
+SELECT book_id, idx, CAST(row_number() OVER (PARTITION BY book_id ORDER BY para, idx, anchor_offset, rule) - 1 AS INT) AS ord, anchor_text, anchor_offset, description, duration_ms FROM k""")
 def sfx_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    rules = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(n).alias("effect"), F.regexp_count("text", F.lit(f" {p}")).alias("hits")) for k, (n, p) in enumerate(_RULES)])
-    top = F.slice(F.filter(rules, lambda r: r["hits"] > 0), 1, 3)
-    return d.select("doc_id", F.explode(top).alias("r")).select("doc_id", "r.rule", "r.effect", "r.hits")
+    rows = told(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", "around"))
+    spans = rows.select("book_id", "ch", "para", F.col("idx").alias("s"), F.col("idx").cast("string").alias("span_id"), F.lit("narration").alias("kind"), "text")
+    whole = spans.groupBy("book_id", "ch", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "text"))), lambda x: x["text"]), " ").alias("paragraph"))
+    cues = effects.effect_cues(spans.join(whole, ["book_id", "ch", "para"]))
+    return cues.select("book_id", F.col("span_id").cast("int").alias("idx"), F.col("ord").cast("int").alias("ord"), "anchor_text", "anchor_offset", "description", "duration_ms")
 
 
 @query("WITH p AS (SELECT page_id, html FROM pages) SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) AS BIGINT) AS headings FROM p")
@@ -450,38 +572,76 @@ def html_blocks(spark, sf_dir):
     return books.page_blocks(table(spark, sf_dir, "pages"))
 
 
-@query(f"""WITH {_LINES}, l AS (SELECT book_id, para, text, length(text) AS len FROM lines), a AS (SELECT book_id, count(*) AS paragraphs, sum(len)::BIGINT AS chars FROM l GROUP BY 1)
-SELECT book_id, paragraphs, chars, round(chars * 0.002 + paragraphs * 0.01, 6) AS cost_usd FROM a""")
+@query(f"""WITH RECURSIVE {_LINES}, {_QUOTED}, r AS (SELECT book_id, para, length(text) AS len FROM lines), f AS (SELECT book_id, para, 0 AS chunk, len AS size FROM r WHERE para = 1
+UNION ALL SELECT r.book_id, r.para, CASE WHEN f.size + 2 + r.len > 600 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + 2 + r.len > 600 THEN r.len ELSE f.size + 2 + r.len END FROM f JOIN r ON r.book_id = f.book_id AND r.para = f.para + 1),
+p AS (SELECT book_id, count(*) AS paragraphs, sum(length(array_to_string(p, '"')))::BIGINT AS chars FROM q GROUP BY 1), sp AS (SELECT book_id, count(*) AS spans, count(*) FILTER (WHERE k % 2 = 0) AS quotes, sum(length(t))::BIGINT AS speech FROM s GROUP BY 1),
+c AS (SELECT book_id, max(chunk) + 1 AS chunks FROM f GROUP BY 1), a AS (SELECT p.book_id, paragraphs, chars, coalesce(spans, 0) AS spans, coalesce(quotes, 0) AS quotes, coalesce(speech, 0) AS speech, CAST(chunks AS BIGINT) AS chunks FROM p LEFT JOIN sp ON sp.book_id = p.book_id JOIN c ON c.book_id = p.book_id),
+k AS (SELECT *, chars // 4 + 900 * chunks AS input_tokens, 1500 * chunks + 25 * quotes AS output_tokens FROM a)
+SELECT book_id, paragraphs, chars, spans, quotes, chunks, input_tokens, output_tokens, round(input_tokens * 0.003 + output_tokens * 0.015 + speech * 0.3 + 120 * 0.01 + paragraphs * 0.02, 4) AS cost_usd FROM k""")
 def estimate(spark, sf_dir):
-    paras = doc_lines(spark, sf_dir).withColumn("ch", F.lit(1))
-    spans = segment.alternating_spans(paras)
-    chunks = segment.chunk_numbers(paras.select("book_id", "ch", "para", F.length("text").cast("long").alias("length")), 6000)
-    told = est.estimate(paras, spans, chunks, {"sfx_second": 0.01})
-    return told.select("book_id", "paragraphs", "chars", F.round(F.col("chars") * 0.002 + F.col("cost_usd"), 6).alias("cost_usd"))
+    rows = doc_lines(spark, sf_dir)
+    quoted = F.when(F.col("para") % 2 == 0, F.replace("text", F.lit(" "), F.lit('" '))).otherwise(F.col("text"))
+    paras = rows.select("book_id", F.lit(1).alias("ch"), "para", quoted.alias("text"))
+    chunks = segment.chunk_numbers(rows.select("book_id", F.lit(1).alias("ch"), "para", F.length("text").cast("long").alias("length")), 600)
+    told = est.estimate(paras, segment.alternating_spans(paras), chunks, {"input_token": 0.003, "output_token": 0.015, "character": 0.3, "music_second": 0.01, "sfx_second": 0.02})
+    return told.select("book_id", "paragraphs", "chars", "spans", "quotes", "chunks", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"))
 
 
-@query("SELECT conv_id || 'q' || turn AS span_id, CASE role WHEN 'user' THEN 'Alba' WHEN 'assistant' THEN 'Bruno' ELSE 'Cora' END AS speaker FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn // 2 % 3 WHEN 0 THEN 'Alba' WHEN 1 THEN 'Bruno' ELSE 'Cora' END AS speaker FROM conversations)
+SELECT conv_id || 'a' || turn AS span_id, speaker, CASE WHEN turn % 4 = 3 THEN 'subject' ELSE 'tag' END AS rule FROM t UNION ALL SELECT conv_id || 'b' || turn, speaker, 'paragraph' FROM t WHERE turn % 4 = 2""")
 def speaker_attribution(spark, sf_dir):
+    """Four forms of a paragraph by turn: a tag behind the quote, one before it, one behind the second of two quotes (the first has none of its own), and a
+    sentence about the speaker before the quote. What is said is the conversation's own text without capitals, so that it names nobody."""
+    name = F.when(F.floor(F.col("turn") / 2) % 3 == 0, "Alba").when(F.floor(F.col("turn") / 2) % 3 == 1, "Bruno").otherwise("Cora")
+    span = lambda k, mark, kind, text: F.struct(F.lit(k).alias("s"), F.concat_ws(mark, "conv_id", "turn").alias("span_id"), F.lit(kind).alias("kind"), text.alias("text"))
+    said = F.lower("text")
+    forms = [
+        F.array(span(0, "a", "quote", said), span(1, "x", "narration", F.concat(F.lit("said "), name, F.lit(".")))),
+        F.array(span(0, "x", "narration", F.concat(name, F.lit(" asked,"))), span(1, "a", "quote", said)),
+        F.array(span(0, "b", "quote", said), span(1, "x", "narration", F.lit("it was still for a while.")), span(2, "a", "quote", said), span(3, "y", "narration", F.concat(name, F.lit(" said slowly.")))),
+        F.array(span(0, "x", "narration", F.concat(name, F.lit(" nodded."))), span(1, "a", "quote", said)),
+    ]
+    form = F.when(F.col("turn") % 4 == 0, forms[0]).when(F.col("turn") % 4 == 1, forms[1]).when(F.col("turn") % 4 == 2, forms[2]).otherwise(forms[3])
     c = table(spark, sf_dir, "conversations")
-    name = F.when(F.col("role") == "user", "Alba").when(F.col("role") == "assistant", "Bruno").otherwise("Cora")
-    both = F.array(F.struct(F.lit(0).alias("s"), F.concat_ws("q", "conv_id", "turn").alias("span_id"), F.lit("quote").alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("s"), F.concat_ws("n", "conv_id", "turn").alias("span_id"), F.lit("narration").alias("kind"), F.concat(F.lit("said "), name, F.lit(".")).alias("text")))
-    spans = c.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(1).alias("ch"), F.col("turn").cast("int").alias("para"), F.explode(both).alias("x"), F.lit(False).alias("scene_break_before")).select("book_id", "ch", "para", "scene_break_before", "x.*")
-    return attribution.attribute(spans).select("span_id", "speaker")
+    named = F.array(*[F.struct(F.lit(k).alias("s"), F.concat_ws(f"n{k}", "conv_id", "conv_id").alias("span_id"), F.lit("narration").alias("kind"), F.lit(f"{n} said nothing.").alias("text")) for k, n in enumerate(("Alba", "Bruno", "Cora"))])
+    rows = c.select("conv_id", F.col("turn").cast("int").alias("para"), form.alias("own")).unionByName(c.select("conv_id", F.lit(-1).alias("para"), named.alias("own")).distinct())
+    spans = rows.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(1).alias("ch"), "para", F.lit(False).alias("scene_break_before"), F.explode("own").alias("x")).select("book_id", "ch", "para", "scene_break_before", "x.*")
+    return attribution.attribute(spans).select("span_id", "speaker", "rule")
+
 
+_MOOD_SCORES = ", ".join("+".join(f"len(regexp_extract_all(text, '(?i){p}')) * {2 if ' ' in p else 1}" for p in ps) + f" AS {m}" for m, ps in effects.MOODS.items())
+_MOST = f"greatest({', '.join(effects.MOODS)})"
+_MOOD = f"CASE WHEN {_MOST} = 0 THEN NULL WHEN prior = 'warm' AND warm = {_MOST} THEN 'warm' " + " ".join(f"WHEN {m} = {_MOST} THEN '{m}'" for m in effects.MOODS) + " END"
+_SCORED = f"""{_TOLD}, c AS (SELECT book_id, idx AS para, CASE WHEN CAST(book_id AS BIGINT) % 2 = 0 THEN 'none' ELSE 'warm' END AS prior, text || ' ' || around AS text FROM told),
+sc AS (SELECT book_id, para, prior, {_MOOD_SCORES} FROM c), m AS (SELECT book_id, para, prior, {_MOOD} AS mood FROM sc)"""
 
-_MOODS = {"first": (" the", " and of"), "second": (" der", " ein"), "third": (" que", " las")}
 
+def mooded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prior = F.when(F.col("book_id").cast("long") % 2 == 0, "none").otherwise("warm")
+    paras = told(spark, sf_dir).select("book_id", "ch", F.col("idx").alias("para"), F.concat_ws(" ", "text", "around").alias("text"), prior.alias("prior_mood"))
+    return effects.paragraph_moods(paras)
 
-@query("WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS para, " + ", ".join("+".join(f"len(regexp_extract_all(lower(text), '{p}')) * {2 if ' ' in p else 1}" for p in ps) + f" AS {m}" for m, ps in _MOODS.items()) + " FROM conversations) SELECT book_id, para, CASE WHEN greatest(first, second, third) = 0 THEN NULL WHEN first = greatest(first, second, third) THEN 'first' WHEN second = greatest(first, second, third) THEN 'second' ELSE 'third' END AS mood FROM c")
+
+@query(f"WITH {_SCORED} SELECT book_id, para, mood FROM m")
 def mood_scores(spark, sf_dir):
-    paras = segments(spark, sf_dir).select("book_id", "ch", F.col("idx").alias("para"), "text")
-    return attribution.paragraph_moods(paras, _MOODS).select("book_id", "para", "mood")
+    return mooded(spark, sf_dir).select("book_id", "para", "mood")
 
 
-@query()
+@query(f"""WITH {_SCORED}, w AS (SELECT *, para % 7 = 6 AS reset, row_number() OVER (PARTITION BY book_id ORDER BY para) AS rn, coalesce(first_value(mood IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'calm') AS opening,
+first_value(mood IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY para ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM m),
+s AS (SELECT *, prior = 'none' AND rn = 1 AS opens, CASE WHEN prior = 'none' AND rn = 1 THEN opening WHEN mood IS NOT NULL AND (coalesce(ahead = mood, false) OR reset) THEN mood END AS sure FROM w),
+l AS (SELECT *, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN prior <> 'none' THEN prior END) AS before FROM s)
+SELECT book_id, para, CASE WHEN opens THEN 'start' ELSE 'change' END AS action, sure AS mood, CASE WHEN sure = 'tense' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS energy FROM l WHERE sure IS NOT NULL AND (opens OR sure IS DISTINCT FROM before)""")
 def mood_changes(spark, sf_dir):
-    paras = segments(spark, sf_dir).select("book_id", "ch", F.col("idx").alias("para"), "text")
-    return attribution.mood_changes(attribution.paragraph_moods(paras, _MOODS)).select("book_id", "para", "mood")
+    return effects.music_cues(mooded(spark, sf_dir).withColumn("reset", F.col("para") % 7 == 6)).select("book_id", "para", "action", "mood", "energy")
+
+
+@query("""WITH e AS (SELECT user_id AS book_id, event_id % 20 AS ch, event_id // 20 AS idx, event_id AS ord, event_type AS mood FROM events),
+c AS (SELECT book_id, ch, arg_max(CASE WHEN mood = 'error' THEN 'none' ELSE mood END, ord) AS m FROM e WHERE ch % 3 > 0 GROUP BY 1, 2), k AS (SELECT DISTINCT book_id, ch FROM e)
+SELECT k.book_id, k.ch, coalesce(last_value(c.m IGNORE NULLS) OVER (PARTITION BY k.book_id ORDER BY k.ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'none') AS prior_mood FROM k LEFT JOIN c ON c.book_id = k.book_id AND c.ch = k.ch""")
+def carried_moods(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), (F.col("event_id") % 20).alias("ch"), F.floor(F.col("event_id") / 20).alias("idx"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", "stop").otherwise("change").alias("action"), F.col("event_type").alias("mood"))
+    return effects.moods_in_force(e.where("ch % 3 > 0"), e.select("book_id", "ch").distinct())
 
 
 # --- casting --------------------------------------------------------------------------------------
@@ -504,7 +664,18 @@ def casting_scores(spark, sf_dir):
     return casting.base_scores(*_cast(spark, sf_dir)).select("book_id", "character", "voice_id", F.col("score").cast("int").alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE ages AS (SELECT ['child', 'teen', 'young', 'adult', 'middle-aged', 'elderly'] AS a),
+p AS (SELECT CAST(c_nationkey AS VARCHAR) AS book_id, c_custkey AS k0, c_name AS name, ['male', 'female', 'unknown'][c_custkey % 3 + 1] AS g, ['child', 'teen', 'young', 'adult', 'middle-aged', 'elderly', 'unknown'][c_custkey % 7 + 1] AS age, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 11 DESC, c_name) AS k FROM customer WHERE c_custkey % 11 > 0),
+v(voice, vg, vage, kw) AS (VALUES ('v1', 'female', 'adult', 1), ('v2', 'male', 'elderly', 1), ('v3', 'male', 'child', 0), ('v4', 'unknown', 'unknown', 1)),
+c AS (SELECT p.book_id, p.k, p.name, voice, vg || '/' || vage AS bucket, q.name AS partner, CAST('0x' || substr(sha256('["' || p.book_id || '","' || p.name || '","' || voice || '"]'), 1, 8) AS BIGINT) AS seed,
+CASE WHEN p.g = 'unknown' OR vg = 'unknown' THEN 40 WHEN p.g = vg THEN 100 ELSE 0 END + CASE WHEN p.age = 'unknown' OR vage = 'unknown' THEN 15 WHEN p.age = vage THEN 30 WHEN abs(list_position(a, p.age) - list_position(a, vage)) = 1 THEN 15 ELSE 0 END + 5 * kw AS score
+FROM p LEFT JOIN p q ON q.book_id = p.book_id AND q.k0 = p.k0 + 25, v, ages),
+r AS (SELECT DISTINCT book_id, 0::BIGINT AS k, 'NARRATOR' AS name, 'v1' AS voice, 0::BIGINT AS ordinal, 0::BIGINT AS score, ['v1'] AS used, []::VARCHAR[] AS names, []::VARCHAR[] AS buckets FROM c
+UNION ALL SELECT book_id, k, name, voice, ordinal, total, list_append(used, voice), list_append(names, name), list_append(buckets, bucket) FROM
+(SELECT c.book_id, c.k, c.name, c.voice, c.bucket, r.used, r.names, r.buckets, len(list_filter(r.used, lambda x: x = c.voice))::BIGINT AS ordinal, c.seed,
+(c.score - CASE WHEN list_contains(r.used, c.voice) THEN 60 ELSE 0 END - CASE WHEN coalesce(r.buckets[list_position(r.names, c.partner)] = c.bucket, false) THEN 20 ELSE 0 END - CASE WHEN c.voice = 'v1' THEN 10 ELSE 0 END)::BIGINT AS total
+FROM r JOIN c ON c.book_id = r.book_id AND c.k = r.k + 1) AS step QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY total DESC, seed) = 1)
+SELECT book_id, name AS character, voice AS voice_id, CAST(ordinal AS INT) AS ordinal, CAST(score AS INT) AS score FROM r""")
 def cast_voices(spark, sf_dir):
     scores = casting.base_scores(*_cast(spark, sf_dir))
     pair = scores.select("book_id", "c_ord", F.col("character").alias("speaker")).distinct()
@@ -512,6 +683,35 @@ def cast_voices(spark, sf_dir):
     return casting.cast_voices(scores, near)
 
 
+@query("""WITH a AS (SELECT CAST(c_nationkey AS VARCHAR) AS book_id, c_name AS character, c_custkey AS k FROM customer)
+SELECT book_id, character, CASE WHEN k % 10 = 7 THEN 'v5' WHEN k % 5 = 2 THEN 'v9' ELSE 'v1' END AS voice_id, CASE WHEN k % 5 = 2 THEN 'override' ELSE 'auto' END AS source FROM a""")
+def overridden_cast(spark, sf_dir):
+    """Every fifth character gets another voice under an alias; of two orders for one the later counts, and orders of unknown voices do not."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("book_id"), F.col("c_name").alias("character"), F.col("c_custkey").alias("k"))
+    alias = F.concat(F.lit("Old "), F.upper("character"))
+    people = c.select("book_id", F.col("k").alias("ord"), F.col("character").alias("name"), F.array(alias).alias("aliases"))
+    order = lambda where, ord_, voice: c.where(where).select("book_id", F.lit(ord_).alias("ord"), F.concat(F.lit("Mr. "), alias).alias("name"), F.lit(voice).alias("voice_id"))
+    asked = order("k % 5 = 2", 1, "v9").unionByName(order("k % 10 = 7", 2, "v5")).unionByName(order("k % 3 = 0", 3, "none"))
+    known, _ = casting.checked_overrides(asked, spark.createDataFrame([("v1",), ("v5",), ("v9",)], "id string"))
+    return casting.overridden(c.select("book_id", "character", F.lit("v1").alias("voice_id")), known, people)
+
+
+@query("""WITH m AS (SELECT CAST(c_nationkey AS VARCHAR) AS book_id, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'Word' || (c_custkey // 6) WHEN c_custkey % 7 = 1 THEN 'the rider ' || c_custkey ELSE 'Name Word' || (c_custkey // 8) END AS name, c_custkey % 5 AS lines, c_custkey % 3 > 0 AND c_custkey % 7 = 1 AS prov FROM customer),
+h AS (SELECT s.book_id, s.ord, min(o.ord) AS host FROM m s JOIN m o ON o.book_id = s.book_id AND NOT o.prov AND o.name = 'Name ' || s.name WHERE NOT s.prov GROUP BY 1, 2 HAVING count(*) = 1),
+d AS (SELECT m.*, coalesce(h.host, m.ord) AS own FROM m LEFT JOIN h ON h.book_id = m.book_id AND h.ord = m.ord), g AS (SELECT book_id, own, sum(lines) AS lines, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT g.book_id, CAST(g.own AS INT) AS ord, CASE WHEN m.prov THEN 'The Rider ' || m.ord ELSE m.name END AS name, CAST(g.lines AS INT) AS line_count, CAST(CASE WHEN g.n > 1 THEN 1 ELSE 0 END AS INT) AS n_aliases FROM g JOIN m ON m.book_id = g.book_id AND m.ord = g.own WHERE NOT m.prov OR g.lines > 0""")
+def finalized_characters(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    described = (k % 3 > 0) & (k % 7 == 1)
+    name = F.when(k % 3 == 0, F.concat(F.lit("Word"), F.floor(k / 6).cast("string"))).when(described, F.concat(F.lit("the rider "), k.cast("string"))).otherwise(F.concat(F.lit("Name Word"), F.floor(k / 8).cast("string")))
+    none = F.array().cast("array<string>")
+    people = c.select(
+        F.col("c_nationkey").cast("string").alias("book_id"), k.cast("int").alias("ord"), name.alias("name"), none.alias("aliases"), F.lit("unknown").alias("gender"), F.lit("unknown").alias("age"),
+        F.lit("").alias("description"), F.lit("").alias("voice_notes"), F.lit(1).alias("first_chapter"), (k % 5).cast("int").alias("line_count"), described.alias("provisional"),
+    )
+    return characters.finalize(people).select("book_id", "ord", "name", "line_count", F.size("aliases").alias("n_aliases"))
+
+
 @query("""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS idx, CASE WHEN turn % 5 = 0 THEN 'urgent' WHEN turn % 5 = 1 THEN 'weary' ELSE 'calm' END AS e, CASE WHEN turn % 3 = 0 THEN 'whisper' WHEN turn % 3 = 1 THEN 'shout' ELSE 'quiet' END AS d FROM conversations)
 SELECT book_id, idx, round(least(1.0, 0.5 + CASE e WHEN 'urgent' THEN -0.15 WHEN 'calm' THEN 0.1 ELSE 0 END), 4)::DOUBLE AS stability, round(CASE d WHEN 'whisper' THEN 0.3 ELSE CASE e WHEN 'urgent' THEN 0.2 ELSE 0.0 END + CASE d WHEN 'shout' THEN 0.25 ELSE 0.0 END END, 4)::DOUBLE AS style,
 round(greatest(0.85, least(1.15, CASE d WHEN 'whisper' THEN (1.0 + CASE e WHEN 'urgent' THEN 0.05 ELSE 0.0 END) * 0.95 WHEN 'shout' THEN 1.0 + CASE e WHEN 'urgent' THEN 0.05 ELSE 0.0 END + 0.05 ELSE 1.0 + CASE e WHEN 'urgent' THEN 0.05 ELSE 0.0 END - 0.03 END)), 4)::DOUBLE AS speed FROM r""")
@@ -520,10 +720,94 @@ def voice_settings(spark, sf_dir):
     return casting.settings_for(rows).select("book_id", "idx", "stability", "style", "speed")
 
 
-@query("SELECT user_id AS job_id, count(*) AS n_chapters, sum(event_id % 1000)::BIGINT AS duration_ms FROM events GROUP BY 1")
+@query("""WITH c AS (SELECT user_id, event_id % 12 AS ch, max(event_type) AS title, sum(event_id % 1000)::BIGINT AS ms FROM events GROUP BY 1, 2)
+SELECT user_id AS job_id, count(*) AS n_chapters, sum(ms)::BIGINT AS duration_ms, string_agg(ch || '|' || title || '|' || ms, ';' ORDER BY ch) AS chapters FROM c GROUP BY 1""")
 def job_manifests(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ch"), F.col("event_type").alias("title"), (F.col("event_id") % 1000).alias("duration_ms"))
-    return sinks.job_manifests(rows).select("job_id", "n_chapters", "duration_ms")
+    e = table(spark, sf_dir, "events")
+    rows = e.groupBy(F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("ch")).agg(F.max("event_type").alias("title"), F.sum(F.col("event_id") % 1000).alias("duration_ms"))
+    told = F.array_join(F.transform("chapters", lambda c: F.concat_ws("|", c["ch"], c["title"], c["duration_ms"])), ";")
+    return sinks.job_manifests(rows).select("job_id", "n_chapters", "duration_ms", told.alias("chapters"))
+
+
+_VOICES = (("NARRATOR", "v0"), ("user", "v1"))
+
+
+def _voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = segments(spark, sf_dir).select("book_id").distinct()
+    voices = F.array(*[F.struct(F.lit(c).alias("character"), F.lit(v).alias("voice_id"), F.lit(k).cast("long").alias("seed")) for k, (c, v) in enumerate(_VOICES)])
+    return books.select("book_id", F.explode(voices).alias("v")).select("book_id", "v.*", F.lit(0.5).alias("stability"), F.lit(0.75).alias("similarity_boost"), F.lit(0.0).alias("style"), F.lit(1.0).alias("speed"), F.lit(0.0).alias("pitch_shift"))
+
+
+@query(f"""WITH RECURSIVE {_SEGMENTS}, n AS (SELECT book_id, idx, trim(text) AS text, speaker, right(lag(text) OVER w, 200) AS before, left(lead(text) OVER w, 200) AS after FROM seg WINDOW w AS (PARTITION BY book_id, speaker, CASE WHEN speaker = 'NARRATOR' THEN -1 ELSE para END ORDER BY idx)),
+x AS (SELECT book_id, idx, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM n), u AS (SELECT book_id, idx, CAST(generate_subscripts(parts, 1) AS INT) AS k, unnest(parts) AS t FROM x),
+f AS (SELECT book_id, idx, k, t, 0 AS piece, length(t) AS size FROM u WHERE k = 1 UNION ALL SELECT u.book_id, u.idx, u.k, u.t, CASE WHEN f.size + 1 + length(u.t) > 700 THEN f.piece + 1 ELSE f.piece END, CASE WHEN f.size + 1 + length(u.t) > 700 THEN length(u.t) ELSE f.size + 1 + length(u.t) END FROM f JOIN u ON u.book_id = f.book_id AND u.idx = f.idx AND u.k = f.k + 1),
+g AS (SELECT book_id, idx, piece, string_agg(t, ' ' ORDER BY k) AS t FROM f GROUP BY 1, 2, 3), p AS (SELECT g.book_id, g.idx, CASE WHEN length(n.text) <= 700 THEN n.text ELSE g.t END AS text, CASE WHEN length(n.text) <= 700 THEN 0 ELSE piece END AS piece, n.speaker, n.before, n.after FROM g JOIN n ON n.book_id = g.book_id AND n.idx = g.idx WHERE (length(n.text) > 700 OR piece = 0) AND n.text <> '')
+SELECT book_id, idx, CAST(piece AS INT) AS piece, text, CASE speaker WHEN 'user' THEN 'v1' ELSE 'v0' END AS voice_id, nullif(coalesce(right(lag(text) OVER w, 200), before), '') AS previous_text, nullif(coalesce(left(lead(text) OVER w, 200), after), '') AS next_text FROM p WINDOW w AS (PARTITION BY book_id, idx ORDER BY piece)""")
+def tts_plan(spark, sf_dir):
+    return speech.plan_tts(segments(spark, sf_dir), _voices(spark, sf_dir), 700).select("book_id", "idx", "piece", "text", "voice_id", "previous_text", "next_text")
+
+
+@query("""SELECT conv_id || 's' || turn AS span_id, sha256('["sfx","basic","1",1,{"description":' || to_json(text) || ',"duration_ms":' || least(greatest(turn * 300, 500), 2000) || ',"intensity":0.5,"kind":"impact","loop":false,"seed":' ||
+CAST('0x' || substr(sha256('["' || conv_id || '",' || to_json(text) || ']'), 1, 8) AS BIGINT) || '}]') AS clip_key FROM conversations""")
+def clip_keys(spark, sf_dir):
+    cues = segments(spark, sf_dir).select("book_id", "span_id", F.col("text").alias("description"), F.lit("impact").alias("kind"), (F.col("idx") * 300).alias("duration_ms"), F.lit(0.5).alias("intensity"))
+    return speech.sfx_requests(cues, 2000, F.col("book_id")).select("span_id", "clip_key")
+
+
+@query(f"""WITH {_SEGMENTS}, kinds AS (SELECT *, speaker = 'NARRATOR' AS narrated, CASE WHEN idx % 4 = 1 THEN instr(lower(text), 'the') END AS hit FROM seg),
+i AS (SELECT *, greatest(hit - 1, 0) AS off, coalesce(narrated AND hit > 0 AND greatest(hit - 1, 0) / length(text) < 0.25, false) AS blocks FROM kinds),
+t AS (SELECT i.*, CASE WHEN blocks THEN 480 ELSE 0 END AS gap, 1500 + sum(coalesce(pause_ms, 0) + CASE WHEN blocks THEN 480 ELSE 0 END + i.dur) OVER (PARTITION BY i.book_id ORDER BY i.idx) AS e FROM i JOIN (SELECT book_id, idx, pause_ms FROM pause) p ON p.book_id = i.book_id AND p.idx = i.idx),
+m AS (SELECT *, e - dur AS s, coalesce(min(CASE WHEN brk THEN idx END) OVER (PARTITION BY book_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(idx) OVER (PARTITION BY book_id)) AS scene FROM t),
+c AS (SELECT book_id, idx, idx AS ord FROM m WHERE idx % 4 = 1 UNION ALL SELECT book_id, idx, 1000 + idx FROM m WHERE idx % 6 = 2), d AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS n FROM c),
+h AS (SELECT m.book_id, 'c1x' || lpad(CAST(d.n AS VARCHAR), 3, '0') AS ref, CAST(CASE WHEN blocks THEN s - gap ELSE greatest(0, round_even(s + CASE WHEN length(text) > 0 THEN least(1.0, off / length(text)) ELSE 0 END * (e - s), 0) - 120) END AS BIGINT) AS st FROM m JOIN d ON d.book_id = m.book_id AND d.idx = m.idx AND d.ord = m.idx WHERE m.idx % 4 = 1),
+b AS (SELECT m.book_id, 1000 + m.idx AS ord, greatest(0, m.s - 300) AS st, greatest(greatest(0, m.s - 300), z.e) AS en FROM m JOIN m z ON z.book_id = m.book_id AND z.idx = m.scene WHERE m.idx % 6 = 2),
+o AS (SELECT *, coalesce(st > max(en) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM b), q AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY book_id ORDER BY ord) AS island FROM o),
+a AS (SELECT book_id, 'voice' AS track, book_id || 's' || idx AS ref, s AS start_ms, e AS end_ms, 0.0 AS gain_db FROM m UNION ALL SELECT book_id, 'sfx', ref, st, st + 800, -10.0 FROM h
+UNION ALL SELECT book_id, 'sfx', 'bed' || min(ord), arg_min(st, ord), max(en), -22.0 FROM q GROUP BY book_id, island), l AS (SELECT book_id, max(end_ms) + 2500 AS long_ FROM a GROUP BY 1)
+SELECT book_id, track, ref, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, CAST(gain_db AS DOUBLE) AS gain_db FROM a
+UNION ALL SELECT m.book_id, 'music', 'music1', CAST(greatest(0, least(max(long_), min(s) - 800)) AS BIGINT), CAST(greatest(greatest(0, least(max(long_), min(s) - 800)), least(max(long_), max(e) + 1500)) AS BIGINT), -18.0 FROM m JOIN l ON l.book_id = m.book_id GROUP BY m.book_id""")
+def chapter_timeline(spark, sf_dir):
+    """All placements of a chapter: an effect in every fourth turn (blocking where it opens narration), a bed in every sixth up to the end of its
+    scene, and music throughout."""
+    seg = segments(spark, sf_dir).persist()
+    made = lambda where, ord_, kind, anchor, description, ms: seg.where(where).select("book_id", "ch", ord_.alias("ord"), "span_id", F.lit(anchor).alias("anchor_text"), F.lit(description).alias("description"), F.lit(kind).alias("kind"), F.lit(ms).alias("duration_ms"), F.lit(0.9).alias("intensity"))
+    cues = made("idx % 4 = 1", F.col("idx"), "impact", "THE", "door", 800).unionByName(made("idx % 6 = 2", F.col("idx") + 1000, "ambient", "", "wind", 9000))
+    chapters = seg.groupBy("book_id", "ch").agg((F.max("idx") + 1).alias("n_spans")).withColumn("prior_mood", F.lit("none"))
+    events = seg.where("idx < 0").select("book_id", "ch", "idx", F.col("idx").alias("ord"), F.lit("start").alias("action"), F.lit("calm").alias("mood"), F.lit(0.2).alias("energy"))
+    placed = timeline.timeline(seg, script.anchored_cues(cues, seg), script.music_regions(events, chapters))
+    return placed.select("book_id", "track", "ref", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.round("gain_db", 6).alias("gain_db"))
+
+
+@query(f"""WITH {_SEGMENTS}, t AS (SELECT *, 1500 + sum(coalesce(pause_ms, 0) + dur) OVER (PARTITION BY book_id ORDER BY idx) AS e FROM pause)
+SELECT book_id, idx, speaker, CASE speaker WHEN 'user' THEN 'v1' ELSE 'v0' END AS voice_id, CAST(e - dur AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms, text FROM t WHERE idx % 7 <> 3""")
+def chapter_manifest(spark, sf_dir):
+    seg = segments(spark, sf_dir)
+    timed = timeline.schedule(seg).where("idx % 7 <> 3")
+    return speech.chapter_segments(seg, timed, _voices(spark, sf_dir)).select("book_id", "idx", "speaker", "voice_id", "start_ms", "end_ms", "text")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS ch FROM conversations WHERE turn BETWEEN 1 AND 3 OR turn = 5")
+def chosen_chapters(spark, sf_dir):
+    return selection.only_chapters(segments(spark, sf_dir).select("book_id", F.col("idx").alias("ch")), selection.chapter_ranges("1-3, 5"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, turn // 6 AS chunk, turn % 3 < 2 AS quote FROM conversations), s AS (SELECT *, quote AND NOT (turn % 12 = 4 OR conv_id % 4 = 0 AND turn % 2 = 0) AS labelled FROM l),
+c AS (SELECT conv_id, chunk, count(*) FILTER (WHERE quote) AS quotes, count(*) FILTER (WHERE quote AND NOT labelled) AS missing FROM s GROUP BY 1, 2)
+SELECT s.conv_id || 's' || s.turn AS span_id, CASE WHEN NOT labelled THEN 'NARRATOR' WHEN s.turn % 2 = 0 THEN 'Thomas' ELSE 'Who Else' END AS speaker FROM s JOIN c ON c.conv_id = s.conv_id AND c.chunk = s.chunk WHERE quote AND NOT (missing > 0.2 * quotes)""")
+def checked_labels(spark, sf_dir):
+    """Labels of six turns a chunk: every third turn is narration (its label goes), some have no label, each is labelled twice (the second goes), and one is of no span."""
+    seg = segments(spark, sf_dir).withColumn("chunk", F.floor(F.col("idx") / 6).cast("int"))
+    quote = F.col("idx") % 3 < 2
+    spans = seg.select("book_id", "ch", "chunk", "para", F.col("idx").alias("s"), "span_id", F.when(quote, "quote").otherwise("narration").alias("kind"))
+    silent = (F.col("idx") % 12 == 4) | ((F.col("book_id").cast("long") % 4 == 0) & (F.col("idx") % 2 == 0))
+    said = seg.where(~silent | ~quote).select("book_id", "ch", "chunk", "span_id", F.when(F.col("idx") % 2 == 0, "mr. TOM").otherwise(" Who Else ").alias("speaker"), F.lit("calm").alias("emotion"), F.lit("quiet").alias("delivery"))
+    labels = said.withColumn("ord", F.lit(1)).unionByName(said.withColumns({"ord": F.lit(2), "speaker": F.lit("Nobody")})).unionByName(said.withColumns({"ord": F.lit(0), "span_id": F.concat(F.lit("z"), F.col("span_id"))}))
+    sfx = seg.where("idx < 0").select("book_id", "ch", "chunk", F.lit(0).alias("ord"), "span_id", F.lit(1.0).alias("duration_s"), F.lit(0.5).alias("intensity"))
+    people = seg.select("book_id").distinct().select(
+        "book_id", F.lit(0).alias("ord"), F.lit("Thomas").alias("name"), F.array(F.lit("Tom")).alias("aliases"), F.lit("male").alias("gender"), F.lit("adult").alias("age"), F.lit(False).alias("provisional"),
+    )
+    news = seg.where("idx < 0").select("book_id", "ch", "chunk", F.lit(0).alias("ord"), F.lit("x").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return validate.checked_analysis(spans, labels, sfx, sfx.drop("duration_s", "intensity").withColumn("energy", F.lit(0.1)), people, news).labels.select("span_id", "speaker")
 
 
 # --- signals --------------------------------------------------------------------------------------
@@ -555,16 +839,21 @@ def int16_samples(spark, sf_dir):
     return samples(spark, sf_dir).select("vec_id", F.aggregate(signal.to_int16(F.col("samples")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query("""WITH f AS (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN i <= 8 THEN (i - 1) / 8.0 WHEN i > 56 THEN (64 - i) / 7.0 ELSE 1 END) AS x FROM embeddings)
+SELECT vec_id, round(list_sum(x), 6) AS total, round(list_sum(list_transform(x, lambda v, i: v * i)), 5) AS digest FROM f""")
 def faded_samples(spark, sf_dir):
-    return signal.map_samples(samples(spark, sf_dir), lambda x: signal.fade(x, 1000, 8, 8))
+    faded = signal.map_samples(samples(spark, sf_dir), lambda x: signal.fade(x, 1000, 8, 8))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return faded.select("vec_id", F.round(add(F.col("samples")), 6).alias("total"), F.round(add(F.transform("samples", lambda x, i: x * (i + 1))), 5).alias("digest"))
 
 
-@query("SELECT CAST(label AS VARCHAR) AS book_id, count(*) AS clips, 64 * count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
+@query("""WITH k AS (SELECT label, 64 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS first, embedding FROM embeddings), s AS (SELECT label, first + i - 1 AS pos, embedding[i]::DOUBLE AS v FROM k, range(1, 65) AS t(i))
+SELECT CAST(label AS VARCHAR) AS book_id, pos // 10000 AS bucket, count(*) AS n, round(sum(v * (1 + pos % 97)), 3) AS digest FROM s GROUP BY 1, 2""")
 def mixed_track(spark, sf_dir):
-    placed = placed_clips(spark, sf_dir, 64)
-    mixed = signal.mix_tracks(placed, 1000).groupBy("book_id").agg(F.max(F.col("start") + F.size("samples")).alias("n"))
-    return mixed.join(placed.groupBy("book_id").agg(F.count("*").alias("clips")), "book_id").select("book_id", "clips", F.col("n").cast("long"))
+    """Clips end to end, as a digest of the samples of each bucket."""
+    mixed = signal.mix_tracks(placed_clips(spark, sf_dir, 64), 1000)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x * (1 + (F.col("start") + i) % 97)), F.lit(0.0), lambda a, x: a + x)
+    return mixed.select("book_id", "bucket", F.size("samples").cast("long").alias("n"), F.round(weighed, 3).alias("digest"))
 
 
 def placed_clips(spark: SparkSession, sf_dir: str, step_ms: int, gain_db: float = 0.0) -> DataFrame:
