@@ -1,34 +1,13 @@
-"""Array expressions that stay near linear on long arrays, and cuts of long texts."""
+"""Cuts of long texts, as expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 #: Code points of a text's blocks.
 BLOCK = 256
 
 
-def _scan(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
-    """All partial results of a fold. Appending copies the array, so the time is quadratic in its length."""
-    step = lambda a, x: F.struct(add(a["at"], x).alias("at"), F.array_append(a["out"], add(a["at"], x)).alias("out"))
-    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
-
-
-def running(values: Column, add: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
-    """Running sums (or another associative fold with neutral 0) of an array of ints. The array is cut into about sqrt(n) runs of
-    about sqrt(n); runs are folded apart and then moved by what lies before them: n^1.5 copied values for n, not n^2."""
-    zero = F.lit(0)
-    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
-    count = F.ceil(F.size(values) / size).cast("int")
-    runs = F.transform(F.sequence(zero, F.greatest(count - 1, zero)), lambda k: F.slice(values, k * size + 1, size))
-    totals = F.transform(runs, lambda r: F.aggregate(r, zero, lambda a, x: add(a, x)))
-    before = F.concat(F.array(zero), F.slice(_scan(totals, zero, add), 1, F.greatest(count - 1, zero)))
-    moved = F.transform(F.arrays_zip(runs.alias("run"), before.alias("base")), lambda z: _scan(z["run"], z["base"], add))
-    return F.when(F.size(values) > 0, F.flatten(moved)).otherwise(F.array().cast("array<int>"))
-
-
 def text_blocks(text: Column) -> Column:
     """A text as an array of BLOCK code points each (the last one may be shorter)."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folio.llm.arrays import cut, running, text_blocks
+from folio.functions.arrays import running
+from folio.llm.arrays import cut, text_blocks
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones.

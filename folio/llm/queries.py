@@ -67,6 +67,24 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), *langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+# What SQL can express of an operator whose other columns it cannot: the same rows, fewer columns.
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's part of op2: counts and digest of the base kinds."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's part of op4: counts and the base rules."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op8."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,8 +95,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_importance_resampling, op2_pii, op3_simhash_groups, op4_quality_rules, op5_line_dedup, op6_near_vectors,
-        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, pipeline,
+        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, pipeline, pii_base, quality_base, mixing_targets,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = r"[\x20\x09-\x0D]"
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_PASSES = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: x::DOUBLE > 255)) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE (2 * c::INT) // 10 + (2 * c::INT) % 10 END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, {k} AS o, '{kind}' AS kind, start, start + length(m) AS fin FROM (SELECT r, m, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY n) - length(m) AS start FROM (SELECT r, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS n FROM (SELECT r, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps FROM d))) WHERE {_PASSES[kind]}"
+    for k, (kind, p) in enumerate(_PII.items())
+)
+_COUNTED = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in _PII)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), l AS (SELECT r, doc_id, generate_subscripts(x, 1) AS k, unnest(x) AS line FROM d),
+n AS (SELECT *, translate(regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+b AS (SELECT key AS bad FROM n WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(bad) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad IS NULL), '')) AS kept_sha256 FROM n LEFT JOIN b ON bad = key GROUP BY r""",
+    "pii_base": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), f AS ({_FOUND}),
+a AS (SELECT r, {_COUNTED}, string_agg(kind || ':' || start::BIGINT || ':' || fin::BIGINT, ',' ORDER BY o, start) AS told FROM f GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _PII)}, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN a ON a.r = d.r""",
+    "quality_base": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dl AS (SELECT r, count(line) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+w AS (SELECT r, generate_subscripts(x, 1) AS k, unnest(x) AS word FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS x FROM d)),
+g AS (SELECT r, k, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS gram, lead(word, 4) OVER o AS fifth FROM w WINDOW o AS (PARTITION BY r ORDER BY k)),
+t AS (SELECT r, k, count(*) OVER (PARTITION BY r, gram) AS n FROM g WHERE fifth IS NOT NULL), rw AS (SELECT r, count(DISTINCT k + j) AS n_repeat_words FROM t, range(5) x(j) WHERE n >= 2 GROUP BY 1),
+c AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY 1),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN c USING (r) LEFT JOIN dl USING (r) LEFT JOIN rw USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a""",
+    "mixing_targets": """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+k AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+v AS (SELECT a.cap / a.w AS reach, (any_value(a.total) - sum(CASE WHEN b.cap / b.w < a.cap / a.w THEN b.cap ELSE 0 END)) / sum(CASE WHEN b.cap / b.w >= a.cap / a.w THEN b.w ELSE 0 END) AS level FROM k a, k b GROUP BY a.source, a.cap, a.w),
+f AS (SELECT coalesce(arg_min(level, reach) FILTER (WHERE level <= reach), 'inf'::DOUBLE) AS level FROM v)
+SELECT d.doc_id, d.size, k.source_size, round(least(k.cap, k.w * f.level), 6) AS target FROM d JOIN k ON k.source IS NOT DISTINCT FROM d.source, f""",
+}

@@ -4,13 +4,14 @@ import collections
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folio.llm import components, langid, lines, mixing, pieces, pii, quality, resample, simhash, toxicity, vectors
+from folio.llm import components, langid, lines, mixing, pieces, pii, quality, queries, resample, simhash, storage, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, ids string"
 WORDS = [f"w{chr(97 + k % 26)}{k}" for k in range(300)]
@@ -507,6 +508,276 @@ def test_resample(spark, docs, labels, rows, empty):
     assert resample.resample(empty, good).count() == 0
 
 
+def test_resample_against_a_plain_version(spark, docs, labels, rows):
+    """Keys and choice from their definitions: hashed n-grams, smoothed log-ratios, Gumbel noise from the seeded hash."""
+    mask = (1 << 64) - 1
+    spread = spark.createDataFrame(rows, SCHEMA).select("doc_id", F.xxhash64(F.lit(resample.SEED), F.coalesce("doc_id", F.lit(-1))).alias("h"))
+    noise = {r.doc_id: -np.log(-np.log((((r.h & mask) >> 11) + 0.5) / 2.0**53)) for r in spread.collect()}
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.lower().encode(), resample.SEED) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        two = [(((a * 0x9E3779B97F4A7C15 & mask) ^ (b >> 7) ^ b) * 0xC2B2AE3D27D4EB4F & mask) >> 48 for a, b in zip(h, h[1:])]
+        return [x >> 48 for x in h] + two
+
+    target, raw = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    for r in rows:
+        for at in grams(r[1]):
+            raw[at] += 1
+            target[at] += r[0] is not None and r[0] < 30
+    share = lambda n: (n + resample.ADDED) / (n.sum() + resample.ADDED * len(n))
+    ratio = np.log(share(target)) - np.log(share(raw))
+    want = [(r[0], ratio[grams(r[1])].sum() if grams(r[1]) else 0.0) for r in rows]
+    last = sorted((x + noise[i] for i, x in want), reverse=True)[round(0.5 * len(rows)) - 1]
+    for bound in (resample.BROADCAST_IDS, 0):
+        got = resample.resample(docs, labels.where("doc_id < 30").select("doc_id"), share=0.5, broadcast_ids=bound).collect()
+        order = lambda xs: sorted(xs, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        have = order((r.doc_id, r.log_ratio, r.sample_key, r.kept) for r in got)
+        for (i, x, key, kept), (j, y) in zip(have, order(want), strict=True):
+            assert i == j and abs(x - y) < 1e-5 and abs(key - y - noise[i]) < 1e-5
+            assert kept == (y + noise[i] >= last) or abs(y + noise[i] - last) < 1e-5
+
+
+def test_quality_against_a_plain_version(spark):
+    """Distances and verdicts from their definitions, character by character and word by word."""
+    rng = np.random.default_rng(21)
+    kinds = {"lower": str.islower, "upper": str.isupper, "digit": str.isdigit}
+
+    def kind(c):
+        if ord(c) >= 0x80:
+            return "beyond"
+        named = next((k for k, own in quality._SETS.items() if c in own), None)
+        return named or next((k for k, fits in kinds.items() if fits(c)), "other")
+
+    vocab = {"aa": [f"a{k}" for k in range(150)], "bb": [f"Bé{k}" for k in range(150)], None: [f"#{k}!" for k in range(50)]}
+    draw = lambda lang, n: " ".join(rng.choice(vocab[lang], n, p=np.arange(len(vocab[lang]), 0, -1) / sum(range(len(vocab[lang]) + 1))))
+    rows = [(k, draw(("aa", "bb")[k % 2], int(rng.integers(5, 160))), ("aa", "bb")[k % 2]) for k in range(120)]
+    rows += [(200 + k, draw(None, 30 + k), (None, "aa")[k % 2]) for k in range(20)] + [(300 + k, draw("aa", 40) + draw(None, 60), None) for k in range(10)]
+    plain = lambda w: w.strip(".,;:!?'\"()-").lower()
+    bucket = lambda w: xxhash.xxh64_intdigest(plain(w).encode()) % quality.BUCKETS
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+
+    def failed(t):
+        w = split(t)
+        n = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        return len(w) < 10 or 100 * len({j for k in range(len(w) - 4) if n[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}) > 20 * len(w)
+
+    refs = {}
+    for lang in ("aa", "bb"):
+        own = [t for _, t, x in rows if x == lang and not failed(t) and len(split(t)) >= quality.LEAST_WORDS]
+        chars, words = collections.Counter(kind(c) for t in own for c in t), collections.Counter(bucket(w) for t in own for w in split(t))
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+        refs[lang] = {c: n / sum(chars.values()) for c, n in chars.items()}, {b: n / sum(words.values()) for b, n in top}
+
+    def distance(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        return np.sqrt(max(0.0, sum(x.get(k, 0) * np.log2(x[k] / m[k]) for x in (p, q) for k in x if x[k] > 0) / 2))
+
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, _ in rows:
+        words, near = split(t), []
+        for chars, common in refs.values():
+            mine = collections.Counter(bucket(w) if bucket(w) in common else "rest" for w in words)
+            near.append((distance({c: n / len(t) for c, n in collections.Counter(map(kind, t)).items()}, chars), distance({b: n / len(words) for b, n in mine.items()}, common | {"rest": 1 - sum(common.values())})))
+        by_char, by_word = (min(x) for x in zip(*near))
+        far = (len(words) >= quality.LEAST_CHAR_WORDS and by_char > quality.MOST_CHAR_DISTANCE) or (len(words) >= quality.LEAST_WORDS and by_word > quality.MOST_WORD_DISTANCE)
+        assert (got[i].char_distance is None) == (len(words) < quality.LEAST_CHAR_WORDS) and (got[i].word_distance is None) == (len(words) < quality.LEAST_WORDS)
+        assert abs((got[i].char_distance or by_char) - by_char) < 1e-9 and abs((got[i].word_distance or by_word) - by_word) < 1e-9
+        assert got[i].kept == (not failed(t) and not far)
+    assert 0 < sum(r.kept for r in got.values()) < len(rows)
+
+
+def test_many_languages(spark):
+    """Every language has its model and its reference, and a text may hold as many as the likelihood finds."""
+    rng = np.random.default_rng(22)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåæžšč"
+    vocab = {f"l{k:02}": ["".join(rng.choice(list(letters), 6)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * k + j, " ".join(rng.choice(words, 60)), lang) for k, (lang, words) in enumerate(vocab.items()) for j in range(3)]
+    four = " ".join(" ".join(rng.choice(vocab[x], 80)) for x in ("l03", "l19", "l44", "l69"))
+    long_ = " ".join(rng.choice(vocab["l64"], 200_000))
+    df = spark.createDataFrame([*rows, (90_000, four, None), (90_001, long_, None)], "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in langid.identify(df, df).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert {s.lang for s in got[90_000].languages} == {"l03", "l19", "l44", "l69"} and all(abs(s.share - 0.25) < 0.05 for s in got[90_000].languages)
+    assert got[90_001].lang_pred == "l64" and got[90_001].score > 0.99
+    assert len(quality.language_references(df)) == 70
+
+
+def test_language_against_a_plain_version(spark):
+    """Shares from their definition: models of byte n-grams, expectation-maximisation word by word, penalised choice."""
+    rng = np.random.default_rng(23)
+    vocab = {"aa": ["the", "and", "Thing,", "other"], "bb": ["und", "der", "schön", "nicht"], "cc": ["que", "los", "ción", "para"]}
+    rows = [(k, " ".join(rng.choice(vocab[x], 8)), x) for k, x in enumerate(list(vocab) * 5)]
+    texts = [(100 + k, " ".join(w for x in rng.choice(list(vocab), rng.integers(1, 4), replace=False) for w in rng.choice(vocab[x], rng.integers(1, 9))) + " zzz 12") for k in range(30)]
+
+    def grams(word):
+        b = b" " + word.strip(".,;:!?'\"()-[]{}|*#%&$<>=_0123456789").lower().encode() + b" "
+        out = []
+        for n in langid.SIZES if len(b) > 2 else ():
+            for at in range(len(b) - n + 1):
+                g = b[at : at + n]
+                if b" " in g[1:-1] or (n == 1 and g == b" "):
+                    continue
+                code = n
+                for c in g:
+                    code = code << 8 | c
+                out.append((code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48)
+        return out
+
+    langs, models = sorted(vocab), []
+    for lang in langs:
+        n = np.full(langid.BUCKETS, langid.ADDED)
+        for _, t, x in rows:
+            for g in (g for w in t.split() for g in grams(w) if x == lang):
+                n[g] += 1
+        models.append(np.log(n / n.sum()))
+
+    def mix(likes, share, rounds):
+        for _ in range(rounds):
+            own = likes * share
+            share = (own / own.sum(1, keepdims=True)).mean(0)
+        return share, np.log((likes * share).sum(1)).sum()
+
+    def chosen(text):
+        logs = np.array([[m[grams(w)].sum() for m in models] for w in text.split() if grams(w)])
+        likes = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -50))
+        share, _ = mix(likes, np.full(3, 1 / 3), langid.ROUNDS)
+        order, best, idle = np.argsort(-share, kind="stable"), (-np.inf, None), 0
+        for m in range(1, 4):
+            start = np.maximum(share[order[:m]], 1e-6)
+            found, ll = mix(likes[:, order[:m]], start / start.sum(), 0 if m == 1 else langid.ROUNDS // 2)
+            value = ll - (m - 1) * langid.PENALTY * np.log(max(2, len(likes)))
+            best, idle = ((value, dict(zip(order[:m].tolist(), found))), 0) if value > best[0] else (best, idle + 1)
+            if idle == langid.PATIENCE:
+                break
+        return best[1]
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), df).collect()}
+    for i, t in texts:
+        want = {langs[k]: s for k, s in chosen(t).items() if s > 0}
+        have = {s.lang: s.share for s in got[i].languages}
+        assert set(have) == set(want) and all(abs(have[x] - want[x]) < 1e-4 for x in want)
+        assert abs(got[i].score - max(want.values())) < 1e-4
+
+
+def test_toxicity_score_against_a_plain_version():
+    """A document's score from its words one by one: features, forward-backward, aggregates, calibration."""
+    rng = np.random.default_rng(24)
+    texts = [" ".join([*rng.choice(WORDS, 20), *(["vile", "Nastyish!"] if k % 4 == 0 else [])]) for k in range(200)]
+    model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(200)], 0.25)
+    shown = ["", "vile", " ".join(rng.choice(WORDS, 90)), "some vile words " * 3, "NASTYISH w1"]
+    codes, n_words, vocabulary = toxicity.words(pa.array(shown))
+    got = model.score(model.tokens(codes, n_words, vocabulary), n_words)
+    for text, score in zip(shown, got, strict=True):
+        each = []
+        for word in text.split():
+            plain = "".join(re.findall(r"[^\W\d_]", word)).lower()
+            told = [(0, plain)] + [(k, plain[:n] if n > 0 else plain[n:]) for k, n in enumerate((3, 4, 5, 6, 7, 8, -3, -4, -5), 1) if len(plain) >= abs(n)]
+            each.append(model.bias + sum(model.weight[xxhash.xxh64_intdigest(x.encode(), 70 + k) % toxicity.BUCKETS] for k, x in told))
+        steps = [model.transition * np.array([1.0, np.exp(np.clip(e, -30, 30))]) for e in each]
+        p = []
+        for k in range(len(steps)):
+            left, right = np.array([1.0, 0.0]), np.ones(2)
+            for m in steps[: k + 1]:
+                left = left @ m / (left @ m).sum()
+            for m in steps[:k:-1]:
+                right = m @ right / (m @ right).sum()
+            p.append((left * right)[1] / (left * right).sum())
+        sure = [x for x in p if x >= toxicity.LEAST_MARGINAL]
+        z = [1.0, 1 - np.prod([1 - min(x, 1 - 1e-9) for x in sure]), np.log1p(sum(sure)), np.log1p(100 * sum(sure) / max(1, len(p)))]
+        assert abs(score - 1 / (1 + np.exp(-np.clip(np.dot(z, model.calibration), -30, 30)))) < 1e-6
+    assert got[1] > 0.7 > 0.1 > got[2]
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = np.random.default_rng(25)
+    rows = [(k, prose(rng, 4_000) + (" vile" * 12 if k % 2 else ""), k % 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 10_000
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).collect()}
+    assert all(got[k] == y for k, _, y in rows)
+    texts, marks, rate = toxicity.labelled_sample(docs, docs, class_bytes=100_000)
+    assert rate > 0.3 and {sum(len(t) for t, y in zip(texts, marks, strict=True) if y == c) <= 100_000 for c in (0, 1)} == {True} and set(marks) == {0, 1}
+
+
+def test_pii_in_a_text_of_many_matches(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "".join(f"mail u{k}@x.org or 10.0.{k % 256}.7 card\n" for k in range(50_000)))], "doc_id long, text string")
+    began = time.time()
+    row = pii.find_pii(docs).select(F.size("spans").alias("n"), F.col("spans")[0].alias("first"), F.element_at("spans", -1).alias("last")).first()
+    assert row.n == 100_000 and (row.first.start, row.first.end, row.first.score) == (5, 13, 1.0) and row.last.value == "10.0.79.7" and time.time() - began < 60
+    red = pii.redacted(docs).first().text
+    assert red == "mail [email] or [ip] card\n" * 50_000
+
+
+def test_names_that_clash(spark):
+    """Columns called like an operator's own helpers stay as they are."""
+    names = ["_a", "_b", "_bad", "_kept", "_row", "_mix_n", "_mix_id", "_mix_source", "_mix_size", "_n", "_low", "_sum", "_high", "_own_id", "_own_source", "_own_size", "_copy", "_rank", "key", "n", "component_id", "text_", "size", "times", "h"]
+    rows = [(k % 6, f"text {k % 5} of some words\nshared line", "s") for k in range(24)] + [(None, "no id here at all", None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.concat(F.lit(n), "text").alias(n) for n in names])
+    for bytes_ in (lines.BROADCAST_BYTES, 0):
+        got = lines.dedup_lines(docs, broadcast_bytes=bytes_)
+        assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and got.where("n_dropped = 1 and not endswith(text, 'shared line')").count() == 24 and got.where("startswith(_a, '_atext ') or startswith(_a, '_ano id')").count() == 29
+    one = simhash.one_of_each_group(docs)
+    assert one.columns == docs.columns and 0 < one.count() < 29
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0 and mixed.where("`_mix_n` <> concat('_mix_n', text)").count() == 0
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).columns == docs.columns
+    ids = mixed.where("doc_id is null").count()
+    assert ids == mixing.mix_sources(docs).where("doc_id is null").agg(F.sum("times")).first()[0]
+
+
+def test_lines_in_many_segments(spark, docs):
+    want = sorted((r.doc_id or -1, r.text, r.n_dropped) for r in lines.dedup_lines(docs, min_docs=3).collect())
+    for few in (lines.BROADCAST_HASHES, 0):
+        got = lines.dedup_lines(docs, min_docs=3, segment_rows=4, bits_per_hash=1, broadcast_hashes=few)
+        assert sorted((r.doc_id or -1, r.text, r.n_dropped) for r in got.collect()) == want
+
+
+def test_lone_pairs_of_a_large_label(spark):
+    """Passes over one label of 12,000 vectors: nearly all of 1,000 pairs at the threshold are found, and a group larger than a window in full."""
+    rng = np.random.default_rng(26)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((10_900, 64)))
+    across = rng.standard_normal((1_000, 64))
+    across = unit(across - (across * x[:1_000]).sum(1, keepdims=True) * x[:1_000])
+    dense = unit(unit(rng.standard_normal(64)) + 0.1 * unit(rng.standard_normal((100, 64))))
+    x = np.concatenate([x, 0.932 * x[:1_000] + (1 - 0.932**2) ** 0.5 * across, dense]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r for r in vectors.near_vectors(df, full_rows=2_000).collect()}
+    found = sum(got[k].component_id == got[10_900 + k].component_id for k in range(1_000))
+    assert found >= 950 and all(got[k].n_links == 99 and got[k].component_id == 11_900 for k in range(11_900, 12_000))
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert all(got[k].n_links <= n for k, n in enumerate((y @ y.T >= vectors.COSINE).sum(1) - 1))
+
+
+def test_shared_folder_of_a_cluster():
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(Far)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    duck = duckdb.connect()
+    sf = "/root/testdata/sf0.001"
+    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    mine, theirs = queries.QUERIES[name](spark, sf).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df()
+    order = sorted(mine.columns)
+    told = lambda frame: sorted(map(str, frame[order].itertuples(index=False, name=None)))
+    assert order == sorted(theirs.columns) and told(mine) == told(theirs)
+
+
 def test_pipeline(spark, tmp_path, rows, labels):
     import corpus_pipeline
 
