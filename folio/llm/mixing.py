@@ -31,18 +31,27 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES) -> DataFrame:
     """source, source_size, target from one row (source, source_size) for each source.
 
-    Weights repeat over the sources in code-point order, null last. A target is weight * level, cut at
-    most * size; the level at which the targets add up to share * all sizes is found by
-    the order in which sources reach their cut. The windows here run over one row for each source."""
-    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
-    capped = ranked.withColumn("w", weight).withColumn("cap", F.col("source_size").cast("double") * most)
-    order = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    before, after, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(all_) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    leveled = capped.withColumn("level", level).withColumn("open", F.col("level") <= F.col("cap") / F.col("w"))
-    found = F.coalesce(F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), F.col("k"), F.col("level").alias("level")))).over(all_)["level"], F.lit(float("inf")))
-    return leveled.select("source", "source_size", F.least(F.col("cap"), F.col("w") * found).alias("target"))
+    Weights repeat over the sources in code-point order, null last. A target is weight * level, cut at most * size. The level at
+    which the targets add up to share * all sizes is found by sums alone: sources below their cut share what the others
+    leave, and those that then pass it are cut too, until none does. Sources are numbered in sorted ranges, so no task sees all of them."""
+    order = F.col("source").asc_nulls_last()
+    ranged = store(sizes.select("source", F.col("source_size").cast("long")).repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    counts = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    bases = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    before = sizes.sparkSession.createDataFrame(bases, "part long, base long")
+    rank = F.col("base") + F.col("at") - F.shiftleft("part", 33)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    told = ranged.withColumn("part", part).join(F.broadcast(before), "part").select("source", "source_size", weight.alias("w"), (F.col("source_size").cast("double") * most).alias("cap"))
+    total = share * float(told.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, cut = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("w") * level
+        now = told.agg(F.count_if(full).alias("cut"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("given"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)).alias("open")).first()
+        if now.cut == cut or not now.open:
+            break
+        cut, level = now.cut, max(level, (total - now.given) / now.open)
+    return told.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level if now.open else float("inf"))).alias("target"))
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK_WORDS) -> np.ndarray:
