@@ -191,14 +191,13 @@ def finalize(characters: DataFrame) -> DataFrame:
     host = F.col("all")[0]
     each = lambda field: F.transform("all", lambda p: p[field])
     known = lambda field: F.coalesce(F.try_element_at(F.filter(each(field), lambda v: v != UNKNOWN), F.lit(1)), F.lit(UNKNOWN))
-    plain = lambda v: F.lower(T.collapse_whitespace(v))
     called = F.flatten(F.transform("all", lambda p: F.when(p["absorbed"], F.concat(F.array(p["name"]), p["aliases"])).otherwise(p["aliases"])))
     notes = F.filter(F.flatten(F.transform(each("voice_notes"), lambda v: F.split(v, r"\s*,\s*"))), lambda v: v != "")
     longest = F.aggregate(each("description"), F.lit(""), lambda a, v: F.when(F.length(v) > F.length(a), v).otherwise(a))
     chapters = F.filter(each("first_chapter"), lambda v: v > 0)
     done = own.select(
         "book_id", F.col("into").alias("ord"), F.when(host["provisional"], T.title_case(host["name"])).otherwise(host["name"]).alias("name"),
-        F.filter(_first_of_each(called, plain), lambda v: (plain(v) != plain(host["name"])) & (v != "")).alias("aliases"), known("gender").alias("gender"), known("age").alias("age"),
+        F.filter(_first_of_each(called, T.alias_key), lambda v: (T.alias_key(v) != T.alias_key(host["name"])) & (v != "")).alias("aliases"), known("gender").alias("gender"), known("age").alias("age"),
         longest.alias("description"), F.array_join(_first_of_each(notes, F.lower), ", ").alias("voice_notes"), F.coalesce(F.array_min(chapters), F.lit(0)).alias("first_chapter"),
         F.aggregate(each("line_count"), F.lit(0), lambda a, v: a + v).alias("line_count"), host["provisional"].alias("provisional"),
     )

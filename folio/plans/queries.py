@@ -15,6 +15,7 @@ from folio.functions import signal, text as T
 from folio.functions.keys import content_key, stable_seed
 from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline, validate
 from folio.sources import books, sinks
+from folio.streaming import ledger as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -229,6 +230,35 @@ def label_coverage(spark, sf_dir):
     return d.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("has").alias("labelled")).withColumn("share", F.round(F.col("labelled") / F.col("n"), 6))
 
 
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '  Mr.  ' WHEN 1 THEN 'old ' ELSE '' END || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN '   van ' || c_name ELSE '' END AS name FROM customer),
+k AS (SELECT *, lower(trim(regexp_replace(name, ' +', ' ', 'g'))) AS alias FROM n), m AS (SELECT *, CASE WHEN starts_with(alias, 'mr. ') THEN substr(alias, 5) ELSE alias END AS key FROM k)
+SELECT c_custkey, alias, key, array_to_string(list_transform(string_split(trim(regexp_replace(name, ' +', ' ', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled, key = 'building' OR key = 'household' AS part FROM m""")
+def name_keys(spark, sf_dir):
+    """Names as they are compared, as aliases, and as they are written; and which of them are part of a longer one."""
+    c = table(spark, sf_dir, "customer")
+    head = F.when(F.col("c_custkey") % 3 == 0, "  Mr.  ").when(F.col("c_custkey") % 3 == 1, "old ").otherwise("")
+    name = F.concat(head, F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("   van "), F.col("c_name"))).otherwise(""))
+    return c.select("c_custkey", name.alias("name")).select("c_custkey", T.alias_key(F.col("name")).alias("alias"), T.normalize_name(F.col("name")).alias("key"), T.title_case(T.collapse_whitespace(F.col("name"))).alias("titled"), T.is_token_subset(F.col("name"), F.lit("Building and Household Ltd")).alias("part"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, 'the', '***'), 'ing', '***')) AS scrubbed FROM documents")
+def scrubbed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.scrub(F.col("text"), ["the", "ing"]), 256).alias("scrubbed"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type AS capability, round(sum(value), 4) AS units, count(*) AS n FROM events GROUP BY 1, 2")
+def usage_by_hour(spark, sf_dir):
+    """The stream's totals by hour, run as a batch."""
+    found = stream.usage_by_window(usage_rows(spark, sf_dir))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "capability", F.round("units", 4).alias("units"), "n")
+
+
+@query("SELECT user_id AS job_id, event_type AS capability, round(sum(value), 4) AS units, round(sum(value / 1000), 6) AS cost_usd, count(*) FILTER (WHERE event_type = 'view') AS hits FROM events GROUP BY 1, 2")
+def running_usage(spark, sf_dir):
+    """The stream's totals as they grow, run as a batch."""
+    return stream.running_usage(usage_rows(spark, sf_dir)).withColumn("units", F.round("units", 4))
+
+
 # --- scripts and timing ---------------------------------------------------------------------------
 
 
