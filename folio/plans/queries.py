@@ -597,7 +597,12 @@ def html_headings(spark, sf_dir):
     return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("headings", F.lit(0)).alias("headings"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS t FROM pages),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<br[^>]*>', ' ', 'g'), '(?i)<h[12][^>]*>', chr(1) || chr(2), 'g'), '(?i)</?(?:p|div|li|ul|article|body|h1)(?: [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM c),
+p AS (SELECT page_id, generate_subscripts(x, 1) AS k, unnest(x) AS piece FROM (SELECT page_id, string_split(t, chr(1)) AS x FROM m)),
+e AS (SELECT page_id, k, starts_with(piece, chr(2)) AS head, replace(regexp_replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(2), '') AS t FROM p),
+b AS (SELECT page_id, k, head, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM e)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS n, CASE WHEN head THEN 'heading' ELSE 'text' END AS kind, text FROM b WHERE text <> ''""")
 def html_blocks(spark, sf_dir):
     return books.page_blocks(table(spark, sf_dir, "pages"))
 
@@ -726,6 +731,28 @@ def overridden_cast(spark, sf_dir):
     return casting.overridden(c.select("book_id", "character", F.lit("v1").alias("voice_id")), known, people)
 
 
+_FOLK = ("Anna", "Bert", "Cleo", "Dora", "Emil", "Fred", "Gina")
+
+
+@query(f"""WITH u AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS book_id, o_orderkey AS ord, o_orderkey % 90 // 30 + 1 AS ch, [{", ".join(f"'{n}'" for n in _FOLK)}][o_orderkey % 7 + 1] AS name, o_orderkey % 5 = 0 AS spoken, o_orderkey % 4 = 0 AND o_orderkey % 5 > 0 AS old,
+CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' WHEN o_orderstatus = 'F' THEN 'female' WHEN o_orderstatus = 'P' THEN 'male' ELSE 'unknown' END AS gender, o_orderpriority AS said FROM orders)
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY min(ord)) - 1 AS INT) AS ord, name, max(CASE WHEN old THEN 'Old ' || name ELSE '' END) AS aliases, coalesce(arg_min(gender, ord) FILTER (WHERE NOT spoken AND gender <> 'unknown'), 'unknown') AS gender,
+coalesce(arg_max(said, (length(said), -ord)) FILTER (WHERE NOT spoken), '') AS description, CAST(arg_min(ch, ord) AS INT) AS first_chapter, CAST(count(*) FILTER (WHERE spoken) AS INT) AS line_count FROM u GROUP BY book_id, name""")
+def character_updates(spark, sf_dir):
+    """The cast of 40 books after updates (each of one of seven people, now and then with a title) and lines among them."""
+    o = table(spark, sf_dir, "orders")
+    name = F.element_at(F.array(*[F.lit(n) for n in _FOLK]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = o.select(
+        (F.col("o_custkey") % 40).cast("string").alias("book_id"), F.col("o_orderkey").cast("int").alias("ord"), (F.floor(F.col("o_orderkey") % 90 / 30) + 1).cast("int").alias("ch"),
+        F.when((F.col("o_orderkey") % 4 == 0) & (F.col("o_orderkey") % 5 > 0), F.concat(F.lit("Old "), name)).otherwise(name).alias("name"), (F.col("o_orderkey") % 5 == 0).alias("spoken"),
+        F.when(F.col("o_orderkey") % 4 == 0, "unknown").when(F.col("o_orderstatus") == "F", "female").when(F.col("o_orderstatus") == "P", "male").otherwise("unknown").alias("gender"), F.col("o_orderpriority").alias("description"),
+    )
+    none = F.lit(None).cast("string")
+    updates = rows.where("not spoken").select("book_id", "ord", "ch", "name", F.array().cast("array<string>").alias("aliases"), "gender", F.lit("unknown").alias("age"), "description", none.alias("voice_notes"), none.alias("merge_into"))
+    folded = characters.fold_updates(updates, rows.where("spoken").select("book_id", "ord", "ch", "name"))
+    return folded.select("book_id", "ord", "name", F.array_join("aliases", ",").alias("aliases"), "gender", "description", "first_chapter", "line_count")
+
+
 @query("""WITH m AS (SELECT CAST(c_nationkey AS VARCHAR) AS book_id, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'Word' || (c_custkey // 6) WHEN c_custkey % 7 = 1 THEN 'the rider ' || c_custkey ELSE 'Name Word' || (c_custkey // 8) END AS name, c_custkey % 5 AS lines, c_custkey % 3 > 0 AND c_custkey % 7 = 1 AS prov FROM customer),
 h AS (SELECT s.book_id, s.ord, min(o.ord) AS host FROM m s JOIN m o ON o.book_id = s.book_id AND NOT o.prov AND o.name = 'Name ' || s.name WHERE NOT s.prov GROUP BY 1, 2 HAVING count(*) = 1),
 d AS (SELECT m.*, coalesce(h.host, m.ord) AS own FROM m LEFT JOIN h ON h.book_id = m.book_id AND h.ord = m.ord), g AS (SELECT book_id, own, sum(lines) AS lines, count(*) AS n FROM d GROUP BY 1, 2)
