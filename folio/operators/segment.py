@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -137,15 +137,13 @@ DASH_SENTENCE_END = (
 )
 
 
-def _marked_speech(style: str) -> str:
-    """A pattern for a whole piece of speech with its marks; group 1 is what is said. Speech that is not closed runs to the end.
+def _single_speech() -> str:
+    """A pattern for a whole piece of speech in single quotes; group 1 is what is said. Speech that is not closed runs to the end.
 
-    A single quote opens speech where a word could begin, and closes it where one could end. One that a sentence goes on after
+    A quote opens speech where a word could begin, and closes it where one could end. One that a sentence goes on after
     (a letter before it, a blank and a small letter after it) is an apostrophe if a later quote closes the speech before
     another could open one; quotes within words are apostrophes anyway."""
-    mark = MARKS[style]
-    if style != "single":
-        return f"(?s){mark}([^{mark[1:]}*)(?:{mark}|\\z)"
+    mark = MARKS["single"]
     opener, closer = f"(?<=^|[{OPENS_AFTER}]){mark}", f"{mark}(?=\\z|[{CLOSES_BEFORE}])"
     within = f"(?<!^|[{OPENS_AFTER}]){mark}(?!\\z|[{CLOSES_BEFORE}])"
     neither = f"[^{mark[1:]}*+(?:{within}[^{mark[1:]}*+)*+"
@@ -153,31 +151,23 @@ def _marked_speech(style: str) -> str:
     return f"(?s){opener}(.*?)(?:{closer}(?!{goes_on})|\\z)"
 
 
-SPEECH = {style: _marked_speech(style) for style in ("double", "single", "guillemet")}
-_PIECE = "array<struct<kind:string,text:string,start:int>>"
+SINGLE_SPEECH = _single_speech()
 
 
 def _piece(kind: Column | str, text: Column, start: Column) -> Column:
-    """A piece without white space at its ends, and where it starts then."""
-    lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), T.strip(text).alias("text"), (start + lead).cast("int").alias("start"))
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text.alias("raw"), T.strip(text).alias("text"), start.cast("int").alias("start"))
 
 
 def _marked_pieces() -> Column:
-    """Narration and speech in turn, from gaps, said, and the end of each whole speech (ends)."""
-    each = F.arrays_zip(F.col("gaps").alias("gap"), F.col("said").alias("said"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"))
-
-    def pieces(z: Column) -> Column:
-        told = _piece("narration", z["gap"], z["at"])
-        return F.when(z["said"].isNull(), F.array(told)).otherwise(F.array(told, _piece("quote", z["said"], z["at"] + F.length(z["gap"]) + 1)))
-
-    return F.flatten(F.transform(each, pieces))
+    """Narration and speech in turn, from the parts between marks and where each ends (ends, the mark after it included)."""
+    each = F.arrays_zip(F.col("parts").alias("part"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"))
+    return F.transform(F.slice(each, 1, F.size("parts")), lambda z, k: _piece(F.when(k % 2 == 0, "narration").otherwise("quote"), z["part"], z["at"]))
 
 
 def _dashed_pieces() -> Column:
-    """Parts between breaking dashes (gaps), which start at at_0, ends...: speech and narration in turn, and speech once more after
-    speech that narration ended. `cut` tells where in a part speech would end."""
-    parts = F.arrays_zip(F.col("gaps").alias("part"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"), F.col("cut").alias("cut"))
+    """Speech and narration in turn from the parts between breaking dashes, and speech once more after speech that narration
+    ended. `cut` tells where in a part speech would end."""
+    parts = F.arrays_zip(F.col("parts").alias("part"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"), F.col("cut").alias("cut"))
     start = F.struct(F.lit(True).alias("speech"), F.array().cast("array<boolean>").alias("out"))
     turn = lambda a, cut: F.struct((~a["speech"] | cut.isNotNull()).alias("speech"), F.array_append(a["out"], a["speech"]).alias("out"))
     turns = F.aggregate("cut", start, turn)["out"]
@@ -203,18 +193,14 @@ def split_spans(paras: DataFrame) -> DataFrame:
     rows = rows.select(*key, F.length("opener").alias("lead"), F.expr("substring(text, length(opener) + 1)").alias("text"))
     plain = dashed & (F.col("lead") == 0)
 
-    def by_style(find: Callable[[str], Column]) -> Column:
-        found = F.when(dashed, find(DASH_BREAK))
-        for name, pattern in SPEECH.items():
-            found = found.when(style == name, find(pattern))
-        return found
-
-    none = F.array().cast("array<string>")
-    whole = by_style(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    said = F.when(dashed, none).otherwise(by_style(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0 if p == DASH_BREAK else 1))))
-    gaps = by_style(lambda p: F.split("text", p, -1))
-    found = rows.select(*key, "lead", F.when(plain, F.array("text")).otherwise(gaps).alias("gaps"), F.when(plain, none).otherwise(whole).alias("whole"), said.alias("said"))
-    last = F.size("gaps") - 1
+    # Parts in turn: between marks, around pieces of speech in single quotes, or between breaking dashes.
+    around, said = F.split("text", SINGLE_SPEECH, -1), F.regexp_extract_all("text", F.lit(SINGLE_SPEECH), F.lit(1))
+    parts = F.when(style == "single", F.flatten(F.zip_with(around, said, lambda a, b: F.array_compact(F.array(a, b))))).when(plain, F.array("text")).when(dashed, F.split("text", DASH_BREAK, -1))
+    for name in ("double", "guillemet"):
+        parts = parts.when(style == name, F.split("text", MARKS[name], -1))
+    breaks = F.when(dashed & ~plain, F.transform(F.regexp_extract_all("text", F.lit(DASH_BREAK), F.lit(0)), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
+    found = rows.select(*key, "lead", parts.alias("parts"), breaks.alias("breaks"))
+    last = F.size("parts") - 1
 
     def cut(part: Column, k: Column) -> Column:
         """Where a tag of speech begins, or a sentence ends before a further dash, whichever comes first; null where nothing is said before."""
@@ -222,14 +208,16 @@ def split_spans(paras: DataFrame) -> DataFrame:
         at = F.least(F.when(part.rlike(DASH_TAG), before(f"(?s)^(.*?){DASH_TAG}")), F.when((k < last) & part.rlike(DASH_SENTENCE_END), before(f"(?s)^(.*?{DASH_SENTENCE_END})")))
         return F.when(T.strip(F.substring(part, F.lit(1), at)) != "", at)
 
-    steps = F.zip_with(F.slice("gaps", 1, F.size("whole")), F.col("whole"), lambda g, w: F.length(g) + F.length(w))
-    cuts = F.when(dashed & ~plain, F.transform("gaps", cut)).otherwise(F.array().cast("array<int>"))
-    stepped = found.select(*key, "lead", "gaps", "said", cuts.alias("cut"), steps.alias("steps")).withColumn("ends", running(F.col("steps")))
+    steps = F.transform("parts", lambda x, k: F.length(x) + F.when(dashed, F.coalesce(F.get("breaks", k), F.lit(0))).otherwise(1))
+    cuts = F.when(dashed & ~plain, F.transform("parts", cut)).otherwise(F.array().cast("array<int>"))
+    stepped = found.select(*key, "lead", "parts", cuts.alias("cut"), steps.alias("steps")).withColumn("ends", F.slice(running(F.col("steps")), 1, F.size("parts") - 1))
     pieces = F.when(dashed & ~plain, _dashed_pieces()).otherwise(_marked_pieces())
-    spans = stepped.select("book_id", "ch", "para", F.filter(pieces, lambda x: x["text"] != "").alias("spans"))
+    spans = stepped.select("book_id", "ch", "para", F.filter(pieces, lambda x: F.coalesce(x["text"], F.lit("")) != "").alias("spans"))
     # The outer form, as for the inner one Spark would work out all of this once more to drop paragraphs without spans before.
     out = spans.select("book_id", "ch", "para", F.posexplode_outer("spans").alias("s", "x")).where(F.col("x").isNotNull())
-    return out.select("book_id", "ch", "para", "s", F.format_string("c%dp%ds%d", "ch", "para", "s").alias("span_id"), "x.kind", "x.text", F.col("x.start").alias("start_char"), (F.col("x.start") + F.length("x.text")).alias("end_char"))
+    begins = F.col("x.start") + F.expr("instr(x.raw, x.text)") - 1  # a piece without white space at its ends begins where it is first found
+    placed = out.select("book_id", "ch", "para", "s", F.format_string("c%dp%ds%d", "ch", "para", "s").alias("span_id"), "x.kind", "x.text", begins.cast("int").alias("start_char"))
+    return placed.withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
 def alternating_spans(paras: DataFrame, style: str = "double") -> DataFrame:
