@@ -24,3 +24,12 @@ def running(values: Column, add: Callable[[Column, Column], Column] = lambda a,
     before = F.concat(F.array(zero), F.slice(_scan(totals, zero, add), 1, F.greatest(count - 1, zero)))
     moved = F.transform(F.arrays_zip(runs.alias("run"), before.alias("base")), lambda z: _scan(z["run"], z["base"], add))
     return F.when(F.size(values) > 0, F.flatten(moved)).otherwise(F.array().cast("array<int>"))
+
+
+def merged_maps(first: Column, *later: Column) -> Column:
+    """One map of all entries; of a key that several maps have, the last one's value counts."""
+    absent = lambda more: lambda k, v: ~F.map_contains_key(more, k)
+    out = first
+    for more in later:
+        out = F.map_concat(F.map_filter(out, absent(more)), more)
+    return out

@@ -59,6 +59,14 @@ def anchored_cues(cues: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def music_on_segments(events: DataFrame, segments: DataFrame) -> DataFrame:
+    """Music events (book_id, span_id, chunk, n, action, mood, energy) as `music_regions` takes them: at the idx of their segment, and with
+    ord, their place in the order of the analysis (chunk, then n). Events of unknown spans go."""
+    placed = events.drop("ch", "idx").join(segments.select("book_id", "ch", "span_id", "idx"), ["book_id", "span_id"])
+    order = F.row_number().over(Window.partitionBy("book_id", "ch").orderBy("chunk", "n")) - 1
+    return placed.withColumn("ord", order).select("book_id", "ch", "idx", "ord", "action", "mood", "energy")
+
+
 def music_regions(events: DataFrame, chapters: DataFrame) -> DataFrame:
     """Regions (book_id, ch, n, start_idx, end_idx, mood, energy) from start, change and stop events (book_id, ch, idx, ord, action,
     mood, energy). chapters: (book_id, ch, n_spans, prior_mood).

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folio import schema as S
 from folio.functions import signal, text as T
+from folio.functions.arrays import merged_maps
 from folio.functions.keys import content_key, stable_seed
 from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline, validate
 from folio.sources import books, sinks
@@ -241,6 +242,18 @@ def name_keys(spark, sf_dir):
     return c.select("c_custkey", name.alias("name")).select("c_custkey", T.alias_key(F.col("name")).alias("alias"), T.normalize_name(F.col("name")).alias("key"), T.title_case(T.collapse_whitespace(F.col("name"))).alias("titled"), T.is_token_subset(F.col("name"), F.lit("Building and Household Ltd")).alias("part"))
 
 
+@query("""SELECT user_id AS job_id, event_id, event_type || '=' || event_id || ';family=' || CASE WHEN event_id % 3 = 0 THEN 'third' WHEN event_id % 2 = 0 THEN 'second' ELSE 'first' END AS settings FROM events""")
+def merged_settings(spark, sf_dir):
+    """Settings of three sources, the last one's counting."""
+    e = table(spark, sf_dir, "events")
+    none = F.create_map().cast("map<string,string>")
+    first = F.create_map(F.col("event_type"), F.lit("x"), F.lit("family"), F.lit("first"))
+    second = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("family"), F.lit("second"))).otherwise(none)
+    third = F.map_concat(F.create_map(F.col("event_type"), F.col("event_id").cast("string")), F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("family"), F.lit("third"))).otherwise(none))
+    merged = merged_maps(first, second, third)
+    return e.select(F.col("user_id").alias("job_id"), "event_id", F.concat_ws(";", F.concat_ws("=", F.col("event_type"), merged[F.col("event_type")]), F.concat(F.lit("family="), merged["family"])).alias("settings"))
+
+
 @query("SELECT doc_id, sha256(replace(replace(text, 'the', '***'), 'ing', '***')) AS scrubbed FROM documents")
 def scrubbed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.scrub(F.col("text"), ["the", "ing"]), 256).alias("scrubbed"))
@@ -380,6 +393,15 @@ def music_placement(spark, sf_dir):
     return timeline.music_placements(timed.join(long_, ["book_id", "ch"]), F.col("chapter_ms")).select("book_id", "n", "start_ms", "end_ms", "fade_in_ms")
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS idx, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, -turn) - 1 AS INT) AS ord, CASE WHEN turn % 5 = 0 THEN 'stop' ELSE 'change' END AS action FROM conversations WHERE turn % 2 = 0""")
+def placed_music(spark, sf_dir):
+    """Music events on every second turn, from three chunks in turn, in each from the last to the first; and as many of unknown spans."""
+    s = segments(spark, sf_dir)
+    own = s.where("idx % 2 = 0").select("book_id", "span_id", (F.col("idx") % 3).alias("chunk"), (-F.col("idx")).alias("n"), F.when(F.col("idx") % 5 == 0, "stop").otherwise("change").alias("action"), F.lit("calm").alias("mood"), F.lit(0.3).alias("energy"))
+    events = own.unionByName(own.withColumn("span_id", F.concat(F.lit("z"), F.col("span_id"))))
+    return script.music_on_segments(events, s).select("book_id", "idx", "ord", "action")
+
+
 @query("""SELECT CAST(conv_id AS VARCHAR) AS book_id, CAST(turn AS INT) AS idx, CASE WHEN instr(lower(text), 'the') > 0 THEN true ELSE false END AS found, CAST(greatest(instr(lower(text), 'the') - 1, 0) AS INT) AS anchor_offset,
 'c1x' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 3, '0') AS id FROM conversations""")
 def sfx_anchors(spark, sf_dir):
@@ -826,7 +848,7 @@ UNION ALL SELECT m.book_id, 'music', 'music1', CAST(greatest(0, least(max(long_)
 def chapter_timeline(spark, sf_dir):
     """All placements of a chapter: an effect in every fourth turn (blocking where it opens narration), a bed in every sixth up to the end of its
     scene, and music throughout."""
-    seg = segments(spark, sf_dir).persist()
+    seg = segments(spark, sf_dir)
     made = lambda where, ord_, kind, anchor, description, ms: seg.where(where).select("book_id", "ch", ord_.alias("ord"), "span_id", F.lit(anchor).alias("anchor_text"), F.lit(description).alias("description"), F.lit(kind).alias("kind"), F.lit(ms).alias("duration_ms"), F.lit(0.9).alias("intensity"))
     cues = made("idx % 4 = 1", F.col("idx"), "impact", "THE", "door", 800).unionByName(made("idx % 6 = 2", F.col("idx") + 1000, "ambient", "", "wind", 9000))
     chapters = seg.groupBy("book_id", "ch").agg((F.max("idx") + 1).alias("n_spans")).withColumn("prior_mood", F.lit("none"))
