@@ -83,7 +83,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed:
     """doc_id, n_grams, log_ratio, sample_key, kept: a row for each row of docs.
 
     target_ids (doc_id) names the target documents: all rows of docs with one of these ids shape the target
-    distribution, whatever their number. round(share * rows) documents of largest key are kept; all rows at
+    distribution, whatever their number (broadcast_ids changes the plan alone). round(share * rows) documents of largest key are kept; all rows at
     the last key are, so repeated rows stay or go together. Null or empty text has no n-grams and
     log-ratio 0. Without any target text all ratios are 0 and the draw is uniform. A null doc_id gets the noise of
     its own constant. Other columns are ignored. An empty table gives an empty result.
