@@ -29,9 +29,9 @@ from folio.llm.text import chunks
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are encoded, and ids that are decoded, in one step; one longer text stands alone.
-STEP_BYTES, STEP_IDS = 1 << 22, 1 << 18
+STEP_BYTES, STEP_IDS = 1 << 21, 1 << 18
 #: Distinct segments and matches, and bytes of each, that a task remembers; beyond either it starts anew.
-HELD_WORDS, HELD_BYTES = 1 << 19, 1 << 26
+HELD_WORDS, HELD_BYTES = 1 << 17, 1 << 25
 #: Matches with more pairs than this, and fewer of a length than that, are merged one by one.
 LONG_PAIRS, FEW_WORDS = 1024, 16
 #: Nodes of all trees that are merged together.
@@ -233,10 +233,10 @@ class BytePairs:
 
 class Store:
     """What a task knows of the keys it has met: a list of numbers for each, end to end, from `make` (keys to numbers and
-    how many each has). It forgets all when it holds too much."""
+    how many each has). If bounded, it forgets all when it holds too much."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.make = make
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bounded: bool = True):
+        self.make, self.bounded = make, bounded
         self.clear()
 
     def clear(self) -> None:
@@ -246,7 +246,7 @@ class Store:
 
     def codes(self, keys: list[str]) -> np.ndarray:
         """The place of each key; it holds until the next call."""
-        if len(self.code) > HELD_WORDS or self.held > HELD_BYTES:
+        if self.bounded and (len(self.code) > HELD_WORDS or self.held > HELD_BYTES):
             self.clear()
         code = self.code
         new = list(dict.fromkeys([k for k in keys if k not in code]))
@@ -270,26 +270,26 @@ class Encoder:
     cut there, and each distinct segment is split and encoded once."""
 
     def __init__(self, model: BytePairs):
-        split = regex.compile(model.pattern).findall
+        self.split = regex.compile(model.pattern).findall
         self.words = Store(lambda words: model.encode_words([w.encode() for w in words]))
-
-        def make(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # Segments that start with a blank and end in no white space are split end to end, as one text.
-            plain = np.fromiter((s[:1] == " " and not s[-1].isspace() for s in segments), bool, len(segments))
-            joined = [s for s, ok in zip(segments, plain.tolist(), strict=True) if ok]
-            words = split("".join(joined))
-            ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
-            n_words = np.zeros(len(segments), np.int64)
-            n_words[plain] = np.diff(np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), ends, side="right"), prepend=0)
-            others = np.flatnonzero(~plain)
-            parts = [split(segments[k]) for k in others.tolist()]
-            n_words[others] = list(map(len, parts))
-            codes = self.words.codes(words + list(chain.from_iterable(parts)))
-            order = np.argsort(np.concatenate([np.repeat(np.flatnonzero(plain), n_words[plain]), np.repeat(others, n_words[others])]), kind="stable") if len(others) else slice(None)
-            ids, n = self.words.lists(codes[order])
-            return ids, np.bincount(np.repeat(np.arange(len(segments)), n_words), weights=n, minlength=len(segments)).astype(np.int64)
-
-        self.segments = Store(make)
+        self.segments = Store(self.segment_ids)
+
+    def segment_ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments end to end, and how many each has."""
+        # Segments that start with a blank and end in no white space are split end to end, as one text.
+        plain = np.fromiter((s[:1] == " " and not s[-1].isspace() for s in segments), bool, len(segments))
+        joined = [s for s, ok in zip(segments, plain.tolist(), strict=True) if ok]
+        words = self.split("".join(joined))
+        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        n_words = np.zeros(len(segments), np.int64)
+        n_words[plain] = np.diff(np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), ends, side="right"), prepend=0)
+        others = np.flatnonzero(~plain)
+        parts = [self.split(segments[k]) for k in others.tolist()]
+        n_words[others] = list(map(len, parts))
+        codes = self.words.codes(words + list(chain.from_iterable(parts)))
+        order = np.argsort(np.concatenate([np.repeat(np.flatnonzero(plain), n_words[plain]), np.repeat(others, n_words[others])]), kind="stable") if len(others) else slice(None)
+        ids, n = self.words.lists(codes[order])
+        return ids, np.bincount(np.repeat(np.arange(len(segments)), n_words), weights=n, minlength=len(segments)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has (null: none)."""
