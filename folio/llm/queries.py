@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import bytepairs, langid, lines, mixing, pieces, pii, quality, resample, simhash, toxicity, vectors
+from folio.llm import alignment, bytepairs, langid, lines, mixing, pieces, pii, quality, resample, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), *langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("n_links") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), digests={"groups_sha256": digest})
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bytepairs.load_ranks()
     coded = bytepairs.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
@@ -103,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_importance_resampling, op2_pii, op3_simhash_groups, op4_quality_rules, op5_line_dedup, op6_near_vectors,
-        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, op12_byte_pairs, pipeline, pii_base, quality_base, mixing_targets,
+        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, op11_alignment, op12_byte_pairs, pipeline, pii_base, quality_base, mixing_targets,
     )
 }
 
