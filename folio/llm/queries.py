@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import alignment, bytepairs, langid, lines, mixing, pieces, pii, quality, resample, simhash, toxicity, vectors
+from folio.llm import alignment, bytepairs, divergence, langid, lines, mixing, pieces, pii, quality, resample, simhash, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.decode(coded, model).select("doc_id", "n_tokens", F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can express of an operator whose other columns it cannot: the same rows, fewer columns.
 
 
@@ -108,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_importance_resampling, op2_pii, op3_simhash_groups, op4_quality_rules, op5_line_dedup, op6_near_vectors,
-        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, op11_alignment, op12_byte_pairs, pipeline, pii_base, quality_base, mixing_targets,
+        op7_toxicity, op8_mixing, op9_pieces, op10_language_mixture, op11_alignment, op12_byte_pairs, op13_source_divergence, pipeline, pii_base, quality_base, mixing_targets,
     )
 }
 
@@ -153,4 +157,16 @@ k AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDE
 v AS (SELECT a.cap / a.w AS reach, (any_value(a.total) - sum(CASE WHEN b.cap / b.w < a.cap / a.w THEN b.cap ELSE 0 END)) / sum(CASE WHEN b.cap / b.w >= a.cap / a.w THEN b.w ELSE 0 END) AS level FROM k a, k b GROUP BY a.source, a.cap, a.w),
 f AS (SELECT coalesce(arg_min(level, reach) FILTER (WHERE level <= reach), 'inf'::DOUBLE) AS level FROM v)
 SELECT d.doc_id, d.size, k.source_size, round(least(k.cap, k.w * f.level), 6) AS target FROM d JOIN k ON k.source IS NOT DISTINCT FROM d.source, f""",
+    "op13_source_divergence": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY 1),
+g AS (SELECT lang, source, any_value(v) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+l AS (SELECT lang, sum(total) AS lang_total FROM g GROUP BY 1), m AS (SELECT lang, term, sum(n) AS n_lang FROM c GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v)::HUGEINT AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n_lang + 2)) // (lang_total + 2 * v)::HUGEINT AS q FROM m JOIN l USING (lang) JOIN v USING (lang)),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o) SELECT * FROM t WHERE part = 'pair' OR rank <= 10""",
 }
