@@ -114,29 +114,44 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long each is."""
+    begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return begins, np.diff(np.append(begins, len(values)))
+
+
 def pauses(busy: np.ndarray, least: int) -> np.ndarray:
     """Whether each frame lies in a run of at least `least` frames that are not busy."""
-    begins = np.flatnonzero(np.concatenate([[True], busy[1:] != busy[:-1]])) if len(busy) else np.zeros(0, int)
-    lengths = np.diff(np.append(begins, len(busy)))
+    _, lengths = _runs(busy)
     return ~busy & (np.repeat(lengths, lengths) >= least)
 
 
+def soon(flags: np.ndarray, frames: int) -> np.ndarray:
+    """Whether a frame or one of the next `frames` is set: a difference of running counts."""
+    counts = np.concatenate([[0], np.cumsum(flags)])
+    last = np.minimum(np.arange(len(flags)) + frames + 1, len(flags))
+    return counts[last] > counts[:-1]
+
+
+def glide(goal: np.ndarray, down: float, up: float) -> np.ndarray:
+    """A level that follows its goal: each frame keeps the share `down` or `up` of the way that is left. While a goal holds, what is left shrinks as a
+    power, so each run of equal goals is worked out at once from the level before it."""
+    level, parts = goal[0] if len(goal) else 0.0, [np.zeros(0)]
+    begins, lengths = _runs(goal)
+    for at, n in zip(begins.tolist(), lengths.tolist(), strict=True):
+        aim = goal[at]
+        parts.append(aim + (level - aim) * np.power(down if aim < level else up, np.arange(1, n + 1)))
+        level = parts[-1][-1]
+    return np.concatenate(parts)
+
+
 def duck_gain(speaks: np.ndarray, depth_db: float, boost_db: float = 0.0, least_gap_ms: int = 0, held: np.ndarray | None = None, frame_ms: int = 20, attack_ms: int = 40, release_ms: int = 600, ahead_ms: int = 60) -> np.ndarray:
     """Gain of a bed in each frame: depth_db lower while a voice speaks (from ahead_ms before it on) or something else is held, boost_db
     higher in pauses of least_gap_ms or more. The gain glides: fast down, slowly up."""
-    busy = speaks.copy()
-    for k in range(1, min(-(-ahead_ms // frame_ms), len(speaks) - 1) + 1):
-        busy[:-k] |= speaks[k:]
-    if held is not None:
-        busy |= held
-    low, high = 10 ** (-abs(depth_db) / 20), 10 ** (boost_db / 20)
-    goal = np.where(pauses(busy, -(-least_gap_ms // frame_ms)), high, low)
-    keep_down, keep_up = math.exp(-frame_ms / attack_ms), math.exp(-frame_ms / release_ms)
-    out, level = np.empty(len(goal)), goal[0] if len(goal) else high
-    for k, g in enumerate(goal):
-        level = g + (level - g) * (keep_down if g < level else keep_up)
-        out[k] = level
-    return out
+    frames = lambda ms: math.ceil(ms / frame_ms)
+    busy = soon(speaks, frames(ahead_ms)) | (np.zeros(len(speaks), bool) if held is None else held)
+    quiet, loud = 10 ** (-abs(depth_db) / 20), 10 ** (boost_db / 20)
+    return glide(np.where(pauses(busy, frames(least_gap_ms)), loud, quiet), math.exp(-frame_ms / attack_ms), math.exp(-frame_ms / release_ms))
 
 
 def map_samples(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], column: str = "samples") -> DataFrame:
@@ -145,9 +160,12 @@ def map_samples(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray], c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if v is None else function(np.array(v, np.float64)).tolist() for v in batch.column(column).to_pylist()]
-            at = batch.schema.get_field_index(column)
-            yield batch.set_column(at, column, pa.array(out, pa.list_(pa.float64())))
+            lists = batch.column(column)
+            for k in range(batch.num_rows):  # one row's samples at a time
+                own = lists[k].values
+                out = pa.array([None if own is None else function(own.to_numpy(zero_copy_only=False).astype(np.float64))], pa.list_(pa.float64()))
+                row = batch.slice(k, 1)
+                yield row.set_column(row.schema.get_field_index(column), column, out)
 
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, kind) if f.name == column else f for f in rows.schema.fields]))
 

@@ -189,23 +189,25 @@ def split_spans(paras: DataFrame) -> DataFrame:
     text, style = F.coalesce("text", F.lit("")), F.col("style")
     dashed = style == "dash"
     paras = paras.withColumn("style", F.coalesce("style", F.lit(QUOTE_STYLES[0])))
-    rows = paras.select(*key, text.alias("text"), F.when(dashed, F.regexp_extract(text, DASH_OPENER, 0)).otherwise("").alias("opener"))
+    rows = paras.select(*key, text.alias("text"), F.when(dashed, F.regexp_extract(text, f"(?U){DASH_OPENER}", 0)).otherwise("").alias("opener"))
     rows = rows.select(*key, F.length("opener").alias("lead"), F.expr("substring(text, length(opener) + 1)").alias("text"))
     plain = dashed & (F.col("lead") == 0)
 
     # Parts in turn: between marks, around pieces of speech in single quotes, or between breaking dashes.
     around, said = F.split("text", SINGLE_SPEECH, -1), F.regexp_extract_all("text", F.lit(SINGLE_SPEECH), F.lit(1))
-    parts = F.when(style == "single", F.flatten(F.zip_with(around, said, lambda a, b: F.array_compact(F.array(a, b))))).when(plain, F.array("text")).when(dashed, F.split("text", DASH_BREAK, -1))
+    parts = F.when(style == "single", F.flatten(F.zip_with(around, said, lambda a, b: F.array_compact(F.array(a, b))))).when(plain, F.array("text")).when(dashed, F.split("text", f"(?U){DASH_BREAK}", -1))
     for name in ("double", "guillemet"):
         parts = parts.when(style == name, F.split("text", MARKS[name], -1))
-    breaks = F.when(dashed & ~plain, F.transform(F.regexp_extract_all("text", F.lit(DASH_BREAK), F.lit(0)), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
+    breaks = F.when(dashed & ~plain, F.transform(F.regexp_extract_all("text", F.lit(f"(?U){DASH_BREAK}"), F.lit(0)), lambda x: F.length(x))).otherwise(F.array().cast("array<int>"))
     found = rows.select(*key, "lead", parts.alias("parts"), breaks.alias("breaks"))
     last = F.size("parts") - 1
 
     def cut(part: Column, k: Column) -> Column:
-        """Where a tag of speech begins, or a sentence ends before a further dash, whichever comes first; null where nothing is said before."""
-        before = lambda p: F.length(F.regexp_extract(part, p, 1))
-        at = F.least(F.when(part.rlike(DASH_TAG), before(f"(?s)^(.*?){DASH_TAG}")), F.when((k < last) & part.rlike(DASH_SENTENCE_END), before(f"(?s)^(.*?{DASH_SENTENCE_END})")))
+        """Where a tag of speech begins, or a sentence ends before a further dash, whichever comes first; null where nothing is said before.
+        Letters, blanks and words' ends are those of any script."""
+        before = lambda p: F.length(F.regexp_extract(part, f"(?Us)^{p}", 1))
+        tagged, ended = part.rlike(f"(?U){DASH_TAG}"), part.rlike(f"(?U){DASH_SENTENCE_END}")
+        at = F.least(F.when(tagged, before(f"(.*?){DASH_TAG}")), F.when((k < last) & ended, before(f"(.*?{DASH_SENTENCE_END})")))
         return F.when(T.strip(F.substring(part, F.lit(1), at)) != "", at)
 
     steps = F.transform("parts", lambda x, k: F.length(x) + F.when(dashed, F.coalesce(F.get("breaks", k), F.lit(0))).otherwise(1))

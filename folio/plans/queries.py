@@ -522,19 +522,28 @@ def split_spans(spark, sf_dir):
     return segment.split_spans(rows).select("book_id", "para", F.col("s").cast("int"), "kind", "text", "start_char", "end_char")
 
 
-_STYLED = ("", "'{t},' she said. '{t}", "«{t}» he said. «{t}»", "— {t} — he said — {t}")
-
-
-@query(f"""WITH {_LINES}, c AS (SELECT book_id, para, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS t FROM lines), k AS (SELECT *, length(t) AS n FROM c WHERE t <> '' AND para % 4 > 0)
-SELECT book_id, para, 0 AS s, 'quote' AS kind, t || CASE para % 4 WHEN 1 THEN ',' ELSE '' END AS text, CASE para % 4 WHEN 3 THEN 2 ELSE 1 END AS start_char, n + CASE para % 4 WHEN 2 THEN 1 ELSE 2 END AS end_char FROM k UNION ALL
-SELECT book_id, para, 1, 'narration', CASE para % 4 WHEN 1 THEN 'she said.' WHEN 2 THEN 'he said.' ELSE 'he said' END, n + CASE para % 4 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 5 END, n + CASE para % 4 WHEN 1 THEN 13 WHEN 2 THEN 11 ELSE 12 END FROM k UNION ALL
-SELECT book_id, para, 2, 'quote', t, n + CASE para % 4 WHEN 1 THEN 15 WHEN 2 THEN 13 ELSE 15 END, 2 * n + CASE para % 4 WHEN 1 THEN 15 WHEN 2 THEN 13 ELSE 15 END FROM k""")
+#: Forms of a line in each quote style, and for the SQL how long what stands before, between and in the middle of both times it is said.
+_STYLED = {
+    "double": ('"{t}" she said. "{t}"', 1, "she said.", 2, 2),
+    "single": ("'{t},' she said. '{t}", 1, "she said.", 2, 2),
+    "guillemet": ("«{t}» he said. «{t}»", 1, "he said.", 2, 2),
+    "dash": ("— {t}, Éloïse dit doucement. — {t}", 2, ", Éloïse dit doucement.", 0, 3),
+}
+_STYLED_SQL = " UNION ALL ".join(
+    f"""SELECT book_id, para, x.s, x.kind, x.text, x.at AS start_char, x.at + length(x.text) AS end_char FROM (SELECT book_id, para, unnest([{{'s': 0, 'kind': 'quote', 'text': t || '{comma}', 'at': {lead}}},
+{{'s': 1, 'kind': 'narration', 'text': '{between}', 'at': {lead} + n + {len(comma) + gap}}}, {{'s': 2, 'kind': 'quote', 'text': t, 'at': {lead} + n + {len(comma) + gap + len(between) + second}}}]) AS x FROM k WHERE para % 4 = {j})"""
+    for j, (style, (_, lead, between, gap, second)) in enumerate(_STYLED.items())
+    for comma in ("," if style == "single" else "",)
+)
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT book_id, para, trim(regexp_replace(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g')) AS t FROM lines), k AS (SELECT *, length(t) AS n FROM c WHERE t <> '') {_STYLED_SQL}""")
 def styled_spans(spark, sf_dir):
-    """Lines as speech in single quotes (left open at the end), guillemets and dashes."""
-    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " "))
-    rows = doc_lines(spark, sf_dir).select("book_id", F.lit(1).alias("ch"), "para", t.alias("t")).where("t <> '' and para % 4 > 0")
+    """Every line's words, in any script, as speech in double quotes, single quotes (left open at the end), guillemets and dashes."""
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N} ]", ""), " +", " "))
+    rows = doc_lines(spark, sf_dir).select("book_id", F.lit(1).alias("ch"), "para", t.alias("t")).where("t <> ''")
     text, style = F.lit(None), F.lit(None)
-    for k, (name, form) in enumerate(zip(S.QUOTE_STYLES, _STYLED, strict=True)):
+    for k, (name, (form, *_)) in enumerate(_STYLED.items()):
         parts = form.split("{t}")
         text = F.when(F.col("para") % 4 == k, F.concat(*[x for part in parts[:-1] for x in (F.lit(part), F.col("t"))], F.lit(parts[-1]))).otherwise(text)
         style = F.when(F.col("para") % 4 == k, name).otherwise(style)

@@ -1,5 +1,6 @@
 """Operators on hand-made inputs with exact expectations."""
 
+import math
 import zipfile
 
 import numpy as np
@@ -48,6 +49,8 @@ Q, N = "quote", "narration"
         ("dash", "The sea — grey and flat — lay silent.", [(N, "The sea — grey and flat — lay silent.")]), ("dash", "-- Nobody is coming.", [(Q, "Nobody is coming.")]),
         ("dash", "— The bells were early, said Tomas. — I set my watch by them.", [(Q, "The bells were early"), (N, ", said Tomas."), (Q, "I set my watch by them.")]),
         ("dash", "— Perhaps. He leaned on the wall. — Are you angry?", [(Q, "Perhaps."), (N, "He leaned on the wall."), (Q, "Are you angry?")]),
+        ("dash", "— Bonjour, Éloïse dit doucement.", [(Q, "Bonjour"), (N, ", Éloïse dit doucement.")]), ("dash", "— Hola, María preguntó.", [(Q, "Hola"), (N, ", María preguntó.")]),
+        ("dash", "— Hola, Andrés dijo.", [(Q, "Hola"), (N, ", Andrés dijo.")]), ("dash", "— Peut-être. Éloïse regarda la mer. — Viens !", [(Q, "Peut-être."), (N, "Éloïse regarda la mer."), (Q, "Viens !")]),
         ("dash", "— Fine. But you are paying.", [(Q, "Fine. But you are paying.")]), ("dash", "— Decide. The café closes at nine.", [(Q, "Decide. The café closes at nine.")]),
     ],
 )
@@ -173,6 +176,18 @@ def test_signal(spark):
     assert len(signal.loop_to_length(np.ones(100), 1000, 20)) == 1000 and len(signal.resample(x, 1000, 500)) == 1000
     gain = signal.duck_gain(np.repeat([False, True, False], [25, 50, 25]), 10.0)
     assert gain[:20].min() > 0.99 and gain[60] < 0.4 and 0.4 < gain[-1] < 0.9
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 300):
+        speaks, held = rng.random(n) < 0.2, rng.random(n) < 0.05
+        busy = [any(speaks[k : k + 4]) or held[k] for k in range(n)]
+        level, slow = None, []
+        for k in range(n):
+            lo = next((j for j in range(k, -1, -1) if busy[j]), -1)
+            hi = next((j for j in range(k, n) if busy[j]), n)
+            goal = 2.0 if not busy[k] and hi - lo - 1 >= 5 else 0.5
+            level = goal if level is None else goal + (level - goal) * math.exp(-20 / (40 if goal < level else 600))
+            slow.append(level)
+        assert np.allclose(signal.duck_gain(speaks, 20 * math.log10(2), 20 * math.log10(2), 100, held), slow)
     assert signal.pauses(np.array([True, False, False, True, False]), 2).tolist() == [False, True, True, False, False] and not len(signal.pauses(np.zeros(0, bool), 2))
     row = frame(spark, [([0.5, -0.5, 2.0],)], "s array<double>").select(signal.to_int16(F.col("s")).alias("i"), signal.rms_dbfs(F.slice("s", 1, 2)).alias("d")).first()
     assert row.i == [16384, -16384, 32767] and abs(row.d + 6.0206) < 1e-3
