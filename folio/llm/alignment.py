@@ -26,9 +26,9 @@ SIDE_A = "/opt/tokenizers/byte_bpe_50k.json"
 SIDE_B = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Bytes of a stripe's dense block of counts.
-STRIPE_BYTES = 128 << 20
+STRIPE_BYTES = 64 << 20
 #: Text of a run (one longer text is a run by itself) and of a step in it; distinct segments that a run may hold.
-RUN_BYTES, STEP_BYTES, RUN_SEGMENTS = 32 << 20, 4 << 20, 1 << 19
+RUN_BYTES, STEP_BYTES, RUN_SEGMENTS = 16 << 20, 2 << 20, 1 << 18
 #: Pairs of a stripe that are scored in one task, about.
 SLICE_PAIRS = 1 << 21
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
