@@ -14,7 +14,7 @@ from folio import schema as S
 from folio.functions import signal, text as T
 from folio.functions.arrays import merged_maps
 from folio.functions.keys import content_key, stable_seed
-from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline, validate
+from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline
 from folio.sources import books, sinks
 from folio.streaming import ledger as stream
 
@@ -653,28 +653,6 @@ def estimate(spark, sf_dir):
     return told.select("book_id", "paragraphs", "chars", "spans", "quotes", "chunks", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE turn // 2 % 3 WHEN 0 THEN 'Alba' WHEN 1 THEN 'Bruno' ELSE 'Cora' END AS speaker FROM conversations)
-SELECT conv_id || 'a' || turn AS span_id, speaker, CASE WHEN turn % 4 = 3 THEN 'subject' ELSE 'tag' END AS rule FROM t UNION ALL SELECT conv_id || 'b' || turn, speaker, 'paragraph' FROM t WHERE turn % 4 = 2""")
-def speaker_attribution(spark, sf_dir):
-    """Four forms of a paragraph by turn: a tag behind the quote, one before it, one behind the second of two quotes (the first has none of its own), and a
-    sentence about the speaker before the quote. What is said is the conversation's own text without capitals, so that it names nobody."""
-    name = F.when(F.floor(F.col("turn") / 2) % 3 == 0, "Alba").when(F.floor(F.col("turn") / 2) % 3 == 1, "Bruno").otherwise("Cora")
-    span = lambda k, mark, kind, text: F.struct(F.lit(k).alias("s"), F.concat_ws(mark, "conv_id", "turn").alias("span_id"), F.lit(kind).alias("kind"), text.alias("text"))
-    said = F.lower("text")
-    forms = [
-        F.array(span(0, "a", "quote", said), span(1, "x", "narration", F.concat(F.lit("said "), name, F.lit(".")))),
-        F.array(span(0, "x", "narration", F.concat(name, F.lit(" asked,"))), span(1, "a", "quote", said)),
-        F.array(span(0, "b", "quote", said), span(1, "x", "narration", F.lit("it was still for a while.")), span(2, "a", "quote", said), span(3, "y", "narration", F.concat(name, F.lit(" said slowly.")))),
-        F.array(span(0, "x", "narration", F.concat(name, F.lit(" nodded."))), span(1, "a", "quote", said)),
-    ]
-    form = F.when(F.col("turn") % 4 == 0, forms[0]).when(F.col("turn") % 4 == 1, forms[1]).when(F.col("turn") % 4 == 2, forms[2]).otherwise(forms[3])
-    c = table(spark, sf_dir, "conversations")
-    named = F.array(*[F.struct(F.lit(k).alias("s"), F.concat_ws(f"n{k}", "conv_id", "conv_id").alias("span_id"), F.lit("narration").alias("kind"), F.lit(f"{n} said nothing.").alias("text")) for k, n in enumerate(("Alba", "Bruno", "Cora"))])
-    rows = c.select("conv_id", F.col("turn").cast("int").alias("para"), form.alias("own")).unionByName(c.select("conv_id", F.lit(-1).alias("para"), named.alias("own")).distinct())
-    spans = rows.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(1).alias("ch"), "para", F.lit(False).alias("scene_break_before"), F.explode("own").alias("x")).select("book_id", "ch", "para", "scene_break_before", "x.*")
-    return attribution.attribute(spans).select("span_id", "speaker", "rule")
-
-
 _MOOD_SCORES = ", ".join("+".join(f"len(regexp_extract_all(text, '(?i){p}')) * {2 if ' ' in p else 1}" for p in ps) + f" AS {m}" for m, ps in effects.MOODS.items())
 _MOST = f"greatest({', '.join(effects.MOODS)})"
 _MOOD = f"CASE WHEN {_MOST} = 0 THEN NULL WHEN prior = 'warm' AND warm = {_MOST} THEN 'warm' " + " ".join(f"WHEN {m} = {_MOST} THEN '{m}'" for m in effects.MOODS) + " END"
@@ -879,25 +857,6 @@ def chosen_chapters(spark, sf_dir):
     return selection.only_chapters(segments(spark, sf_dir).select("book_id", F.col("idx").alias("ch")), selection.chapter_ranges("1-3, 5"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, turn // 6 AS chunk, turn % 3 < 2 AS quote FROM conversations), s AS (SELECT *, quote AND NOT (turn % 12 = 4 OR conv_id % 4 = 0 AND turn % 2 = 0) AS labelled FROM l),
-c AS (SELECT conv_id, chunk, count(*) FILTER (WHERE quote) AS quotes, count(*) FILTER (WHERE quote AND NOT labelled) AS missing FROM s GROUP BY 1, 2)
-SELECT s.conv_id || 's' || s.turn AS span_id, CASE WHEN NOT labelled THEN 'NARRATOR' WHEN s.turn % 2 = 0 THEN 'Thomas' ELSE 'Who Else' END AS speaker FROM s JOIN c ON c.conv_id = s.conv_id AND c.chunk = s.chunk WHERE quote AND NOT (missing > 0.2 * quotes)""")
-def checked_labels(spark, sf_dir):
-    """Labels of six turns a chunk: every third turn is narration (its label goes), some have no label, each is labelled twice (the second goes), and one is of no span."""
-    seg = segments(spark, sf_dir).withColumn("chunk", F.floor(F.col("idx") / 6).cast("int"))
-    quote = F.col("idx") % 3 < 2
-    spans = seg.select("book_id", "ch", "chunk", "para", F.col("idx").alias("s"), "span_id", F.when(quote, "quote").otherwise("narration").alias("kind"))
-    silent = (F.col("idx") % 12 == 4) | ((F.col("book_id").cast("long") % 4 == 0) & (F.col("idx") % 2 == 0))
-    said = seg.where(~silent | ~quote).select("book_id", "ch", "chunk", "span_id", F.when(F.col("idx") % 2 == 0, "mr. TOM").otherwise(" Who Else ").alias("speaker"), F.lit("calm").alias("emotion"), F.lit("quiet").alias("delivery"))
-    labels = said.withColumn("ord", F.lit(1)).unionByName(said.withColumns({"ord": F.lit(2), "speaker": F.lit("Nobody")})).unionByName(said.withColumns({"ord": F.lit(0), "span_id": F.concat(F.lit("z"), F.col("span_id"))}))
-    sfx = seg.where("idx < 0").select("book_id", "ch", "chunk", F.lit(0).alias("ord"), "span_id", F.lit(1.0).alias("duration_s"), F.lit(0.5).alias("intensity"))
-    people = seg.select("book_id").distinct().select(
-        "book_id", F.lit(0).alias("ord"), F.lit("Thomas").alias("name"), F.array(F.lit("Tom")).alias("aliases"), F.lit("male").alias("gender"), F.lit("adult").alias("age"), F.lit(False).alias("provisional"),
-    )
-    news = seg.where("idx < 0").select("book_id", "ch", "chunk", F.lit(0).alias("ord"), F.lit("x").alias("name"), F.array().cast("array<string>").alias("aliases"))
-    return validate.checked_analysis(spans, labels, sfx, sfx.drop("duration_s", "intensity").withColumn("energy", F.lit(0.1)), people, news).labels.select("span_id", "speaker")
-
-
 # --- signals --------------------------------------------------------------------------------------
 
 
@@ -962,3 +921,7 @@ def mixed_samples(spark, sf_dir):
     index = F.transform("samples", lambda x, i: x * (1 + (F.col("start") + i) % 97))
     add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
     return mixed.select("book_id", "bucket", F.size("samples").cast("long").alias("n"), add(F.transform("samples", lambda x: F.abs(x))).alias("loud"), add(index).alias("digest"))
+
+
+# Queries in modules of their own, which use what is above.
+from folio.plans import people_queries  # noqa: E402, F401

@@ -283,6 +283,68 @@ def test_attribution(spark):
     assert [(r.para, r.action, r.mood, r.energy) for r in effects.music_cues(moods).collect()] == [(1, "start", "tense", 0.7)]
 
 
+SPEECH = "book_id string, ch int, para int, s int, span_id string, kind string, text string, scene_break_before boolean"
+
+
+def dialogue(spark, *paragraphs):
+    """Spans of paragraphs with quotes in double marks; a paragraph that begins with * opens a scene."""
+    rows = []
+    for p, text in enumerate(paragraphs):
+        parts = [(k % 2, t.strip()) for k, t in enumerate(text.lstrip("*").split('"')) if t.strip()]
+        rows += [("b", 1, p, s, f"p{p}s{s}", "quote" if q else "narration", t, text[0] == "*") for s, (q, t) in enumerate(parts)]
+    return frame(spark, rows, SPEECH)
+
+
+def speakers(spark, *paragraphs):
+    from folio.operators import attribution
+
+    return {r.span_id: (r.speaker, r.rule) for r in attribution.attribute(dialogue(spark, *paragraphs)).collect()}
+
+
+def test_turns_of_two_and_three(spark):
+    lines = ["I never said that.", "You did, and you know it.", "Then prove it.", "Fine."]
+    got = speakers(spark, "Ilse found her brother Aldo in the barn.", '"You sold the mare," Ilse said.', '"I had no choice," said Aldo.', *[f'"{x}"' for x in lines])
+    assert [got[f"p{k}s0"][0] for k in range(1, 7)] == ["Ilse", "Aldo"] * 3 and got["p3s0"][1] == "alternation"
+    from folio.operators import attribution
+
+    three = dialogue(spark, "Ann looked at Bob and then at Cal.", '"Shall we go?" Ann asked.', '"Not yet," Bob said.', '"Why not?" said Cal.', '"Because it is raining."', '"So what?"')
+    lines = attribution.spoken_lines(three)
+    assert {r.problem for r in attribution.guesses(lines).collect()} == {"ambiguous"} and {r.speaker for r in lines.collect()} == {"Ann", "Bob", "Cal"}
+
+
+@pytest.mark.parametrize("word", ["Riders,", "Nonsense,", "Careful!", "Liar!"])
+def test_exclamations_are_nobody(spark, word):
+    got = speakers(spark, "Halloran took the first watch while Brannock slept.", '"Wake me," said Brannock.', '"I will," Halloran said.', f'"{word}" Halloran whispered.', 'Brannock was awake at once. "How many?"', '"Two. Maybe three."')
+    assert got["p3s0"][0] == "Halloran" and got["p4s1"] == ("Brannock", "subject") and got["p5s0"] == ("Halloran", "alternation")
+
+
+def test_names_in_other_scripts_and_alone(spark):
+    got = speakers(spark, '"Viens," dit la mer. Éloïse said nothing.', '*"Oui," said Éloïse.', '*"Nobody knows."', '*"I am Happy," said Éloïse.')
+    assert got["p1s0"] == ("Éloïse", "tag") and got["p2s0"] == ("NARRATOR", "narrator") and got["p3s0"] == ("Éloïse", "tag")
+    assert speakers(spark, '"A"', '"B"') == {"p0s0": ("NARRATOR", "narrator"), "p1s0": ("NARRATOR", "narrator")}
+    from folio.operators import attribution, people
+
+    none = frame(spark, [], SPEECH)
+    assert attribution.attribute(none).count() == 0 and people.people(none).count() == 0 and attribution.characters(none).count() == 0
+    nulls = frame(spark, [("b", 1, 0, 0, "x", "narration", None, None), ("b", 1, 0, 1, "y", "quote", None, None)], SPEECH)
+    assert [(r.span_id, r.rule) for r in attribution.attribute(nulls).collect()] == [("y", "narrator")]
+
+
+def test_harvest_wants_evidence(spark):
+    from folio.operators import people
+
+    text = "Thunder rolled. The thunder went on. Rain fell. Mrs. Vale met Tom. Old Hetta sang. Zora left. Zora came back. Gulls cried. Perhaps Ilse knew."
+    got = {r.name: (r.n, r.within, r.titled, r.tagged) for r in people.harvest(frame(spark, [("b", 1, 0, 0, "x", "narration", text, False)], SPEECH)).collect()}
+    assert got == {"Vale": (1, 0, True, False), "Tom": (1, 1, False, False), "Hetta": (1, 0, True, False), "Zora": (2, 0, False, False), "Ilse": (1, 1, False, False), "Gulls": (1, 0, False, True)}
+
+
+def test_voices_are_heard_in_narration(spark):
+    from folio.operators import attribution
+
+    spans = dialogue(spark, '"I see," said Ansel in a hoarse voice with a dry rattle.', '"Yes," Ansel said, and wheezed hoarsely.')
+    assert [(r.name, r.voice_notes) for r in attribution.characters(spans).collect()] == [("Ansel", "dry, rasping, hoarse, wheezy")]
+
+
 def test_line_sources(spark):
     one = lambda c: frame(spark, [(1,)], "x int").select(c.alias("c")).first().c
     page = "\n 12 \nText here\n\n3 of them\nPage 7\n\n"
