@@ -91,15 +91,16 @@ def mix_chapters(placed: DataFrame, rate: int, bucket_ms: int = signal.BUCKET_MS
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("voice", "music", "sfx", "peak")}
-            for row in batch.to_pylist():
-                raw = {n: np.array(row[f"x_{n}"] or (), float) for n in ("voice", "music", "ambient", "sfx")}
+            array = lambda name, k: np.zeros(0) if batch.column(name)[k].values is None else batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                raw = {n: array(f"x_{n}", k) for n in ("voice", "music", "ambient", "sfx")}
                 n = max(map(len, raw.values()))
-                centres = np.arange(-1, len(row["music"]) - 1) * frame + frame / 2
-                gain = {k: np.interp(np.arange(n), centres, row[k]) for k in ("music", "ambient")}
-                full = {k: np.pad(x, (0, n - len(x))) * gain.get(k, 1.0) for k, x in raw.items()}
+                centres = np.arange(-1, len(array("music", k)) - 1) * frame + frame / 2
+                gain = {name: np.interp(np.arange(n), centres, array(name, k)) for name in ("music", "ambient")}
+                full = {name: np.pad(x, (0, n - len(x))) * gain.get(name, 1.0) for name, x in raw.items()}
                 own = {"voice": full["voice"], "music": full["music"], "sfx": full["sfx"] + full["ambient"]}
-                for k, x in own.items():
-                    out[k].append(x)
+                for name, x in own.items():
+                    out[name].append(x)
                 out["peak"].append(float(np.abs(sum(own.values())).max(initial=0.0)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*CHAPTER, "bucket")], *[pa.array(out[k], pa.list_(pa.float64())) for k in ("voice", "music", "sfx")], pa.array(out["peak"], pa.float64())], [*CHAPTER, "bucket", *out])
 

@@ -924,4 +924,4 @@ def mixed_samples(spark, sf_dir):
 
 
 # Queries in modules of their own, which use what is above.
-from folio.plans import people_queries  # noqa: E402, F401
+from folio.plans import chapter_queries, people_queries  # noqa: E402, F401

@@ -531,6 +531,63 @@ def test_mix_chapters(spark):
     assert done.rate == rate and 1_900 < len(done.samples) < 2_200
 
 
+def test_a_chapter_from_script_to_sound(spark):
+    from folio.operators import providers, render
+    from folio.sources.stored import stored
+
+    rate = 1_000
+    seg = segments(spark, [(1, "NARRATOR", "Crash went the door. It was late and dark.", "calm", False, 0), (2, "A", "Hello there.", "calm", False, 0), (3, "NARRATOR", " ", "calm", False, 0), (4, "NARRATOR", "Rain fell.", "calm", True, 0)])
+    cast = frame(spark, [("b", "NARRATOR", "v0", 1, 0.5, 0.75, 0.0, 1.0, 0.0)], "book_id string, character string, voice_id string, seed long, stability double, similarity_boost double, style double, speed double, pitch_shift double")
+    jobs = stored(speech.plan_tts(seg, cast, 25), "jobs")
+    plan = jobs.select(F.col("book_id").alias("job_id"), F.concat_ws("/", "idx", "piece").alias("ord"), "clip_key", "text")
+
+    def tone(requests):
+        import pyarrow as pa
+
+        n = [10 * len(t) for t in requests.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([[0.25] * k for k in n], pa.list_(pa.float64())), pa.array([k / 10 for k in n]), pa.nulls(len(n), pa.string())], ["duration_ms", "samples", "units", "problem"])
+
+    made = providers.serve(plan, frame(spark, [], "clip_key string"), providers.Provider("tts", "tone", "characters", tone, "duration_ms int, samples array<double>", 2))
+    assert made.clips.count() == 4 and made.failed.count() == 0 and sum(r.units for r in made.usage.collect()) == 20 + 21 + 12 + 10
+    again = providers.serve(plan, made.clips.select("clip_key"), providers.Provider("tts", "tone", "characters", lambda _: 1 / 0, "duration_ms int"))
+    assert again.clips.count() == 0 and [r.cache_hit for r in again.usage.collect()] == [True] * 4
+    cues = frame(spark, [("b", 1, 0, "s0", "crash", "crash", "impact", 1000, 0.9), ("b", 1, 1, "s3", "rain", "rain", "ambient", 9000, 0.3)], "book_id string, ch int, ord int, span_id string, anchor_text string, description string, kind string, duration_ms int, intensity double")
+    anchored = script.anchored_cues(cues, seg)
+    regions = script.music_regions(frame(spark, [], "book_id string, ch int, idx int, ord int, action string, mood string, energy double"), frame(spark, [("b", 1, 4, "none")], "book_id string, ch int, n_spans int, prior_mood string"))
+    placed = render.chapter_placements(seg, jobs, made.clips.select("clip_key", "duration_ms"), anchored, regions, F.col("book_id"))
+    placed = stored(placed, "placements")
+    rows = placed.collect()
+    voice = sorted((r.start_ms, r.end_ms, r.ref) for r in rows if r.track == "voice")
+    assert voice[:2] == [(2100, 2300, "s0"), (2420, 2630, "s0")] and voice[2][0] == 2630 + 650 and len(voice) == 4
+    assert {(r.track, r.fade_in_ms, r.fade_out_ms, r.loop) for r in rows} == {("voice", 10, 10, False), ("sfx", 20, 200, False), ("ambient", 800, 1500, True), ("music", 1500, 3000, True)}
+    told = {(r.ref, r.description, r.mood) for r in render.chapter_cues(placed, anchored, regions).collect()}
+    assert told == {("c1x001", "crash", None), ("c1x002", "rain", None), ("music1", None, "calm")}
+    others = placed.where("track <> 'voice'").select("clip_key").distinct().withColumn("samples", F.array_repeat(F.lit(0.1), 500))
+    mixed = render.rendered_chapters(placed, made.clips.select("clip_key", "samples").unionByName(others), rate).orderBy("bucket").collect()
+    sound = np.concatenate([np.array(r.voice) for r in mixed])
+    assert sound[2_200] == round(0.25 * 32767) and sound[2_350] == 0 and sound[2_500] == round(0.25 * 32767)
+
+
+def test_chain_takes_up_kept_results(spark):
+    import json
+
+    from folio.operators import chain
+
+    calls = frame(spark, [("b", k, t) for k, t in enumerate(["Ann", "Bob", "Ann", None, "Cy", "Bob"])] + [("c", 0, "Ann")], "book_id string, ord int, text string")
+    seen = chain.Analysis(lambda chunk, cast: {"new": chunk["text"] not in cast}, lambda cast, told: cast, [])
+    assert all(json.loads(r.result)["new"] for r in chain.analysis_chain(calls, seen).collect())
+    names = chain.Analysis(lambda chunk, cast: sorted({*cast, chunk["text"] or ""} - {""}), lambda cast, told: told, [])
+    first = chain.analysis_chain(calls, names).cache()
+    assert not any(r.reused for r in first.collect()) and {r.book_id for r in chain.last_states(first).collect()} == {"b", "c"}
+    assert all(r.reused for r in chain.analysis_chain(calls, names, first).collect())
+    swapped = frame(spark, [("b", k, t) for k, t in enumerate(["Bob", "Ann", "Ann", None, "Cy", "Dora", "Bob"])], "book_id string, ord int, text string")
+    again = chain.analysis_chain(swapped, names, first).orderBy("ord").collect()
+    assert [r.reused for r in again] == [False, False, True, True, True, False, False] and json.loads(again[-1].result) == ["Ann", "Bob", "Cy", "Dora"]
+    other = chain.Analysis(names.analyze, names.advance, [], "2")
+    assert not any(r.reused for r in chain.analysis_chain(calls, other, first).collect())
+    assert chain.analysis_chain(calls.limit(0), names, first).count() == 0
+
+
 def test_overrides(spark):
     people = frame(spark, [("b", 0, "Thomas", ["Tom"]), ("b", 1, "Ann", None)], "book_id string, ord int, name string, aliases array<string>")
     assigned = frame(spark, [("b", "NARRATOR", "n"), ("b", "Thomas", "v1"), ("b", "Ann", "v2")], "book_id string, character string, voice_id string")
