@@ -1,16 +1,15 @@
-"""Embedding near-duplicates: labels compared in full, and very large ones by sorted projection passes.
+"""Embedding near-duplicates by sorted projection passes.
 
-A label of up to `full_rows` distinct vectors is compared in full, part against part, so nothing is missed.
-In a larger one each pass orders the vectors by the concatenated sign bits of random hyperplanes and
+In each label, whatever its size, each pass orders the vectors by the concatenated sign bits of random hyperplanes and
 compares every vector with the next `window` ones. Only codes, ids and a short sketch (more sign bits) are
 sorted; the sketch rules out pairs that cannot link, and vectors are fetched only for rows that still
 have a candidate in another component. How often a pair at the threshold meets depends on how the
 label's vectors lie, so it is measured: a bounded sample of each label gets planted partners at the threshold,
-and passes go on until the share of those that met reaches `recall`. Labels in which that takes more passes
-than a full comparison costs are compared in full.
+and passes go on until the share of those that met reaches `recall`. Labels that do not reach it in `most_passes` are compared in full,
+part against part: the exact way for them.
 
 Links verified in double precision are joined; then each component is compared in full, so a group larger than
-a window has all its links counted. What can be missed is a pair of a label above `full_rows` that no pass
+a window has all its links counted. What can be missed is a pair that no pass
 brings together and no chain of links connects.
 """
 
@@ -30,7 +29,7 @@ from folio.llm.storage import store
 
 COSINE = 0.93
 WINDOW = 32
-RECALL = 0.97
+RECALL = 0.99
 SEED = 6
 #: Bits that a pass is ordered by, and bits of a sketch (a multiple of 64); a sketch lets a pair at the threshold pass up to this
 #: many standard deviations of its differing bits.
@@ -46,13 +45,14 @@ PART_VALUES = 1 << 22
 SHARED_ROWS = 8_192
 STRIP_VALUES = 1 << 22
 BUCKETS = 256
-#: Distinct vectors up to which a label is compared in full.
-FULL_ROWS = 32_768
-#: Passes of a batch (the first has one alone); rows of a label that get planted partners, about; passes that cost as much as
-#: comparing `full_rows` in full; active rows that are sent to all tasks at most.
+#: Passes of a batch (the first has one alone); rows of a label that get planted partners, about; passes after which a label is compared in
+#: full: so many, and as many more for each FULL_ROWS of its rows, as a full comparison costs more there; rows of an ordered partition, about; active rows that are
+#: sent to all tasks at most.
 PASSES = 4
 SAMPLE_ROWS = 1_024
 FULL_PASSES = 8
+FULL_ROWS = 32_768
+ORDERED_ROWS = 1 << 18
 BROADCAST_ROWS = 1 << 18
 
 
@@ -97,7 +97,7 @@ def planted_partners(sampled: DataFrame, cosine: float = COSINE, seed: int = SEE
         out = [pa.table({"lab": table.column("lab"), "rid": table.column("rid"), "plant": pa.array(np.full(len(x), k, np.int32)), "vector": pa.array(list(y), pa.list_(number))}) for k, y in enumerate(made, 1)]
         return pa.concat_tables(out)
 
-    return sampled.select("lab", "rid", "vector").groupBy("lab").applyInArrow(partners, f"lab int, rid long, plant int, vector {_vector_type(sampled)}")
+    return sampled.select("lab", "rid", "vector").groupBy("lab").applyInArrow(partners, f"lab long, rid long, plant int, vector {_vector_type(sampled)}")
 
 
 def coded_rows(rows: DataFrame, first: int, passes: int, seed: int = SEED) -> DataFrame:
@@ -118,7 +118,7 @@ def coded_rows(rows: DataFrame, first: int, passes: int, seed: int = SEED) -> Da
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([rows.column("lab"), pa.array(np.full(len(x), first + p, np.int32)), pa.array(codes[:, p]), rows.column("rid"), rows.column("plant"), sketch], ["lab", "pass", "code", "rid", "plant", "sketch"])
 
-    return rows.select("lab", "rid", "plant", "vector").mapInArrow(code, "lab int, pass int, code long, rid long, plant int, sketch binary")
+    return rows.select("lab", "rid", "plant", "vector").mapInArrow(code, "lab long, pass int, code long, rid long, plant int, sketch binary")
 
 
 def sketch_limit(cosine: float) -> int:
@@ -127,12 +127,12 @@ def sketch_limit(cosine: float) -> int:
     return math.ceil(SKETCH_BITS * share + SKETCH_DEVIATIONS * math.sqrt(SKETCH_BITS * share * (1 - share)))
 
 
-def window_rows(coded: DataFrame, cosine: float = COSINE, window: int = WINDOW, block: int = BLOCK_ROWS) -> DataFrame:
+def window_rows(coded: DataFrame, cosine: float = COSINE, window: int = WINDOW, block: int = BLOCK_ROWS, partitions: int = 1) -> DataFrame:
     """(kind, block, rank, lab, pass, rid): kind 0, rows that have a candidate of another component within `window` ranks, in the
     blocks in which they are to be compared; kind 1 and 2, sampled rows that came within a window of that planted partner.
-    coded has lab, pass, code, rid, plant (-1 for the rows of the table that are no sample), comp and sketch."""
+    coded has lab, pass, code, rid, plant (-1 for the rows of the table that are no sample), comp and sketch. Windows end at partitions: the fewer there are, the less is lost."""
     order, most = ["lab", "pass", "code", "rid", "plant"], sketch_limit(cosine)
-    ordered = coded.select(*order, "comp", "sketch").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = coded.select(*order, "comp", "sketch").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}
@@ -166,7 +166,7 @@ def window_rows(coded: DataFrame, cosine: float = COSINE, window: int = WINDOW,
             kept = {c: v[max(0, n - window) :] for c, v in x.items()}
             start += max(0, n - window)
 
-    return ordered.mapInArrow(scan, "kind int, block long, rank long, lab int, pass int, rid long")
+    return ordered.mapInArrow(scan, "kind int, block long, rank long, lab long, pass int, rid long")
 
 
 def window_edges(active: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
@@ -192,26 +192,24 @@ def window_edges(active: DataFrame, cosine: float = COSINE, window: int = WINDOW
     return active.groupBy("block").applyInArrow(compare, "a long, b long")
 
 
-def pass_edges(rows: DataFrame, sizes: dict[int, int], cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, seed: int = SEED, full_rows: int = FULL_ROWS) -> tuple[DataFrame, dict[int, float]]:
-    """Edges within the labels in sizes (lab to rows) from rows (lab, rid, vector), and the measured recall of each label that
-    reached `recall`: the lesser share of met partners of both kinds. `sizes` has an entry for each full_rows rows at most.
-    Every batch of passes is done before the next begins, so that its shuffles need not be kept."""
-    spark = rows.sparkSession
-    frame = lambda labs: F.broadcast(spark.createDataFrame([(k, sizes[k]) for k in labs], "lab int, n long"))
+def pass_edges(rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, seed: int = SEED, full_passes: int = FULL_PASSES) -> tuple[DataFrame, DataFrame]:
+    """Edges within labels from rows (lab, rid, n: rows of the label, vector), and (lab, share): the measured recall of the labels that
+    reached `recall`, the lesser share of met partners of both kinds. Every batch of passes is done before the next begins, so that its shuffles need not be kept."""
     sampled = F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("n")) < SAMPLE_ROWS
-    rows = rows.join(frame(sizes), "lab").withColumn("plant", F.when(sampled, 0).otherwise(-1)).select("lab", "rid", "plant", "vector")
-    drawn = {r.lab: r.n for r in rows.where("plant = 0").groupBy("lab").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("plant", F.when(sampled, 0).otherwise(-1)).select("lab", "rid", "n", "plant", "vector")
+    total = rows.count()
+    labels = store(rows.groupBy("lab").agg(F.first("n").alias("n"), F.count_if(F.col("plant") == 0).alias("drawn")), "labels")
     planted = store(planted_partners(rows.where("plant = 0"), cosine, seed), "planted")
-    edges, comps, met = None, None, None
-    reached: dict[int, float] = {}
-    pending, passes, batch = set(sizes), 0, 1
-    while pending:
-        coded = coded_rows(rows.unionByName(planted).join(frame(pending), "lab"), passes, batch, seed)
+    every = rows.drop("n").unionByName(planted)
+    edges, comps, met, shares = None, None, None, None
+    pending, passes, batch = labels.select("lab"), 0, 1
+    while not pending.isEmpty():
+        coded = coded_rows(every.join(pending, "lab", "left_semi"), passes, batch, seed)
         if comps is None:
             coded = coded.withColumn("comp", F.col("rid"))
         else:
             coded = coded.join(comps, coded.rid == comps.node, "left").withColumn("comp", F.coalesce("component", "rid"))
-        found = store(window_rows(coded, cosine, window), "window-rows")
+        found = store(window_rows(coded, cosine, window, partitions=max(1, 3 * batch * total // ORDERED_ROWS)), "window-rows")
         active = found.where("kind = 0").drop("kind")
         hint = "broadcast" if active.count() <= BROADCAST_ROWS else "merge"
         new = window_edges(rows.select("rid", "vector").join(active.hint(hint), "rid"), cosine, window)
@@ -220,11 +218,12 @@ def pass_edges(rows: DataFrame, sizes: dict[int, int], cosine: float = COSINE, w
         hits = found.where("kind > 0").select("lab", "rid", "kind")
         met = store((hits if met is None else hits.unionByName(met)).distinct(), "met")
         passes, batch = passes + batch, PASSES
-        share = {(r.lab, r.kind): r.n for r in met.groupBy("lab", "kind").agg(F.count("*").alias("n")).collect()}
-        least = {k: min(share.get((k, 1), 0), share.get((k, 2), 0)) / drawn[k] if drawn.get(k) else 1.0 for k in pending}
-        reached |= {k: v for k, v in least.items() if v >= recall}
-        pending = {k for k in pending if k not in reached and passes * full_rows < FULL_PASSES * sizes[k]}
-    return edges, reached
+        of = met.groupBy("lab").agg(*[F.count_if(F.col("kind") == k).alias(f"met{k}") for k in (1, 2)])
+        least = F.when(F.col("drawn") > 0, F.coalesce(F.least("met1", "met2"), F.lit(0)) / F.col("drawn")).otherwise(1.0)
+        shares = store(labels.join(of, "lab", "left").select("lab", "n", least.alias("share")), "recall")
+        most = full_passes * (1 + F.col("n") / FULL_ROWS)
+        pending = shares.where((F.col("share") < recall) & (F.lit(passes) < most)).select("lab")
+    return edges, (labels.select("lab", F.lit(1.0).alias("share")) if shares is None else shares.where(F.col("share") >= recall).select("lab", "share"))
 
 
 # --- full comparison ------------------------------------------------------------------------------
@@ -295,15 +294,15 @@ def exact_links(members: DataFrame, cosine: float = COSINE, part_rows: int = 0)
     return _dealt(members, part_rows, BUCKETS).groupBy("k", "large", "i", "j").applyInArrow(compare, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n_other"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, seed: int = SEED, full_rows: int = FULL_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, seed: int = SEED, full_passes: int = FULL_PASSES) -> DataFrame:
     """vec_id, n_links, component_id, kept (vec_id = component_id): one row for each row of vectors.
 
     Vectors are compared when their labels are equal and not null and they have the same length. A vector
     that is null, empty, zero, or holds a null or non-finite component links with nothing, and so does a row
     with a null label or vec_id (then kept is false, as it has no component_id). Equal vectors
     of a label (by two 64-bit hashes) are one class, whose members link with each other and share all links; repeated rows
-    count as further vectors. Labels of up to full_rows distinct vectors are exact; in larger ones passes with windows of `window`
-    rows run until `recall` of the partners planted at the threshold have met. Other columns are ignored. An empty table gives
+    count as further vectors. Passes with windows of `window` rows run until `recall` of the partners planted at the threshold have met; a label that does not come so far
+    in full_passes (more in very large ones) is compared in full and exact; with full_passes 0 all labels are. Other columns are ignored. An empty table gives
     an empty result.
     """
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -317,17 +316,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDO
     if reps.groupBy("rid").count().where("count > 1").limit(1).count():  # a vec_id that is repeated with another vector: number the classes apart
         reps = reps.withColumn("rid", F.col("k1"))
     counts = store(reps.groupBy("dim", "label").agg(F.count("*").alias("n_members")), "label-sizes")
-    large = {k: r for k, r in enumerate(counts.where(F.col("n_members") > full_rows).collect())}  # one for each full_rows rows at most
-    found, reached = None, {}
-    if large:
-        labs = vectors.sparkSession.createDataFrame([(k, r.dim, r.label) for k, r in large.items()], "lab int, dim int, label string")
-        own = reps.join(F.broadcast(labs), ["dim", "label"]).select("lab", "rid", "vector")
-        found, reached = pass_edges(own, {k: r.n_members for k, r in large.items()}, cosine, window, recall, seed, full_rows)
-    split = counts.where(F.col("n_members") > SPLIT_ROWS)
-    whole = reps.join(split, ["dim", "label"], "left")
-    if reached:
-        whole = whole.join(F.broadcast(labs.where(F.col("lab").isin(*reached))), ["dim", "label"], "left_anti")
-    whole = whole.select("rid", F.xxhash64("dim", "label").alias("component"), F.coalesce("n_members", F.lit(1)).alias("n_members"), F.lit(1).alias("copies"), "vector")
+    sized = reps.join(counts, ["dim", "label"]).withColumn("lab", F.xxhash64("dim", "label"))
+    found, whole = None, sized
+    if full_passes > 0:
+        several = sized.where("n_members > 1").select("lab", "rid", F.col("n_members").alias("n"), "vector")
+        found, reached = pass_edges(several, cosine, window, recall, seed, full_passes)
+        whole = sized.where("n_members > 1").join(reached, "lab", "left_anti")
+    whole = whole.select("rid", F.col("lab").alias("component"), "n_members", F.lit(1).alias("copies"), "vector")
     buckets = max(BUCKETS, (counts.agg(F.sum("n_members")).first()[0] or 0) // SHARED_ROWS)
     edges = full_edges(whole, cosine, buckets=buckets)
     labels = store(connected_components(edges if found is None else edges.unionByName(found), "a", "b"), "vector-components")
