@@ -8,9 +8,9 @@ from folio import schema as S
 
 
 def estimate(paras: DataFrame, spans: DataFrame, chunks: DataFrame, prices: dict[str, float]) -> DataFrame:
-    """One row for each book. Each table is aggregated by book before the joins."""
+    """One row for each book. Each table is aggregated by book before the joins. spans: one row for each span, or totals (see segment.span_totals)."""
     p = paras.groupBy("book_id").agg(F.count("*").alias("paragraphs"), F.countDistinct("ch").alias("chapters"), F.sum(F.length("text")).alias("chars"))
-    s = spans.groupBy("book_id").agg(F.count("*").alias("spans"), F.count_if(F.col("kind") == "quote").alias("quotes"), F.sum(F.length("text")).alias("speech_chars"))
+    s = spans if "speech_chars" in spans.columns else spans.groupBy("book_id").agg(F.count("*").alias("spans"), F.count_if(F.col("kind") == "quote").alias("quotes"), F.sum(F.length("text")).alias("speech_chars"))
     c = chunks.groupBy("book_id").agg(F.countDistinct("ch", "chunk").alias("chunks"))
     told = p.join(s, "book_id", "left").join(c, "book_id", "left").na.fill(0)
     tokens = F.floor(F.col("chars") / S.CHARS_PER_TOKEN) + S.TOKENS_PER_CHUNK * F.col("chunks")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folio.schema import STAGES, STAGE_WEIGHTS
+from folio.sources.stored import stored
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
@@ -112,31 +115,48 @@ def numbered_events(new: DataFrame, after: int, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(before), names[1]).withColumn("id", F.lit(after) + F.col("_before") + own + 1).select("id", *new.columns)
 
 
-#: Units of time that entries are totalled by, one after the other, before any are ordered row by row.
-PRUNE_UNITS = ("day", "hour", "minute", "second")
-
-
 def lru_prune(entries: DataFrame, cap: int, floor=None) -> DataFrame:
     """Entries to delete, oldest first, until those kept take at most cap bytes; entries used at or after `floor`
     are spared, and a cap of 0 means no limit. Columns: key, bytes, used_at.
 
-    Entries are totalled by day first. Only the day in which the total passes the cap is looked into: it is totalled by hour, that
-    hour by minute, and that minute by second. Only the entries of one second are ordered row by row; all others are kept or deleted as a whole."""
+    Entries are read once to total them by second. From these totals come the day, and in it the second, in which the total passes the
+    cap; all older ones go by a range of used_at, which reaches the scan. Only that second's entries are looked at row by row: sorted in ranges, and
+    each range's rows counted behind those of the ranges before it."""
     if cap == 0:
         return entries.limit(0)
-    gone, open_, newer = [], entries, 0
-    for unit in PRUNE_UNITS:
-        span = F.date_trunc(unit, F.col("used_at"))
-        totals = open_.groupBy(span.alias("at")).agg(F.sum("bytes").alias("n"))
+    seconds = stored(entries.groupBy(F.date_trunc("second", "used_at").alias("at")).agg(F.sum("bytes").alias("n")), "seconds")
+
+    def passing(totals: DataFrame, newer: int):
         upto = F.sum("n").over(Window.orderBy(F.desc("at")))
-        cut = totals.withColumn("newer", F.lit(newer) + upto - F.col("n")).where((F.col("newer") <= cap) & (F.col("newer") + F.col("n") > cap)).orderBy("at").limit(1).collect()
-        if not cut:
-            open_ = entries.limit(0)
-            break
-        gone.append(open_.where(span < F.lit(cut[0]["at"])))
-        open_, newer = open_.where(span == F.lit(cut[0]["at"])), cut[0]["newer"]
-    order = Window.orderBy(F.desc("used_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    last = open_.withColumn("_own", F.sum("bytes").over(order)).where(F.col("_own") + newer > cap).select(*entries.columns)
-    for part in gone:
-        last = last.unionByName(part)
-    return last if floor is None else last.where(F.col("used_at") < floor)
+        told = totals.withColumn("newer", F.lit(newer) + upto - F.col("n"))
+        return told.where((F.col("newer") <= cap) & (F.col("newer") + F.col("n") > cap)).orderBy("at").first()
+
+    day = passing(seconds.groupBy(F.date_trunc("day", "at").alias("at")).agg(F.sum("n").alias("n")), 0)
+    if day is None:
+        return entries.limit(0)
+    second = passing(seconds.where(F.date_trunc("day", "at") == F.lit(day["at"])), day["newer"])
+    low = F.lit(second["at"]).cast(entries.schema["used_at"].dataType)
+    high = F.lit(second["at"] + timedelta(seconds=1)).cast(entries.schema["used_at"].dataType)
+    order = [F.desc("used_at"), F.desc("key")]
+    own, part, before = "_own", "_part", "_before"
+    ranged = entries.where((F.col("used_at") >= low) & (F.col("used_at") < high)).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged = stored(ranged, "last-second")
+    sizes = ranged.groupBy(part).agg(F.sum("bytes").alias("_n"))  # a row for each partition
+    placed = ranged.join(F.broadcast(sizes.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias(before))), part)
+    within = F.sum("bytes").over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = placed.withColumn(own, within).where(F.col(own) + F.col(before) + second["newer"] > cap).select(*entries.columns)
+    gone = entries.where(F.col("used_at") < low).unionByName(last)
+    return gone if floor is None else gone.where(F.col("used_at") < floor)
+
+
+def write_clustered(rows: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
+    """rows as Parquet in ranges of the key, sorted by it, with a Bloom filter for it: a look-up of one key opens the files whose range has it, and
+    in them the row groups whose filter does."""
+    ranged = rows.repartitionByRange(partitions, key) if partitions else rows.repartitionByRange(key)
+    named = {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": "100000"}
+    ranged.sortWithinPartitions(key).write.options(**named).mode("overwrite").parquet(path)
+
+
+def write_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
+    """rows as a table in buckets of the key, sorted by it: two such tables with as many buckets join by it without a shuffle."""
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)

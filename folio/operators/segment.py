@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -222,6 +223,22 @@ def split_spans(paras: DataFrame) -> DataFrame:
     return placed.withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
+def span_totals(paras: DataFrame) -> DataFrame:
+    """(book_id, spans, quotes, speech_chars): how many spans `split_spans` makes of each book's paragraphs (book_id, ch, para, text, style), how many are quotes, and
+    how long all are together. Between marks that alternate, parts are counted where they lie; only the other styles are cut into spans."""
+    style = F.coalesce("style", F.lit(QUOTE_STYLES[0]))
+    marks = [name for name in QUOTE_STYLES if name in ("double", "guillemet")]
+    parts = F.lit(None).cast("array<string>")
+    for name in marks:
+        parts = F.when(style == name, F.split(F.coalesce("text", F.lit("")), MARKS[name], -1)).otherwise(parts)
+    sizes = F.transform(parts, lambda x: F.length(T.strip(x)))
+    sized = paras.where(style.isin(marks)).select("book_id", sizes.alias("sizes"))
+    some = lambda only: F.size(F.filter("sizes", only)).cast("long")
+    counted = sized.select("book_id", some(lambda n: n > 0).alias("spans"), some(lambda n, k: (n > 0) & (k % 2 == 1)).alias("quotes"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("speech_chars"))
+    rest = split_spans(paras.where(~style.isin(marks))).select("book_id", F.lit(1).cast("long").alias("spans"), (F.col("kind") == "quote").cast("long").alias("quotes"), F.length("text").cast("long").alias("speech_chars"))
+    return counted.unionByName(rest).groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("spans", "quotes", "speech_chars")])
+
+
 def alternating_spans(paras: DataFrame, style: str = "double") -> DataFrame:
     """Spans of paragraphs (book_id, ch, para, text) that are all in one style."""
     return split_spans(paras.withColumn("style", F.lit(style)))
@@ -237,16 +254,27 @@ def chunk_numbers(paras: DataFrame, max_chars: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chapter, chunk, size = None, -1, 0
         for batch in batches:
-            out = []
-            for *own, length in zip(*(batch.column(n).to_pylist() for n in ("book_id", "ch", "length")), strict=True):
-                if own != chapter:
-                    chapter, chunk, size = own, 0, length
-                elif size + SEPARATOR_CHARS + length > max_chars:
-                    chunk, size = chunk + 1, length
-                else:
-                    size += SEPARATOR_CHARS + length
-                out.append(chunk)
-            yield batch.append_column("chunk", pa.array(out, pa.int32()))
+            book, ch = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("book_id", "ch"))
+            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(length + SEPARATOR_CHARS)
+            out = np.empty(len(length), np.int32)
+            begins = np.flatnonzero(np.append(True, (book[1:] != book[:-1]) | (ch[1:] != ch[:-1]))[: len(length)]).tolist()
+            for at, end in zip(begins, [*begins[1:], len(length)], strict=True):
+                if (book[at], ch[at]) != chapter:
+                    chapter, chunk, size = (book[at], ch[at]), 0, int(length[at])
+                    out[at] = 0
+                    at += 1
+                while at < end:
+                    # As many paragraphs as the open chunk has room for, at once.
+                    before = int(upto[at - 1]) if at else 0
+                    stop = min(end, int(np.searchsorted(upto, before + max_chars - size, side="right")))
+                    if stop > at:
+                        size += int(upto[stop - 1]) - before
+                    else:
+                        chunk, size, stop = chunk + 1, int(length[at]), at + 1
+                    out[at:stop] = chunk
+                    at = stop
+            yield batch.append_column("chunk", pa.array(out))
 
     own = paras.select(F.col("book_id").cast("string"), F.col("ch").cast("int"), F.col("para").cast("int"), F.col("length").cast("long"))
     ordered = own.repartition("book_id", "ch").sortWithinPartitions("book_id", "ch", "para")

@@ -649,7 +649,7 @@ def estimate(spark, sf_dir):
     quoted = F.when(F.col("para") % 2 == 0, F.replace("text", F.lit(" "), F.lit('" '))).otherwise(F.col("text"))
     paras = rows.select("book_id", F.lit(1).alias("ch"), "para", quoted.alias("text"))
     chunks = segment.chunk_numbers(rows.select("book_id", F.lit(1).alias("ch"), "para", F.length("text").cast("long").alias("length")), 600)
-    told = est.estimate(paras, segment.alternating_spans(paras), chunks, {"input_token": 0.003, "output_token": 0.015, "character": 0.3, "music_second": 0.01, "sfx_second": 0.02})
+    told = est.estimate(paras, segment.span_totals(paras.withColumn("style", F.lit("double"))), chunks, {"input_token": 0.003, "output_token": 0.015, "character": 0.3, "music_second": 0.01, "sfx_second": 0.02})
     return told.select("book_id", "paragraphs", "chars", "spans", "quotes", "chunks", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"))
 
 

@@ -32,3 +32,13 @@ def usage_by_window(events: DataFrame, window: str = "1 hour", late: str = "1 ho
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything that is there, batch by batch, then an end: chapters are rendered as they arrive."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_chapters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Finished chapters (book_id, ch, ...) as Parquet by book and chapter, as they come: a batch replaces the chapters that it has and no others, so that one that is
+    run again, or a chapter that is rendered anew, leaves no second copy."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "ch").parquet(path)
+
+    return each_batch(stream, write, checkpoint)

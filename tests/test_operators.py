@@ -495,6 +495,70 @@ def test_ledger_changes(spark):
         assert {r.key for r in ledger.lru_prune(entries, cap).collect()} == want
 
 
+def test_span_totals_are_those_of_spans(spark):
+    texts = ['"Hi," she said. " " "Go', "plain", "", None, "\u3000 \u2003", "«a» b", "'Yes,' he said.", "— One — two — three"]
+    paras = frame(spark, [("b", 1, k * 10 + j, t, style) for k, t in enumerate(texts) for j, style in enumerate(("double", "guillemet", "single", "dash", None))], "book_id string, ch int, para int, text string, style string")
+    spans = segment.split_spans(paras).collect()
+    got = segment.span_totals(paras).first()
+    assert (got.spans, got.quotes, got.speech_chars) == (len(spans), sum(r.kind == "quote" for r in spans), sum(len(r.text) for r in spans))
+
+
+def test_wav_source(spark, tmp_path):
+    from folio.sources import wav
+
+    wav.register(spark)
+    path = f"{tmp_path}/wavs"
+    rows = [(f"t{k}", 8000 + k, [k, -k, 32767, -32768]) for k in range(20)]
+    tracks = frame(spark, rows, "name string, rate int, samples array<smallint>").repartition(4)
+    tracks.write.format("wav").mode("append").save(path)
+    read = spark.read.format("wav")
+    assert sorted((r.name, r.rate, r.samples) for r in read.load(path).collect()) == sorted(rows)
+    only = read.load(path).where("name = 't7'")
+    assert [r.rate for r in only.collect()] == [8007] and sorted(r.rate for r in read.load(path).where("name in ('t1', 't2', 'none')").collect()) == [8001, 8002]
+    assert {r.samples is None for r in read.option("samples", "false").load(path).collect()} == {True}
+    bad = tracks.withColumn("name", F.concat(F.lit("new"), "name")).withColumn("rate", F.when(F.col("name") == "newt3", -1).otherwise(F.col("rate")))
+    with pytest.raises(Exception):  # noqa: B017
+        bad.write.format("wav").mode("append").save(path)
+    import os
+
+    assert sorted(os.listdir(path)) == sorted(f"t{k}.wav" for k in range(20))
+
+
+def test_clustered_and_bucketed_ledgers(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") % 500).alias("job_id"), F.col("id").alias("v")).repartition(7)
+    ledger.write_clustered(rows, f"{tmp_path}/usage", "job_id", 8)
+    found = spark.read.parquet(f"{tmp_path}/usage").where("job_id = 123")
+    assert found.count() == 40 and found.select(F.input_file_name()).distinct().count() == 1
+    import glob
+
+    import pyarrow.parquet as pq
+
+    held = [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics for f in glob.glob(f"{tmp_path}/usage/*.parquet")]
+    assert sum(x.min <= 123 <= x.max for x in held) == 1
+    for name in ("ledger_a", "ledger_b"):
+        ledger.write_bucketed(rows.limit(2_000), name, "job_id", 4)
+    joined = spark.table("ledger_a").hint("merge").join(spark.table("ledger_b"), "job_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    for name in ("ledger_a", "ledger_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_chapters_are_published_once(spark, tmp_path):
+    from folio.streaming import ledger as stream
+
+    schema = "book_id string, ch int, v int"
+    frame(spark, [("b", 1, 1), ("b", 2, 1)], schema).write.parquet(f"{tmp_path}/in")
+    source = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    stream.publish_chapters(source(), f"{tmp_path}/out", f"{tmp_path}/cp1").awaitTermination()
+    frame(spark, [("b", 2, 7)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream.publish_chapters(source(), f"{tmp_path}/out", f"{tmp_path}/cp1").awaitTermination()
+    want = [("b", 1, 1), ("b", 2, 7)]
+    assert sorted((r.book_id, r.ch, r.v) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+    only = spark.read.schema(schema).parquet(f"{tmp_path}/in").where("v <> 1 or ch = 1")
+    only.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id", "ch").parquet(f"{tmp_path}/out")
+    assert sorted((r.book_id, r.ch, r.v) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+
+
 def test_cache_keys(spark):
     plan, cached, made = (frame(spark, [(k,) for k in ks], "clip_key string") for ks in ("aabc", "ab", "b"))
     assert [r.clip_key for r in cache.hit_rows(plan, cached, made).collect()] == ["a", "a"]
