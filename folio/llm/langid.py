@@ -26,9 +26,8 @@ BUCKETS = 1 << 16
 ADDED = 0.5
 SIZES = (1, 2, 3)
 ROUNDS = 12
-#: Weight of a further language in the penalty, and further languages without a gain after which the search ends.
+#: Weight of a further language in the penalty.
 PENALTY = 1.0
-PATIENCE = 2
 #: Languages whose counts a task holds before it sends them on; languages that the driver reads at once.
 HELD_LANGUAGES = 16
 READ_LANGUAGES = 32
@@ -129,7 +128,8 @@ def proportions(codes: np.ndarray, n_words: np.ndarray, vocabulary: pa.Array, lo
     """Chosen languages' proportions (0 for the others) of each text. A text without n-grams has all zero.
 
     All languages are mixed first; then the m of largest share are mixed alone, for m from 1 on. The m of the best
-    penalised likelihood is chosen; the search of a text ends when PATIENCE further languages have not raised it."""
+    penalised likelihood is chosen. The search of a text ends where no further language can raise it: the log-likelihood is concave in the proportions, so
+    no mixture is above that of all languages by more than its steepest rise towards a single one."""
     n, k = len(n_words), log_p.shape[1]
     bucket, owner = grams(vocabulary)
     size = np.bincount(owner, minlength=len(vocabulary))
@@ -140,8 +140,11 @@ def proportions(codes: np.ndarray, n_words: np.ndarray, vocabulary: pa.Array, lo
     pair, times = np.unique(doc[ok] * max(1, len(vocabulary)) + codes[ok], return_counts=True)
     doc, word = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
     cost = np.log(np.maximum(np.bincount(doc, weights=times, minlength=n), 2)) * penalty
-    best, best_value, idle = np.zeros((n, k)), np.full(n, -np.inf), np.zeros(n, np.int64)
-    share, _ = _mixture(doc, times, like[word], np.full((n, k), 1 / k))
+    best, best_value = np.zeros((n, k)), np.full(n, -np.inf)
+    share, whole = _mixture(doc, times, like[word], np.full((n, k), 1 / k))
+    ratio = times / np.maximum((share[doc] * like[word]).sum(1), 1e-300)
+    rise = np.stack([np.bincount(doc, weights=ratio * like[word, j], minlength=n) for j in range(k)], 1).max(1) - np.bincount(doc, weights=times, minlength=n)
+    bound = whole + np.maximum(rise, 0)
     order = np.argsort(-share, axis=1, kind="stable")
     open_, some = np.arange(n), np.bincount(doc, minlength=n) > 0
     for m in range(1, k + 1):
@@ -155,8 +158,7 @@ def proportions(codes: np.ndarray, n_words: np.ndarray, vocabulary: pa.Array, lo
         best[rows] = 0
         best[rows[:, None], top[better]] = found[better]
         best_value[rows] = value[better]
-        idle[open_] = np.where(better, 0, idle[open_] + 1)
-        go_on = idle[open_] < PATIENCE
+        go_on = bound[open_] - m * cost[open_] > best_value[open_]
         if not go_on.any():
             break
         moved = np.cumsum(go_on) - 1

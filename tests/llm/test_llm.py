@@ -642,14 +642,12 @@ def test_language_against_a_plain_version(spark):
         logs = np.array([[m[grams(w)].sum() for m in models] for w in text.split() if grams(w)])
         likes = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -50))
         share, _ = mix(likes, np.full(3, 1 / 3), langid.ROUNDS)
-        order, best, idle = np.argsort(-share, kind="stable"), (-np.inf, None), 0
+        order, best = np.argsort(-share, kind="stable"), (-np.inf, None)
         for m in range(1, 4):
             start = np.maximum(share[order[:m]], 1e-6)
             found, ll = mix(likes[:, order[:m]], start / start.sum(), 0 if m == 1 else langid.ROUNDS // 2)
             value = ll - (m - 1) * langid.PENALTY * np.log(max(2, len(likes)))
-            best, idle = ((value, dict(zip(order[:m].tolist(), found))), 0) if value > best[0] else (best, idle + 1)
-            if idle == langid.PATIENCE:
-                break
+            best = (value, dict(zip(order[:m].tolist(), found))) if value > best[0] else best
         return best[1]
 
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
