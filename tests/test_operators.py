@@ -543,6 +543,25 @@ def test_clustered_and_bucketed_ledgers(spark, tmp_path):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_stage_machine_comes_back_from_its_checkpoint(spark, tmp_path):
+    from folio.streaming import ledger as stream
+
+    stream.rocksdb(spark)
+    schema = "job_id string, stage string, state string, ts long, seq long"
+    changes = [("j", "cast", "running", 10, 0), ("j", "cast", "failed", 20, 1), ("k", "cast", "running", 5, 0), ("j", "cast", "running", 30, 2), ("j", "cast", "done", 40, 3), ("j", "render", "running", 50, 4), ("j", "cast", "failed", 1, 1)]
+    seen = {}
+
+    def keep(df, _):
+        for r in df.collect():
+            seen[r.job_id, r.stage] = (r.state, r.attempts, r.started_at, r.finished_at)
+
+    for part in (changes[:3], changes[3:]):
+        frame(spark, part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream.stage_states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert seen == {("j", "cast"): ("done", 2, 30, 40), ("k", "cast"): ("running", 1, 5, None), ("j", "render"): ("running", 1, 50, None)}
+
+
 def test_chapters_are_published_once(spark, tmp_path):
     from folio.streaming import ledger as stream
 
