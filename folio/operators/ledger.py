@@ -149,6 +149,12 @@ def lru_prune(entries: DataFrame, cap: int, floor=None) -> DataFrame:
     return gone if floor is None else gone.where(F.col("used_at") < floor)
 
 
+def usage_details(usage: DataFrame, column: str, schema: str) -> DataFrame:
+    """Of each job, how many usage rows it has (n) and the sum of each number that their JSON column holds by the schema; what is no such JSON adds nothing."""
+    told = usage.select("job_id", F.from_json(column, schema).alias("_told"))
+    return told.groupBy("job_id").agg(F.count("*").alias("n"), *[F.sum(F.col("_told")[f.name]).alias(f.name) for f in told.schema["_told"].dataType.fields])
+
+
 def write_clustered(rows: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
     """rows as Parquet in ranges of the key, sorted by it, with a Bloom filter for it: a look-up of one key opens the files whose range has it, and
     in them the row groups whose filter does."""

@@ -82,3 +82,8 @@ def music_regions(events: DataFrame, chapters: DataFrame) -> DataFrame:
     open_ = ended.where(F.col("action") != "stop").select(*key, F.col("idx").alias("start_idx"), (F.coalesce("next", "n_spans") - 1).alias("end_idx"), "mood", "energy").where("end_idx >= start_idx")
     silent = chapters.where("n_spans > 0").join(open_.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("start_idx"), (F.col("n_spans") - 1).alias("end_idx"), F.lit(DEFAULT_MOOD).alias("mood"), F.lit(CARRY_ENERGY).alias("energy"))
     return open_.unionByName(silent).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("start_idx")))
+
+
+def line_counts(segments: DataFrame) -> DataFrame:
+    """(speaker, n, first_idx): lines of dialogue of each speaker, and where the first of them stands in its chapter."""
+    return segments.where("kind = 'dialogue'").groupBy("speaker").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))

@@ -78,3 +78,10 @@ def checked_analysis(spans: DataFrame, labels: DataFrame, sfx: DataFrame, music:
     for df, name in zip((*dropped, sfx.where((length != F.col("duration_s")) | (loud != F.col("intensity"))), music.where(energy != F.col("energy"))), ("unknown span", "narration", "further label", "clamped", "clamped"), strict=True):
         problems = problems.unionByName(problem(df, name))
     return Checked(every, valid(sfx).withColumns({"duration_s": length, "intensity": loud}), valid(music).withColumn("energy", energy), problems, invalid)
+
+
+def label_coverage(rows: DataFrame, labels: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, n, labelled, share): how many rows of each group there are, how many of them have a label, and which share that is. A key with several labels counts once for each."""
+    has = labels.select(key, F.lit(True).alias("_has"))
+    told = rows.join(has, key, "left").groupBy(by).agg(F.count("*").alias("n"), F.count("_has").alias("labelled"))
+    return told.withColumn("share", F.col("labelled") / F.col("n"))

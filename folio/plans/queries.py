@@ -14,7 +14,7 @@ from folio import schema as S
 from folio.functions import signal, text as T
 from folio.functions.arrays import merged_maps
 from folio.functions.keys import content_key, stable_seed
-from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline
+from folio.operators import attribution, cache, casting, characters, effects, estimate as est, ledger, script, segment, selection, speech, timeline, validate
 from folio.sources import books, sinks
 from folio.streaming import ledger as stream
 
@@ -69,7 +69,7 @@ def usage_nested(spark, sf_dir):
 
 @query("SELECT user_id AS job_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
 def usage_props_json(spark, sf_dir):
-    return usage_rows(spark, sf_dir).groupBy("job_id").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("k"))
+    return ledger.usage_details(usage_rows(spark, sf_dir), "props", "k long")
 
 
 @query("SELECT event_id AS id, round(CASE WHEN event_type = 'view' THEN 0 ELSE value * CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE 0.5 END END, 6) AS cost_usd FROM events")
@@ -108,9 +108,9 @@ def reset_stages(spark, sf_dir):
     return ledger.reset_stages_from(stage_rows(spark, sf_dir), "cast")
 
 
-@query("SELECT o_orderkey AS job_id, s.k::INT AS ordinal, ['ingest', 'analyze', 'cast', 'render', 'finalize'][s.k + 1] AS stage, 'pending' AS state FROM orders, range(5) s(k) WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey AS job_id, s.k::INT AS ordinal, ['ingest', 'analyze', 'cast', 'render', 'finalize'][s.k + 1] AS stage, 'pending' AS state FROM orders, range(5) s(k)")
 def new_job_stages(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return ledger.new_job_stages(jobs).select("job_id", "ordinal", "stage", "state")
 
 
@@ -147,10 +147,10 @@ def appended_events(spark, sf_dir):
     return ledger.numbered_events(new, 100, ["ts", "event_id"]).select("id", "event_id")
 
 
-@query("""SELECT o_custkey AS source_sha256, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1""")
+@query("""SELECT o_custkey AS source_sha256, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1""")
 def newest_jobs(spark, sf_dir):
     jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_sha256"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    files = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("source_sha256"))
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_sha256"))
     return ledger.newest_job(jobs, files)
 
 
@@ -227,8 +227,8 @@ def content_keys(spark, sf_dir):
 
 @query("SELECT d.source, count(*) AS n, count(l.doc_id) AS labelled, round(count(l.doc_id)::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
 def label_coverage(spark, sf_dir):
-    d, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("has"))
-    return d.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("has").alias("labelled")).withColumn("share", F.round(F.col("labelled") / F.col("n"), 6))
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id")
+    return validate.label_coverage(d, labels, "doc_id", "source").withColumn("share", F.round("share", 6))
 
 
 @query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '  Mr.  ' WHEN 1 THEN 'old ' ELSE '' END || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN '   van ' || c_name ELSE '' END AS name FROM customer),
@@ -307,7 +307,7 @@ def voice_timeline(spark, sf_dir):
 
 @query("SELECT CASE WHEN role = 'system' THEN 'NARRATOR' ELSE role END AS speaker, count(*) AS n, min(turn)::INT AS first_idx FROM conversations WHERE role <> 'system' GROUP BY 1")
 def line_counts(spark, sf_dir):
-    return segments(spark, sf_dir).where("kind = 'dialogue'").groupBy("speaker").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+    return script.line_counts(segments(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS book_id, turn // 2 AS para, role FROM conversations WHERE role <> 'system')
@@ -553,17 +553,14 @@ def styled_spans(spark, sf_dir):
 @query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)', 1)) AS name FROM documents) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
 def name_candidates(spark, sf_dir):
     """Capitalised words of ASCII letters in every document."""
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)"), F.lit(1))).alias("name"))
-    per_doc = names.groupBy("name", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
+    docs = table(spark, sf_dir, "documents")
+    return T.word_tally(docs, "doc_id", F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][a-z]+)"), F.lit(1)))
 
 
 @query(f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '{T.NAME}', 1)) AS name FROM documents) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY 1""")
 def name_candidates_all(spark, sf_dir):
     """name_candidates over every document, whatever its lang, and with names in any script."""
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.names(F.col("text"))).alias("name"))
-    per_doc = names.groupBy("name", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("name").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
+    return T.word_tally(table(spark, sf_dir, "documents"), "doc_id", T.names(F.col("text")))
 
 
 #: What narration says around a quote, one after the other by turn.
