@@ -264,8 +264,9 @@ def encode(docs: DataFrame, model: Pieces | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
-    """encoded with decoded: the text of each row's ids; null for null ids. Null or unknown ids in an array are skipped.
-    A column named decoded is replaced; all others pass through."""
+    """encoded with decoded: the text of each row's ids; null for null ids. Null or unknown ids in an array are skipped, and no ids
+    are an empty text. Repeated rows get equal results, and an empty table gives an empty one. Lists of any length are decoded whole.
+    A column named decoded, in any letter case, is replaced; all others pass through."""
     encoded = replaced(encoded, ["decoded"])
     shared = encoded.sparkSession.sparkContext.broadcast(model or load_pieces())
 
