@@ -31,6 +31,8 @@ STRIPE_BYTES = 64 << 20
 RUN_BYTES, STEP_BYTES, RUN_SEGMENTS = 16 << 20, 2 << 20, 1 << 18
 #: Pairs of a stripe that are scored in one task, about.
 SLICE_PAIRS = 1 << 21
+#: Runs, and slices of stripes, that share a task where there are many of them.
+GROUPS_A_TASK = 4
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -259,6 +261,12 @@ def striped_counts(pairs: DataFrame, width: int, height: int, stripes: int) -> D
     return mine.mapInArrow(count, "stripe int, b int, best long, xs array<int>, ns array<long>")
 
 
+def _spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as there are GROUPS_A_TASK groups, where those are more than Spark would use."""
+    tasks = groups // GROUPS_A_TASK
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _scores(pairs: DataFrame, counts: DataFrame, width: int, height: int, stripes: int, slice_pairs: int) -> DataFrame:
     """run, stripe, ns, best: in the order of the run's pairs in a stripe, corpus-wide counts and whether they are their B id's highest."""
     rows = -(-height // stripes)
@@ -279,6 +287,8 @@ def _scores(pairs: DataFrame, counts: DataFrame, width: int, height: int, stripe
         return pa.table({"run": left.column("run"), "stripe": left.column("stripe"), "ns": _lists(n, sizes, np.int64), "best": _lists(n == best[row], sizes, bool)})
 
     keys = ("stripe", "slice")
+    groups = sum(max(1, -(-n // slice_pairs)) for n in sizes.values())
+    asked, known = _spread(asked, groups, *keys), _spread(known, groups, *keys)
     return asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(score, "run long, stripe int, ns array<long>, best array<boolean>")
 
 
@@ -324,6 +334,8 @@ def align(docs: DataFrame, a: BytePairs | None = None, b: PieceSide | None = Non
         return mine.select(out).append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
 
     schema = T.StructType([rest.schema[k] for k in out] + [T.StructField(k, T.LongType()) for k in MEASURES[4:]])
+    runs = kept.where(F.col("kind") == _SEGMENTS).count()
+    rest, scores = _spread(rest, runs, "run"), _spread(scores, runs, "run")
     joined = rest.groupBy("run").cogroup(scores.groupBy("run")).applyInArrow(finish, schema)
     fields = [F.col("row")[f.name].alias(f.name) for f in rest.schema["row"].dataType.fields]
     return joined.select(*fields, *MEASURES, *[F.col(n).alias(k) for n, k in zip(names, digests, strict=True)])

@@ -90,7 +90,7 @@ def test_against_plain(spark, sides, rows):
 
 
 def test_many_runs_stripes_and_slices(spark, sides, rows, monkeypatch):
-    for name, value in (("RUN_BYTES", 2000), ("STEP_BYTES", 500), ("RUN_SEGMENTS", 40)):
+    for name, value in (("RUN_BYTES", 2000), ("STEP_BYTES", 500), ("RUN_SEGMENTS", 40), ("GROUPS_A_TASK", 1)):
         monkeypatch.setattr(alignment, name, value)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     found = alignment.align(docs, *sides, stripe_bytes=1 << 30, slice_pairs=100)
