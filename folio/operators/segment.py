@@ -51,14 +51,18 @@ def scene_flags(blocks: DataFrame) -> DataFrame:
 def headings(paras: DataFrame) -> DataFrame:
     """paras with title (null for text). With two strong headings in a book, a line in capitals is a heading only if it
     follows a kept one directly or ends the book: a run of heading lines is kept from its first strong one on."""
+    return _kept_headings(paras.withColumns({"_title": T.heading_title(F.col("text")), "_strong": T.strong_heading(F.col("text"))}))
+
+
+def _kept_headings(found: DataFrame) -> DataFrame:
+    """The rows with title, from _title (what a line would be called as a heading) and _strong; neither text nor these columns are needed any more."""
     order, book = Window.partitionBy("book_id").orderBy("para"), Window.partitionBy("book_id")
-    found = paras.withColumns({"_title": T.heading_title(F.col("text")), "_strong": T.strong_heading(F.col("text"))})
     is_head = F.col("_title").isNotNull()
     run = found.withColumn("_run", F.sum((~is_head).cast("int")).over(order)).withColumns({"_n_strong": F.sum(F.col("_strong").cast("int")).over(book), "_last": F.max("para").over(book)})
     before = F.max(F.when(F.col("_title").isNotNull(), F.col("_strong").cast("int"))).over(Window.partitionBy("book_id", "_run").orderBy("para"))
     kept = (F.col("_n_strong") < 2) | (before == 1) | (F.col("para") == F.col("_last"))
     out = run.withColumn("title", F.when(is_head & kept, F.col("_title")))
-    return out.select(*paras.columns, "title")
+    return out.select(*[c for c in found.columns if c not in ("_title", "_strong")], "title")
 
 
 def sections(headed: DataFrame) -> DataFrame:
@@ -89,14 +93,17 @@ def synthetic_parts(paras: DataFrame, part_words: int = PART_WORDS) -> DataFrame
 def detect_chapters(paras: DataFrame) -> DataFrame:
     """(book_id, ch, title, para, text, scene_break_before): headings open chapters, short ones are merged, text before the first
     heading is a Prologue if it has prose (its first short paragraph is the book's name), and a book with fewer than two headings is cut into parts."""
-    headed = sections(headings(paras)).withColumn("words", T.word_count(F.col("text")))
+    # All windows are over what is known of a paragraph; its text is joined at the end, once.
+    text = F.col("text")
+    light = paras.select("book_id", "para", "scene_break_before", F.length("text").alias("chars"), T.word_count(text).alias("words"), T.heading_title(text).alias("_title"), T.strong_heading(text).alias("_strong"))
+    headed = sections(_kept_headings(light))
     book = Window.partitionBy("book_id")
-    names = (F.col("section") == 0) & (F.length("text") <= T.MAX_HEADING_CHARS) & (F.col("words") <= T.MAX_TITLE_WORDS)
+    names = (F.col("section") == 0) & (F.col("chars") <= T.MAX_HEADING_CHARS) & (F.col("words") <= T.MAX_TITLE_WORDS)
     headed = headed.withColumn("_name", F.min(F.when(names, F.col("para"))).over(book))
     counted = headed.withColumn("_heads", F.sum(F.col("title").isNotNull().cast("int")).over(book))
     none = counted.where("_heads < 2")
-    parts = synthetic_parts(none.select("book_id", "para", "text", "scene_break_before", "words"))
-    cut = parts.select("book_id", (F.col("part") + 1).alias("ch"), F.concat(F.lit("Part "), (F.col("part") + 1).cast("string")).alias("title"), "para", "text", "scene_break_before")
+    parts = synthetic_parts(none.select("book_id", "para", "scene_break_before", "words"))
+    cut = parts.select("book_id", (F.col("part") + 1).alias("ch"), F.concat(F.lit("Part "), (F.col("part") + 1).cast("string")).alias("title"), "para", "scene_break_before")
     some = counted.where("_heads >= 2").where(~F.col("para").eqNullSafe(F.col("_name")))
     size = some.groupBy("book_id", "section").agg(F.max("title").alias("title"), F.sum(F.when(F.col("title").isNull(), F.col("words")).otherwise(0)).alias("words"), F.max(F.when(F.col("title").isNull(), F.col("words"))).alias("longest"))
     size = size.where((F.col("section") > 0) | (F.col("longest") > T.MAX_TITLE_WORDS) | (F.col("words") > MIN_CHAPTER_WORDS)).withColumn("title", F.coalesce("title", F.lit("Prologue")))
@@ -104,7 +111,8 @@ def detect_chapters(paras: DataFrame) -> DataFrame:
     name = F.coalesce(F.max_by("title", F.when(F.col("words") >= MIN_CHAPTER_WORDS, F.col("ch"))), F.min_by("title", "ch"))
     titles = grouped.groupBy("book_id", "group").agg(name.alias("chapter_title"))
     body = some.where("title is null").drop("title", "_name").join(grouped.select("book_id", F.col("ch").alias("section"), "group"), ["book_id", "section"]).join(titles, ["book_id", "group"])
-    return cut.unionByName(body.select("book_id", (F.col("group") + 1).alias("ch"), F.col("chapter_title").alias("title"), "para", "text", "scene_break_before"))
+    placed = cut.unionByName(body.select("book_id", (F.col("group") + 1).alias("ch"), F.col("chapter_title").alias("title"), "para", "scene_break_before"))
+    return placed.join(paras.select("book_id", "para", "text"), ["book_id", "para"]).select("book_id", "ch", "title", "para", "text", "scene_break_before")
 
 
 def quote_style(paras: DataFrame) -> DataFrame:
