@@ -28,7 +28,7 @@ MARKER = "▁"
 #: Bytes of a stripe's dense block of counts.
 STRIPE_BYTES = 64 << 20
 #: Text of a run (one longer text is a run by itself) and of a step in it; distinct segments that a run may hold.
-RUN_BYTES, STEP_BYTES, RUN_SEGMENTS = 16 << 20, 2 << 20, 1 << 18
+RUN_BYTES, STEP_BYTES, RUN_SEGMENTS = 16 << 20, 1 << 20, 1 << 18
 #: Pairs of a stripe that are scored in one task, about.
 SLICE_PAIRS = 1 << 21
 #: Runs, and slices of stripes, that share a task where there are many of them.
@@ -172,7 +172,7 @@ def coded_runs(docs: DataFrame, a: BytePairs, b: PieceSide, stripes: int) -> Dat
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[name].cast(t) if name in columns else pa.nulls(n, t) for name, t in arrow.items()], list(arrow))
 
-    def documents(part: pa.RecordBatch, aligner: Aligner, run: int, total: list[np.ndarray]) -> pa.RecordBatch:
+    def documents(part: pa.RecordBatch, aligner: Aligner, run: int) -> tuple[pa.RecordBatch, np.ndarray]:
         code, n = aligner.codes(part.column("text"))
         owner = np.repeat(np.arange(part.num_rows), n)
         add = lambda weights: np.bincount(owner, weights=weights, minlength=part.num_rows).astype(np.int64)
@@ -184,16 +184,13 @@ def coded_runs(docs: DataFrame, a: BytePairs, b: PieceSide, stripes: int) -> Dat
         groups = ["".join([text[c] for c in listed[lo:hi]])[:-1] for lo, hi in zip((cuts - n).tolist(), cuts.tolist(), strict=True)]
         span = max(len(aligner.text), 1)
         distinct, times = np.unique(owner * span + code, return_counts=True)
-        total.append(np.bincount(code, minlength=span))
         per_doc = np.bincount(distinct // span, minlength=part.num_rows)
         measures = {k: pa.array(add(aligner.measures[j][code])) for j, k in enumerate(MEASURES[:4])}
         fixed = {"run": pa.array(np.full(part.num_rows, run)), "kind": pa.array(np.full(part.num_rows, _DOC))}
-        return batch_of(part.num_rows, **fixed, **measures, xs=_lists(distinct % span, per_doc), ys=_lists(times, per_doc), groups=pa.array(groups, pa.string()), row=part.column("row"))
+        rows = batch_of(part.num_rows, **fixed, **measures, xs=_lists(distinct % span, per_doc), ys=_lists(times, per_doc), groups=pa.array(groups, pa.string()), row=part.column("row"))
+        return rows, np.bincount(code, minlength=span)
 
-    def closing(aligner: Aligner, run: int, total: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(len(aligner.text), np.int64)
-        for t in total:
-            times[: len(t)] += t[: len(times)]
+    def closing(aligner: Aligner, run: int, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(times)
         links, n = aligner.store.lists(used)
         pairs, at = np.unique(links, return_inverse=True)
@@ -210,19 +207,22 @@ def coded_runs(docs: DataFrame, a: BytePairs, b: PieceSide, stripes: int) -> Dat
         yield batch_of(1, **fixed(1, _SEGMENTS), xs=one(used), ys=one(n), ns=one(place[at]))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number, size, total = Aligner(*shared.value), 0, 0, []
+        aligner, number, size, times = Aligner(*shared.value), 0, 0, None  # times: of each segment in the run
         first = TaskContext.get().partitionId() << 32
         for part in chunks(batches, size=STEP_BYTES):
             bytes_ = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if total and (size + bytes_ > RUN_BYTES or len(aligner.text) > RUN_SEGMENTS):
-                yield from closing(aligner, first + number, total)
-                number, size, total = number + 1, 0, []
+            if times is not None and (size + bytes_ > RUN_BYTES or len(aligner.text) > RUN_SEGMENTS):
+                yield from closing(aligner, first + number, times)
+                number, size, times = number + 1, 0, None
                 if len(aligner.text) > RUN_SEGMENTS:
                     aligner.clear()
-            yield documents(part, aligner, first + number, total)
-            size += bytes_
-        if total:
-            yield from closing(aligner, first + number, total)
+            rows, more = documents(part, aligner, first + number)
+            yield rows
+            if times is not None:
+                more[: len(times)] += times
+            times, size = more, size + bytes_
+        if times is not None:
+            yield from closing(aligner, first + number, times)
 
     return shaped.mapInArrow(code, T.StructType(fields))
 
