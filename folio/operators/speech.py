@@ -11,16 +11,18 @@ from folio.operators.timeline import neighbour_text
 SETTINGS = ("stability", "similarity_boost", "style", "speed", "pitch_shift")
 
 
-def split_text(text: Column, max_chars: int) -> Column:
+def split_text(text: Column, max_chars: int, whole_sentences: bool = False) -> Column:
     """A text as an array of pieces of at most max_chars: whole sentences packed as long as they fit. A sentence that is too long is
-    cut at its last blank that leaves a shorter piece, or else at max_chars; what is left of it is packed with what follows. A text that fits is one piece,
-    an empty one none."""
+    cut at its last blank that leaves a shorter piece, or else at max_chars; what is left of it is packed with what follows. With whole_sentences it is not cut: it is a
+    piece of its own, longer than max_chars. A text that fits is one piece, an empty one none."""
     trimmed = F.trim(text)
     sentences = F.split(trimmed, r"(?<=[.!?])\s+")
     parts = F.lit(rf"(?s)\S.{{0,{max_chars - 1}}}$|\S.{{0,{max(0, max_chars - 2)}}}(?= )|\S.{{0,{max_chars - 1}}}")
     # Parts of a sentence that is too long are pieces of their own, but for its last one.
     told = F.flatten(F.transform(sentences, lambda s: F.transform(F.when(F.length(s) <= max_chars, F.array(s)).otherwise(F.regexp_extract_all(s, parts, F.lit(0))), lambda x: F.trim(x))))
     alone = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= max_chars, F.array(F.lit(False))).otherwise(F.transform(F.regexp_extract_all(s, parts, F.lit(0)), lambda x, k: k < F.size(F.regexp_extract_all(s, parts, F.lit(0))) - 1))))
+    if whole_sentences:
+        told, alone = sentences, F.transform(sentences, lambda s: F.lit(False))
     empty = F.array().cast("array<string>")
     start = F.struct(F.lit("").alias("open"), empty.alias("out"))
 
@@ -47,14 +49,14 @@ def with_voices(segments: DataFrame, cast: DataFrame) -> DataFrame:
     return found.select(*segments.columns, *[F.col(f"_voice.{c}").alias(c) for c in own])
 
 
-def plan_tts(segments: DataFrame, cast: DataFrame, max_chars: int, family: str = "basic", version: str = "1") -> DataFrame:
+def plan_tts(segments: DataFrame, cast: DataFrame, max_chars: int, family: str = "basic", version: str = "1", whole_sentences: bool = False) -> DataFrame:
     """(book_id, ch, idx, span_id, piece, text, voice_id, settings, emotion, delivery, previous_text, next_text, seed, clip_key): a row
     for each piece of each segment that has text. The text before and after a piece is that of its segment, or of the same speaker's nearest segment
-    (see timeline.neighbour_text), as far as S.NEIGHBOUR_CHARS reach."""
+    (see timeline.neighbour_text), as far as S.NEIGHBOUR_CHARS reach. whole_sentences: as of split_text."""
     from folio.operators.casting import settings_for
 
     spoken = settings_for(with_voices(neighbour_text(segments, S.NEIGHBOUR_CHARS), cast))
-    cut = spoken.withColumn("pieces", split_text(F.col("text"), max_chars)).select("*", F.posexplode_outer("pieces").alias("piece", "said")).where(F.col("said").isNotNull())
+    cut = spoken.withColumn("pieces", split_text(F.col("text"), max_chars, whole_sentences)).select("*", F.posexplode_outer("pieces").alias("piece", "said")).where(F.col("said").isNotNull())
     before = F.when(F.col("piece") > 0, F.right(F.element_at("pieces", F.col("piece")), F.lit(S.NEIGHBOUR_CHARS))).otherwise(F.col("previous_text"))
     after = F.when(F.col("piece") + 1 < F.size("pieces"), F.left(F.try_element_at("pieces", F.col("piece") + 2), F.lit(S.NEIGHBOUR_CHARS))).otherwise(F.col("next_text"))
     asked = request(
