@@ -52,10 +52,11 @@ def current_rows(changes: DataFrame, key: str = "id", at: str = "updated_at") ->
 
 
 def overall_progress(stages: DataFrame) -> DataFrame:
-    """Weighted progress in percent from (job_id, stage, state, done, total)."""
+    """Weighted progress in percent from (job_id, stage, state, done, total). The sum is rounded to 12 places first: its error is below that, so that a
+    half rounds up whatever the order of the stages."""
     weight = F.create_map(*[F.lit(x) for pair in zip(STAGES, STAGE_WEIGHTS, strict=True) for x in pair])[F.col("stage")]
     share = F.when(F.col("state").isin("done", "skipped"), 1.0).when(F.col("total") > 0, F.least(F.lit(1.0), F.col("done") / F.col("total"))).otherwise(0.0)
-    return stages.groupBy("job_id").agg(F.round(F.least(F.lit(100.0), F.sum(weight * share)), 1).alias("percent"))
+    return stages.groupBy("job_id").agg(F.round(F.round(F.least(F.lit(100.0), F.sum(weight * share)), 12), 1).alias("percent"))
 
 
 def new_job_stages(jobs: DataFrame) -> DataFrame:
