@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.schema import STAGES, STAGE_WEIGHTS
 from folio.sources.stored import stored
@@ -18,8 +18,16 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     )
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles as their decimals add up, the same in any order of rows. Where some value has more than ten places, is no number or is too large,
+    it is the sum of doubles."""
+    exact = value.try_cast("decimal(28,10)")
+    fits = F.count(value) == F.count_if(exact.cast("double") == value)
+    return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(value))
+
+
 def usage_by_capability(usage: DataFrame) -> DataFrame:
-    return usage.groupBy("job_id", "capability", "unit_type").agg(F.sum("units").alias("units"))
+    return usage.groupBy("job_id", "capability", "unit_type").agg(exact_sum(F.col("units")).alias("units"))
 
 
 def usage_nested(usage: DataFrame) -> DataFrame:
