@@ -20,6 +20,8 @@ from folio.functions import text as T
 SUFFIXES = ("txt", "md", "markdown", "epub")
 #: Words of a book at least, and of a document before the first section; how much shorter a paragraph's last line is.
 MIN_WORDS, FRONT_WORDS, SHORT_LINE = 50, 100, 0.6
+#: Pages that are parsed at a time.
+PAGES_AT_ONCE = 64
 _BLOCKS = {"p", "div", "li", "ul", "ol", "blockquote", "section", "article", "table", "tr", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "body"}
 _SKIPPED = {"script", "style", "head", "title"}
 
@@ -79,16 +81,19 @@ def html_blocks(html: str | None) -> list[tuple[str, str]]:
     return parser.out
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, n, kind, text) of pages (page_id, html)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, n, kind, text) for p, h in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for n, (kind, text) in enumerate(html_blocks(h))]
+def parsed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages. PAGES_AT_ONCE pages of a batch are parsed and given on at a time, so that a task holds their blocks and not those of all the batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            some = batch.slice(start, PAGES_AT_ONCE)
+            rows = [(p, n, kind, text) for p, h in zip(some.column("page_id").to_pylist(), some.column("html"), strict=True) for n, (kind, text) in enumerate(html_blocks(h.as_py()))]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["page_id", "n", "kind", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, n int, kind string, text string")
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, n, kind, text) of pages (page_id, html)."""
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parsed_pages, "page_id long, n int, kind string, text string")
 
 
 def epub_sections(content: bytes) -> tuple[str | None, list[tuple[str, list[str]]]]:
