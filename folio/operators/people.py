@@ -47,8 +47,12 @@ STOP_WORDS = (
 WORD = r"\p{Lu}\p{M}*(?:['’]?\p{L}\p{M}*)+"
 RUN = rf"(?:(?:{'|'.join(TITLES)})\.? )?{WORD}(?: {WORD})?"
 EACH_RUN = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_'’])({RUN})"
+#: EACH_RUN as it is searched for: what begins with no capital is passed over at once.
+FOUND_RUN = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}_'’])({RUN})"
 ROLE = r"[Tt]he (?:old (?:man|woman)|man|woman|stranger|boy|girl|rider)"
 VERB = rf"(?:{'|'.join(VERBS)})"
+#: Whether a sentence can have a verb of speech beside a run: cheaper than to look for both.
+MAY_TAG = rf"(?:^|[^a-z]){VERB}(?![a-z])"
 #: A sentence with its marks; the point of a short title ends none.
 SENTENCE = r"(?:[^.!?…]*\b(?:Mr|Mrs|Ms|Dr)\. )*[^.!?…]+[.!?…]*"
 
@@ -58,14 +62,18 @@ def plain_name(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, rf"^(?:(?:{'|'.join(TITLES)})\.? )+(?=\p{{Lu}})", ""), "['’]s$", "")
 
 
+def _unended() -> Column:
+    """Whether a span is a quote without a full stop, so that narration behind it goes on."""
+    return F.coalesce(F.col("kind").eqNullSafe("quote") & ~F.trim("text").rlike(r"[.!?…]$"), F.lit(False))
+
+
 def sentences(spans: DataFrame, behind: int = 0) -> DataFrame:
     """spans with each sentence of their text (k, sentence), and `opens`: whether it stands where a sentence begins. Narration that goes on behind
     speech without a full stop does not. behind: so many code points of what follows the sentence are given, too."""
     order = Window.partitionBy("book_id", "ch", "para").orderBy("s")
-    before = F.lag(F.struct("kind", "text")).over(order)
-    goes_on = before["kind"].eqNullSafe("quote") & ~F.trim(before["text"]).rlike(r"[.!?…]$")
+    goes_on = F.coalesce(F.lag("_unended").over(order), F.lit(False))
     parts = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
-    listed = spans.withColumn("_goes_on", goes_on).where("kind = 'narration'").withColumn("_parts", parts)
+    listed = spans.withColumn("_unended", _unended()).withColumn("_goes_on", goes_on).drop("_unended").where("kind = 'narration'").withColumn("_parts", parts)
     # All sentences but the last have two code points at least.
     follows = lambda k: F.substring(F.array_join(F.slice("_parts", k + 2, behind // 2 + 1), ""), 1, behind) if behind else F.lit("")
     each = listed.select("*", F.posexplode(F.transform("_parts", lambda t, k: F.struct(t.alias("own"), follows(k).alias("follows")))).alias("k", "_part"))
@@ -74,16 +82,28 @@ def sentences(spans: DataFrame, behind: int = 0) -> DataFrame:
     return each.withColumns({"sentence": F.ltrim("sentence") if behind else F.trim("sentence"), "opens": (F.col("k") > 0) | ~F.col("_goes_on")}).drop("_goes_on")
 
 
+def _raw_runs(sentence: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
+    """The capitalised runs of a sentence in order, without stop words beside others and a possessive s. One array: whoever explodes it works out each pattern once a run."""
+    stop = f"(?:{'|'.join(stop_words)})" if stop_words else r"(?!)"
+    bare = lambda run: F.regexp_replace(F.regexp_replace(run, rf"^(?:{stop} )+(?=\p{{Lu}})", ""), rf" {stop}$", "")
+    return F.transform(F.regexp_extract_all(sentence, F.lit(FOUND_RUN), F.lit(1)), lambda run: F.regexp_replace(F.when(F.contains(run, F.lit(" ")), bare(run)).otherwise(run), "['’]s$", ""))
+
+
+def _may_name(raw: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
+    stop = f"(?:{'|'.join(stop_words)})" if stop_words else r"(?!)"
+    return ~raw.rlike(f"^{stop}$") & raw.rlike(r"\p{Ll}")
+
+
+def _title(raw: Column) -> Column:
+    return F.lower(F.regexp_extract(raw, rf"^({'|'.join(TITLES)})\.? (?=\p{{Lu}})", 1))
+
+
 def runs(each: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Capitalised runs of sentences (see `sentences`): raw, name (without titles and stop words), title (lower case or ''), j (place among the runs of its
     sentence), and initial (it is the first word of a sentence, so that its capital tells nothing)."""
-    stop = f"(?:{'|'.join(stop_words)})" if stop_words else r"(?!)"
-    found = each.select("*", F.posexplode(F.regexp_extract_all("sentence", F.lit(EACH_RUN), F.lit(1))).alias("j", "run"))
-    raw = F.regexp_replace(F.regexp_replace("run", rf"^(?:{stop} )+(?=\p{{Lu}})", ""), rf" {stop}$", "")
-    named = found.withColumn("raw", F.regexp_replace(raw, "['’]s$", "")).where(~F.col("raw").rlike(f"^{stop}$") & F.col("raw").rlike(r"\p{Ll}"))
-    title = F.lower(F.regexp_extract("raw", rf"^({'|'.join(TITLES)})\.? (?=\p{{Lu}})", 1))
+    named = each.select("*", F.posexplode(_raw_runs(F.col("sentence"), stop_words)).alias("j", "raw")).where(_may_name(F.col("raw"), stop_words))
     initial = F.col("opens") & (F.col("j") == 0) & F.expr("startswith(sentence, raw)")
-    return named.withColumns({"name": plain_name(F.col("raw")), "title": title, "initial": initial}).where(~F.col("name").isin(*TITLES)).drop("run")
+    return named.withColumns({"name": plain_name(F.col("raw")), "title": _title(F.col("raw")), "initial": initial}).where(~F.col("name").isin(*TITLES))
 
 
 def called(quotes: DataFrame) -> DataFrame:
@@ -95,13 +115,6 @@ def called(quotes: DataFrame) -> DataFrame:
     return quotes.withColumn("call", call)
 
 
-def beside_speech(each: DataFrame) -> DataFrame:
-    """(book_id, name): runs beside a verb of speech, and those that narration before a quote of its paragraph begins with."""
-    take = lambda pattern, group: F.regexp_extract_all("sentence", F.lit(pattern), F.lit(group))
-    tags = F.concat(take(rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_'’])({RUN}) {VERB}\b", 1), take(rf"\b{VERB} ({RUN})", 1))
-    return each.select("book_id", F.explode(tags).alias("raw")).select("book_id", plain_name(F.col("raw")).alias("name")).distinct()
-
-
 def harvest(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
     """(book_id, name, n, within, titled, tagged): the names of each book's narration, with how often each stands, how often within a sentence, and whether it
     has had a title or a verb of speech beside it.
@@ -109,14 +122,31 @@ def harvest(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(ST
     spans: book_id, ch, para, s, kind, text. A word that only ever begins sentences counts if it does so twice, if a quote has it too, or beside a verb of
     speech; two words together and words with a title always count. Words that the same book also writes small, and stop words,
     are no names. Null and empty texts have none; repeated rows count again."""
-    each = sentences(spans)
-    small = each.select("book_id", F.explode(F.regexp_extract_all("sentence", F.lit(r"(?:^|[^\p{L}\p{M}\p{N}_'’])(\p{Ll}[\p{L}\p{M}]{2,})"), F.lit(1))).alias("first")).distinct()
-    tally = runs(each, stop_words).groupBy("book_id", "name").agg(F.count("*").alias("n"), F.count_if(~F.col("initial")).alias("within"), F.bool_or(F.col("title") != "").alias("titled"))
-    told = tally.join(beside_speech(each).withColumn("tagged", F.lit(True)), ["book_id", "name"], "left").fillna(False, ["tagged"])
+    narration = spans.where("kind = 'narration'")
+    # No word of letters reaches over the end of a sentence.
+    small = narration.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^\p{L}\p{M}\p{N}_'’])(\p{Ll}[\p{L}\p{M}]{2,})"), F.lit(1))).alias("first"))
+    evidence = lambda raw, n, within, tag: F.struct(raw.alias("raw"), n.cast("long").alias("n"), within.cast("long").alias("within"), tag.alias("tag"))
+    sentence, none, once = F.col("sentence"), F.lit(0), F.lit(1)
+    take = lambda pattern: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1))
+    met = F.transform(_raw_runs(sentence, stop_words), lambda raw, j: evidence(raw, once, ~((j == 0) & F.startswith(sentence, raw)), F.lit(False)))
+    tags = F.when(sentence.rlike(MAY_TAG), F.concat(take(rf"{FOUND_RUN} {VERB}\b"), take(rf"\b{VERB} ({RUN})"))).otherwise(F.array().cast("array<string>"))
+    each = narration.select("book_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda t: F.trim(t))).alias("sentence"))
+    found = each.select("book_id", F.explode(F.concat(met, F.transform(tags, lambda raw: evidence(raw, none, none, F.lit(True))))).alias("x")).select("book_id", "x.*")
+    # What begins narration that goes on behind speech stands within a sentence. Only that run passes the window, not the text.
+    opening = F.trim(F.regexp_extract("text", SENTENCE, 0))
+    lead = F.transform(F.array(opening), lambda t: F.transform(F.array(F.get(_raw_runs(t, stop_words), none)), lambda raw: F.when(F.startswith(t, raw), raw))[0])[0]
+    order = Window.partitionBy("book_id", "ch", "para").orderBy("s")
+    begun = spans.select("book_id", "ch", "para", "s", _unended().alias("unended"), F.when(F.col("kind") == "narration", lead).alias("raw"))
+    begun = begun.withColumn("goes_on", F.lag("unended").over(order)).where("goes_on and raw is not null").select("book_id", evidence(F.col("raw"), none, once, F.lit(False)).alias("x")).select("book_id", "x.*")
+    named = found.unionByName(begun).where(F.col("tag") | _may_name(F.col("raw"), stop_words)).select("book_id", plain_name(F.col("raw")).alias("name"), "n", "within", "tag", (~F.col("tag") & F.col("raw").rlike(rf"^(?:{'|'.join(TITLES)})\.? (?=\p{{Lu}})")).alias("titled"))
+    tally = named.groupBy("book_id", "name").agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.bool_or("titled").alias("titled"), F.bool_or("tag").alias("tagged"))
+    told = tally.where((F.col("n") > 0) & ~F.col("name").isin(*TITLES))
     said = spans.where("kind = 'quote'").select("book_id", F.explode(F.regexp_extract_all("text", F.lit(EACH_RUN), F.lit(1))).alias("raw")).select("book_id", plain_name(F.col("raw")).alias("name")).distinct()
     told = told.join(said.withColumn("said", F.lit(True)), ["book_id", "name"], "left")
-    first = F.lower(F.split("name", " ")[0])
-    known = told.withColumn("first", first).join(small, ["book_id", "first"], "left_anti").drop("first")
+    told = stored(told.withColumn("first", F.lower(F.split("name", " ")[0])), "told")
+    # Small words are many and names few: words are dealt out once and only looked up, and those that are a name's come back.
+    written_small = small.join(told.select("book_id", "first").distinct().hint("shuffle_hash"), ["book_id", "first"], "left_semi").distinct()
+    known = told.join(written_small, ["book_id", "first"], "left_anti")
     return known.where((F.size(F.split("name", " ")) > 1) | F.col("titled") | (F.col("within") > 0) | F.col("tagged") | (F.col("n") > 1) | F.col("said").isNotNull()).select("book_id", "name", "n", "within", "titled", "tagged")
 
 
