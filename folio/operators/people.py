@@ -181,20 +181,24 @@ def traits(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STO
     searched, PRONOUN_CHARS at most; ages are taken from its first sentence. titled: forms of the name with a title."""
     met = runs(sentences(spans, PRONOUN_CHARS), stop_words)
     at = F.regexp_instr("sentence", F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])"), F.col("raw"), F.lit(r"(?![\p{L}\p{M}\p{N}_])")))
-    placed = met.withColumn("at", at).where("at > 0").withColumns({"before": F.expr("substring(sentence, 1, at - 1)"), "from_name": F.concat(F.expr("substring(sentence, at)"), "follows")})
+    # Each step stands behind an explode of one row, so that what later steps ask for several times is worked out once.
+    once = lambda df, **found: df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))).alias("_x")).select("*", "_x.*").drop("_x")
+    placed = once(met.select("book_id", "ch", "para", "s", "k", "sentence", "follows", "raw", "name", "title"), at=at).where("at > 0").withColumns({"before": F.expr("substring(sentence, 1, at - 1)"), "from_name": F.concat(F.expr("substring(sentence, at)"), "follows")})
     placed = placed.withColumn("after", F.expr(f"substring(from_name, length(raw) + 1, {PRONOUN_CHARS})"))
     other = r"(?s)(?:(?<=[\p{L}\p{M}\p{N},;:])\s|(?<=[.!?…])\s+(?!(?:He|She|His|Her|Him|Himself|Herself|They|Their|It|Its)\b))\p{Lu}\p{L}.*$"
     near = F.regexp_replace("after", other, "")
     kin = F.lower(F.regexp_extract("before", r"(\p{L}+)\.?\s+$", 1))
-    kin = F.when(F.col("title").isin(*FEMALE_KIN, *MALE_KIN), F.col("title")).otherwise(kin)
     pronoun = F.lower(F.regexp_extract(near, r"(?i)\b(he|his|she|her)\b", 1))
+    about = F.regexp_extract("from_name", rf"^{RUN}(?:, who [^,.;]+|,? (?:was|is|were) [^,.;]+)", 0)
+    first = F.regexp_replace(F.regexp_extract(F.substring("after", 1, AGE_CHARS), r"(?s)^.*?(?:[.!?](?=\s)|$)", 0), rf"(?i)\b{ROLE}\b", "")
+    placed = once(placed, kin=kin, pronoun=pronoun, about=about, first=first)
+    kin, pronoun, about, first = F.when(F.col("title").isin(*FEMALE_KIN, *MALE_KIN), F.col("title")).otherwise(F.col("kin")), F.col("pronoun"), F.col("about"), F.col("first")
     gender = F.when(kin.isin(*FEMALE_KIN), "female").when(kin.isin(*MALE_KIN), "male")
     guess = F.when(pronoun.isin("he", "his"), "male").when(pronoun.isin("she", "her"), "female")
-    first = F.regexp_replace(F.regexp_extract(F.substring("after", 1, AGE_CHARS), r"(?s)^.*?(?:[.!?](?=\s)|$)", 0), rf"(?i)\b{ROLE}\b", "")
     age = F.when(F.col("title") == "old", "elderly")
     for pattern, what in AGE_WORDS:
         age = age.when(first.rlike(f"(?i){pattern}"), what)
-    about = F.regexp_extract("from_name", rf"^{RUN}(?:, who [^,.;]+|,? (?:was|is|were) [^,.;]+)", 0)
+    placed, age = once(placed, age=age), F.col("age")
     when = F.struct("ch", "para", "s", "k", "at")
     told = lambda rank, what: F.when(what.isNotNull(), F.struct(rank.alias("rank"), when.alias("when"), what.alias("what")))
     evidence = placed.select(
