@@ -63,8 +63,8 @@ def plain_name(raw: Column) -> Column:
 
 
 def _unended() -> Column:
-    """Whether a span is a quote without a full stop, so that narration behind it goes on."""
-    return F.coalesce(F.col("kind").eqNullSafe("quote") & ~F.trim("text").rlike(r"[.!?…]$"), F.lit(False))
+    """Whether a span is a quote without a full stop, so that narration behind it goes on. A line may end behind the stop: two code points at most."""
+    return F.coalesce(F.col("kind").eqNullSafe("quote") & ~F.right(F.trim("text"), F.lit(3)).rlike(r"[.!?…]$"), F.lit(False))
 
 
 def sentences(spans: DataFrame, behind: int = 0) -> DataFrame:
@@ -82,14 +82,14 @@ def sentences(spans: DataFrame, behind: int = 0) -> DataFrame:
     return each.withColumns({"sentence": F.ltrim("sentence") if behind else F.trim("sentence"), "opens": (F.col("k") > 0) | ~F.col("_goes_on")}).drop("_goes_on")
 
 
-def _raw_runs(sentence: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
+def raw_runs(sentence: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
     """The capitalised runs of a sentence in order, without stop words beside others and a possessive s. One array: whoever explodes it works out each pattern once a run."""
     stop = f"(?:{'|'.join(stop_words)})" if stop_words else r"(?!)"
     bare = lambda run: F.regexp_replace(F.regexp_replace(run, rf"^(?:{stop} )+(?=\p{{Lu}})", ""), rf" {stop}$", "")
     return F.transform(F.regexp_extract_all(sentence, F.lit(FOUND_RUN), F.lit(1)), lambda run: F.regexp_replace(F.when(F.contains(run, F.lit(" ")), bare(run)).otherwise(run), "['’]s$", ""))
 
 
-def _may_name(raw: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
+def may_name(raw: Column, stop_words: tuple[str, ...] | list[str]) -> Column:
     stop = f"(?:{'|'.join(stop_words)})" if stop_words else r"(?!)"
     return ~raw.rlike(f"^{stop}$") & raw.rlike(r"\p{Ll}")
 
@@ -101,18 +101,18 @@ def _title(raw: Column) -> Column:
 def runs(each: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Capitalised runs of sentences (see `sentences`): raw, name (without titles and stop words), title (lower case or ''), j (place among the runs of its
     sentence), and initial (it is the first word of a sentence, so that its capital tells nothing)."""
-    named = each.select("*", F.posexplode(_raw_runs(F.col("sentence"), stop_words)).alias("j", "raw")).where(_may_name(F.col("raw"), stop_words))
+    named = each.select("*", F.posexplode(raw_runs(F.col("sentence"), stop_words)).alias("j", "raw")).where(may_name(F.col("raw"), stop_words))
     initial = F.col("opens") & (F.col("j") == 0) & F.expr("startswith(sentence, raw)")
     return named.withColumns({"name": plain_name(F.col("raw")), "title": _title(F.col("raw")), "initial": initial}).where(~F.col("name").isin(*TITLES))
 
 
-def called(quotes: DataFrame) -> DataFrame:
-    """(all columns, call): the name that a quote addresses: the quote is that word alone, or a sentence of it begins or ends with it behind or before a comma."""
-    alone = F.regexp_extract("text", rf"^({WORD})[!,]$", 1)
-    within = F.regexp_extract("text", rf"(?:^|[.!?…] )({WORD}), |, ({WORD})[.!?…]*(?:$| \p{{Lu}})", 1)
-    at_end = F.regexp_extract("text", rf", ({WORD})[.!?…]*(?:$| \p{{Lu}})", 1)
-    call = F.coalesce(*[F.when(c != "", c) for c in (alone, at_end, within)])
-    return quotes.withColumn("call", call)
+def called(text: Column) -> Column:
+    """The name that a quote addresses: the quote is that word alone, or a sentence of it begins or ends with it behind or before a comma."""
+    alone = F.regexp_extract(text, rf"^({WORD})[!,]$", 1)
+    within = F.regexp_extract(text, rf"(?:^|[.!?…] )({WORD}), |, ({WORD})[.!?…]*(?:$| \p{{Lu}})", 1)
+    at_end = F.regexp_extract(text, rf", ({WORD})[.!?…]*(?:$| \p{{Lu}})", 1)
+    found = F.when(F.contains(text, F.lit(", ")), F.array(alone, at_end, within)).otherwise(F.array(alone))
+    return F.get(F.filter(found, lambda call: call != ""), F.lit(0))
 
 
 def harvest(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
@@ -128,20 +128,20 @@ def harvest(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(ST
     evidence = lambda raw, n, within, tag: F.struct(raw.alias("raw"), n.cast("long").alias("n"), within.cast("long").alias("within"), tag.alias("tag"))
     sentence, none, once = F.col("sentence"), F.lit(0), F.lit(1)
     take = lambda pattern: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1))
-    met = F.transform(_raw_runs(sentence, stop_words), lambda raw, j: evidence(raw, once, ~((j == 0) & F.startswith(sentence, raw)), F.lit(False)))
+    met = F.transform(raw_runs(sentence, stop_words), lambda raw, j: evidence(raw, once, ~((j == 0) & F.startswith(sentence, raw)), F.lit(False)))
     tags = F.when(sentence.rlike(MAY_TAG), F.concat(take(rf"{FOUND_RUN} {VERB}\b"), take(rf"\b{VERB} ({RUN})"))).otherwise(F.array().cast("array<string>"))
     each = narration.select("book_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda t: F.trim(t))).alias("sentence"))
     found = each.select("book_id", F.explode(F.concat(met, F.transform(tags, lambda raw: evidence(raw, none, none, F.lit(True))))).alias("x")).select("book_id", "x.*")
     # What begins narration that goes on behind speech stands within a sentence. Only that run passes the window, not the text.
     opening = F.trim(F.regexp_extract("text", SENTENCE, 0))
-    lead = F.transform(F.array(opening), lambda t: F.transform(F.array(F.get(_raw_runs(t, stop_words), none)), lambda raw: F.when(F.startswith(t, raw), raw))[0])[0]
+    lead = F.transform(F.array(opening), lambda t: F.transform(F.array(F.get(raw_runs(t, stop_words), none)), lambda raw: F.when(F.startswith(t, raw), raw))[0])[0]
     order = Window.partitionBy("book_id", "ch", "para").orderBy("s")
     begun = spans.select("book_id", "ch", "para", "s", _unended().alias("unended"), F.when(F.col("kind") == "narration", lead).alias("raw"))
     begun = begun.withColumn("goes_on", F.lag("unended").over(order)).where("goes_on and raw is not null").select("book_id", evidence(F.col("raw"), none, once, F.lit(False)).alias("x")).select("book_id", "x.*")
-    named = found.unionByName(begun).where(F.col("tag") | _may_name(F.col("raw"), stop_words)).select("book_id", plain_name(F.col("raw")).alias("name"), "n", "within", "tag", (~F.col("tag") & F.col("raw").rlike(rf"^(?:{'|'.join(TITLES)})\.? (?=\p{{Lu}})")).alias("titled"))
+    named = found.unionByName(begun).where(F.col("tag") | may_name(F.col("raw"), stop_words)).select("book_id", plain_name(F.col("raw")).alias("name"), "n", "within", "tag", (~F.col("tag") & F.col("raw").rlike(rf"^(?:{'|'.join(TITLES)})\.? (?=\p{{Lu}})")).alias("titled"))
     tally = named.groupBy("book_id", "name").agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.bool_or("titled").alias("titled"), F.bool_or("tag").alias("tagged"))
     told = tally.where((F.col("n") > 0) & ~F.col("name").isin(*TITLES))
-    said = spans.where("kind = 'quote'").select("book_id", F.explode(F.regexp_extract_all("text", F.lit(EACH_RUN), F.lit(1))).alias("raw")).select("book_id", plain_name(F.col("raw")).alias("name")).distinct()
+    said = spans.where("kind = 'quote'").select("book_id", F.explode(F.regexp_extract_all("text", F.lit(FOUND_RUN), F.lit(1))).alias("raw")).select("book_id", plain_name(F.col("raw")).alias("name")).distinct()
     told = told.join(said.withColumn("said", F.lit(True)), ["book_id", "name"], "left")
     told = stored(told.withColumn("first", F.lower(F.split("name", " ")[0])), "told")
     # Small words are many and names few: words are dealt out once and only looked up, and those that are a name's come back.
@@ -151,24 +151,44 @@ def harvest(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(ST
 
 
 def scenes(spans: DataFrame) -> DataFrame:
-    """spans with scene: a number within the chapter that goes up at a scene break and where the text moves to another time."""
+    """spans with scene: a number within the chapter that goes up at a scene break and where the text moves to another time. The text passes the windows only
+    if it is asked for afterwards."""
     order = Window.partitionBy("book_id", "ch").orderBy("para", "s")
     first = ~F.lag("para").over(order).eqNullSafe(F.col("para"))
     moves = (F.col("kind") == "narration") & F.col("text").rlike(f"^{TIME_PASSES}")
-    begun = spans.withColumn("_begins", (first & (F.col("scene_break_before") | moves)).cast("int"))
-    return begun.withColumn("scene", F.sum("_begins").over(order)).drop("_begins")
+    begun = spans.withColumn("_moves", moves).withColumn("_begins", (first & (F.col("scene_break_before") | F.col("_moves"))).cast("int"))
+    return begun.withColumn("scene", F.sum("_begins").over(order)).drop("_begins", "_moves")
+
+
+#: Before a name that its bearer tells, and parts of which it has one.
+OWN_NAME = r"\b(?:[Mm]y name is|[Mm]y name's|[Tt]he name's|I am|I'm|[Cc]all me) "
+OWN_NAME_PARTS = ("y name is ", "e name's ", "y name's ", "I am ", "I'm ", "all me ")
+#: A word that begins small or with a mark, which no text of nothing but names has.
+NO_NAME = r"(?:^|[\s.,;:!?])[^\p{Lu}\s.,;:!?\u0085\u2028\u2029]"
+
+
+def naming(spans: DataFrame) -> DataFrame:
+    """spans with what each text by itself tells of names: lead (the name that narration begins with, or ''), call (whom a quote addresses), asks (for a name), own
+    (names that a quote says are its speaker's), and capitals (a quote's text if it may be nothing but names). They are short, so that texts are read once and pass no window."""
+    quote, text = F.col("kind") == "quote", F.col("text")
+    own = rf"{OWN_NAME}({RUN})(?:\. ?({RUN}))?"
+    may_tell = F.contains(text, F.lit(OWN_NAME_PARTS[0]))
+    for part in OWN_NAME_PARTS[1:]:
+        may_tell = may_tell | F.contains(text, F.lit(part))
+    return spans.withColumns({
+        "lead": F.when(F.col("kind") == "narration", plain_name(F.regexp_extract(text, rf"^({RUN})", 1))), "call": F.when(quote, called(text)), "asks": text.rlike(ASKS_NAME),
+        "own": F.when(quote & may_tell, F.filter(F.array(F.regexp_extract(text, own, 1), F.regexp_extract(text, own, 2)), lambda n: n != "")), "capitals": F.when(quote & ~text.rlike(NO_NAME), text),
+    })
 
 
 def introductions(placed: DataFrame) -> DataFrame:
     """(book_id, ch, scene, para, s, names): quotes that tell their speaker's name, longest name first. A quote that answers the question for a
-    name with nothing but names, or says "my name is", "I am" or "call me" before one. placed: spans with scene."""
+    name with nothing but names, or says "my name is", "I am" or "call me" before one. placed: spans with scene and what `naming` finds."""
     order = Window.partitionBy("book_id", "ch", "scene").orderBy("para", "s")
-    quotes = placed.where("kind = 'quote'").withColumn("_asked", F.coalesce(F.lag("text").over(order).rlike(ASKS_NAME), F.lit(False)))
-    only = F.col("text").rlike(rf"^(?:{RUN}[.,;:!?]+\s*)*{RUN}[.,;:!?]*$")
-    answer = F.when(F.col("_asked") & only, F.regexp_extract_all("text", F.lit(rf"({RUN})"), F.lit(1)))
-    own = rf"\b(?:[Mm]y name is|[Mm]y name's|[Tt]he name's|I am|I'm|[Cc]all me) ({RUN})(?:\. ?({RUN}))?"
-    self_told = F.filter(F.array(F.regexp_extract("text", own, 1), F.regexp_extract("text", own, 2)), lambda n: n != "")
-    names = F.coalesce(answer, F.when(F.size(self_told) > 0, self_told))
+    quotes = placed.where("kind = 'quote'").withColumn("_asked", F.coalesce(F.lag("asks").over(order), F.lit(False))).where("(_asked and capitals is not null) or size(own) > 0")
+    only = F.col("capitals").rlike(rf"^(?:{RUN}[.,;:!?]+\s*)*{RUN}[.,;:!?]*$")
+    answer = F.when(F.col("_asked") & only, F.regexp_extract_all("capitals", F.lit(rf"({RUN})"), F.lit(1)))
+    names = F.coalesce(answer, F.when(F.size("own") > 0, F.col("own")))
     longest = F.transform(F.array_sort(F.transform(F.array_distinct(names), lambda n: F.struct((-F.size(F.split(n, " "))).alias("words"), F.array_position(names, n).alias("at"), n.alias("name")))), lambda x: x["name"])
     return quotes.withColumn("names", longest).where(F.size("names") > 0).select("book_id", "ch", "scene", "para", "s", "names", F.col("_asked").alias("asked"))
 
@@ -208,20 +228,20 @@ def traits(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STO
     return evidence.groupBy("book_id", "name").agg(F.collect_set("titled").alias("titled"), *[F.min(c).alias(c) for c in ("gender", "age", "description")])
 
 
-def people(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
+def people(spans: DataFrame, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS), placed: DataFrame | None = None) -> DataFrame:
     """(book_id, person, names, gender, age, description): the persons of each book, with every name they go by.
 
     A name is a person's if a verb of speech stands beside it, if it leads up to a quote, if a quote addresses it, or if its bearer tells it. A name of one word stands for
-    the only longer one that has it; if several do, for itself. spans: book_id, ch, para, s, kind, text, scene_break_before."""
-    narration = F.col("kind") == "narration"
+    the only longer one that has it; if several do, for itself. spans: book_id, ch, para, s, kind, text, scene_break_before. placed: the same with scene and what
+    `naming` finds, if somebody has it."""
+    placed = scenes(naming(spans)) if placed is None else placed
     order = Window.partitionBy("book_id", "ch", "para").orderBy("s")
-    leads = spans.withColumn("_next", F.lead("kind").over(order)).where(narration & (F.col("_next") == "quote"))
-    leads = leads.select("book_id", plain_name(F.regexp_extract("text", rf"^({RUN})", 1)).alias("name")).where("name <> ''")
-    calls = called(spans.where("kind = 'quote'")).where("call is not null").select("book_id", F.col("call").alias("name"))
+    leads = placed.withColumn("_next", F.lead("kind").over(order)).where("lead <> '' and _next = 'quote'").select("book_id", F.col("lead").alias("name"))
+    calls = placed.select("book_id", F.explode(F.array("call")).alias("name")).where("name is not null")
     names = stored(harvest(spans, stop_words), "names")
     wanted = leads.unionByName(calls).distinct().withColumn("wanted", F.lit(True))
     rated = names.join(wanted, ["book_id", "name"], "left").withColumn("wanted", F.col("tagged") | F.coalesce("wanted", F.lit(False)))
-    told = introductions(scenes(spans)).select("book_id", F.explode("names").alias("name"), F.col("names")[0].alias("person"), F.col("asked"))
+    told = introductions(placed).select("book_id", F.explode("names").alias("name"), F.col("names")[0].alias("person"), F.col("asked"))
     # Only answers make a new person; who says "I am Happy" is named so if the book knows the name.
     answers = told.where("asked").groupBy("book_id", "name").agg(F.min("person").alias("person"))
     words = F.split("name", " ")
