@@ -26,13 +26,24 @@ def exact_sum(value: Column) -> Column:
     return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(value))
 
 
-def usage_by_capability(usage: DataFrame) -> DataFrame:
-    return usage.groupBy("job_id", "capability", "unit_type").agg(exact_sum(F.col("units")).alias("units"))
+def added_in_order(rows: DataFrame, keys: list[str], value: Column, order: str, name: str) -> DataFrame:
+    """(keys, name): the sum of doubles added one after another in the order of a column, whatever the order of rows. Rows are sorted and pass a window,
+    which keeps a running sum and no group."""
+    upto = F.sum(value).over(Window.partitionBy(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(*keys, order, upto.alias(name)).groupBy(keys).agg(F.max_by(name, order).alias(name))
 
 
-def usage_nested(usage: DataFrame) -> DataFrame:
+def usage_by_capability(usage: DataFrame, order: str | None = None) -> DataFrame:
+    """Units as their decimals add up or, with order, as doubles do in the order of that column."""
+    keys = ["job_id", "capability", "unit_type"]
+    if order is None:
+        return usage.groupBy(keys).agg(exact_sum(F.col("units")).alias("units"))
+    return added_in_order(usage, keys, F.col("units"), order, "units")
+
+
+def usage_nested(usage: DataFrame, order: str | None = None) -> DataFrame:
     """capability -> unit_type -> units as maps. The number of entries is that of the vocabulary, not of rows."""
-    inner = usage_by_capability(usage).groupBy("job_id", "capability").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit_type", "units")))).alias("units"))
+    inner = usage_by_capability(usage, order).groupBy("job_id", "capability").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit_type", "units")))).alias("units"))
     return inner.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("capability", "units")), lambda a, b: F.when(a["capability"] < b["capability"], -1).otherwise(1))).alias("by_capability"))
 
 
