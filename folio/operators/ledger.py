@@ -70,12 +70,15 @@ def current_rows(changes: DataFrame, key: str = "id", at: str = "updated_at") ->
     return last.select(key, f"_last.{at}", *[f"_last.{c}" for c in rest])
 
 
-def overall_progress(stages: DataFrame) -> DataFrame:
+def overall_progress(stages: DataFrame, order: str | None = None) -> DataFrame:
     """Weighted progress in percent from (job_id, stage, state, done, total). The sum is rounded to 12 places first: its error is below that, so that a
-    half rounds up whatever the order of the stages."""
+    half rounds up whatever the order of the stages. With order, doubles add up in the order of that column, and a half is what ten times their sum shows."""
     weight = F.create_map(*[F.lit(x) for pair in zip(STAGES, STAGE_WEIGHTS, strict=True) for x in pair])[F.col("stage")]
     share = F.when(F.col("state").isin("done", "skipped"), 1.0).when(F.col("total") > 0, F.least(F.lit(1.0), F.col("done") / F.col("total"))).otherwise(0.0)
-    return stages.groupBy("job_id").agg(F.round(F.round(F.least(F.lit(100.0), F.sum(weight * share)), 12), 1).alias("percent"))
+    if order is None:
+        return stages.groupBy("job_id").agg(F.round(F.round(F.least(F.lit(100.0), F.sum(weight * share)), 12), 1).alias("percent"))
+    told = added_in_order(stages, ["job_id"], weight * share, order, "percent")
+    return told.select("job_id", (F.round(F.least(F.lit(100.0), "percent") * 10) / 10).alias("percent"))
 
 
 def new_job_stages(jobs: DataFrame) -> DataFrame:
